@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, tokencount
+from . import bpe, chat, langid, licenses, mixing, quality, tokencount
 
 
 def tokenizer(name: str) -> str:
@@ -36,13 +36,38 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), F.col("fits").alias("n_chars_within_limit"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality.learn_rules(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan_mix(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
+    model = langid.train(docs.where(~F.col("held_out")))
+    return langid.identify(docs, model, keep=["doc_id", "held_out"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
         "op2_bpe_roundtrip": op2_bpe_roundtrip,
+        "op3_chat_format": op3_chat_format,
         "op4_token_counts": op4_token_counts,
+        "op6_quality_rules": op6_quality_rules,
+        "op9_weighted_mix": op9_weighted_mix,
+        "op10_language_id": op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_format": chat.ORACLE_SQL, "op9_weighted_mix": mixing.ORACLE_SQL}

@@ -230,7 +230,7 @@ class PrefixCounter:
         """A prefix that ends after a run of white space takes the run as one word; its last one belongs to the next word only once that goes on."""
         for i in range(1, len(words)):
             run, word = words[i - 1], words[i]
-            if run.isspace() and word[0].isspace():
+            if all(map(_is_space, run)) and _is_space(word[0]):
                 together = self.word_counts(run + word[0])[-1] - self.word_counts(run)[-1]
                 counts = self.word_counts(word)
                 alone, counts[1] = counts[1], together
@@ -240,6 +240,11 @@ class PrefixCounter:
                     tables[i + 1] = varints([b - a for a, b in zip([together - alone, *after[1:]], after[1:])])
 
 
+def _is_space(c: str) -> bool:
+    """White space as the split pattern has it; Python alone counts the four separators too."""
+    return c.isspace() and not "\x1c" <= c <= "\x1f"
+
+
 _one_space = re.compile(r"\s?(?:\S+\s)*\S*").fullmatch
 
 
