@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, licenses, mixing, quality, tokencount
+from . import bpe, chat, langid, licenses, mixing, quality, substrings, tokencount
 
 
 def tokenizer(name: str) -> str:
@@ -40,6 +40,11 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = substrings.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), words=20)
+    return x.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality.learn_rules(docs, table(spark, sf_dir, "labels"))
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe_roundtrip": op2_bpe_roundtrip,
         "op3_chat_format": op3_chat_format,
         "op4_token_counts": op4_token_counts,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_quality_rules": op6_quality_rules,
         "op9_weighted_mix": op9_weighted_mix,
         "op10_language_id": op10_language_id,
