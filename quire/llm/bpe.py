@@ -185,7 +185,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for b in batches:
             for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
                 parts = halves(0, len(text), leaf_chars)
-                yield pa.RecordBatch.from_pydict({"key": [key] * len(parts), "start": [s for s, _ in parts], "part": [text[s:e] for s, e in parts]})
+                yield pa.RecordBatch.from_pydict({"key": [key] * len(parts), "start": pa.array([s for s, _ in parts], pa.int32()), "part": [text[s:e] for s, e in parts]})
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
