@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, licenses, mixing, quality, substrings, tokencount
+from . import ann, bpe, chat, langid, licenses, minhash, mixing, quality, substrings, tokencount
 
 
 def tokenizer(name: str) -> str:
@@ -51,6 +51,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_copies(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op9_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents"))
 
@@ -70,6 +78,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": op4_token_counts,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_quality_rules": op6_quality_rules,
+        "op7_nearest_neighbours": op7_nearest_neighbours,
+        "op8_near_copies": op8_near_copies,
         "op9_weighted_mix": op9_weighted_mix,
         "op10_language_id": op10_language_id,
     }
