@@ -29,6 +29,8 @@ BUCKETS = 1 << 13
 LENGTHS = (1, 2, 3, 4)
 TRAIN_ROWS = 3000
 LANDMARKS = 300
+#: Score under which a filter takes no language for the text's own: every classifier's value is below -0.5.
+ACCEPTED = 0.25
 _other = re.compile(r"[\W\d_]+")
 
 
