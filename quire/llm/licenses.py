@@ -84,12 +84,12 @@ class Index:
         return places[true], [found[i] for i in true]
 
     def scan(self, at: dict[int, str]) -> tuple[int, int | None, int | None, set[str], set[str], float]:
-        """at: the licence words of one text by place. Base counts, first and last word of them, labels and score."""
+        """at: the licence words of one text by place. Base counts, their smallest and largest start, labels and score."""
         n, first, last, base, score = 0, None, None, set(), 0.0
         for words, label in self.base:
             for p in (p for p, w in at.items() if w == words[0]):
                 if all(at.get(p + i) == w for i, w in enumerate(words)):
-                    n, first, last = n + 1, p if first is None else min(first, p), p + len(words) - 1 if last is None else max(last, p + len(words) - 1)
+                    n, first, last = n + 1, p if first is None else min(first, p), p if last is None else max(last, p)
                     base.add(label)
         labels = set(base)
         votes: dict[tuple[int, int], float] = defaultdict(float)
