@@ -98,11 +98,13 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
 
 
 def training_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, chars: int = 5000) -> DataFrame:
-    """The bounded sample that is learned from: the `rows` rows with the smallest hash of their text.
+    """The bounded sample that is learned from: of the different texts and languages, the `rows` with the smallest hash.
 
-    Only training texts are cut, after `chars` characters: that bounds what the driver gets."""
-    x = docs.select(F.substring(text_col, 1, chars).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h")).where("text IS NOT NULL AND lang IS NOT NULL")
-    return x.orderBy("h", "lang", "text").limit(rows).select("text", "lang")
+    Hashes are ranked first, so texts are fetched for those alone. Only training texts are cut, after `chars`
+    characters: that bounds what the driver gets."""
+    x = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.xxhash64("text"))
+    last = x.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return x.where(F.col("h") <= F.lit(last)).groupBy("h", "lang").agg(F.first(F.substring("text", 1, chars)).alias("text")).orderBy("h", "lang").limit(rows).select("text", "lang")
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
@@ -120,9 +122,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part in (s for b in batches for s in slices(b, "__text", 4 << 20)):
-            for i in range(0, part.num_rows, 1024):
-                b = part.slice(i, 1024)
+        for part in (s for b in batches for s in slices(b, "__text", 1 << 20)):
+            for i in range(0, part.num_rows, 256):
+                b = part.slice(i, 256)
                 lang, score = m.predict(b.column("__text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .bpe import _DIGIT, _LATIN, PLAIN, library
 from .words import slices
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 _PLAIN_WORDS = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[{_DIGIT}]+| ?[^\\s{_LATIN}{_DIGIT}]+|\\s+(?!\\S)|\\s+"
 
 
@@ -263,7 +263,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
-        for b in (s for b in batches for s in slices(b, "text", 4 << 20)):
+        for b in (s for b in batches for s in slices(b, "text", 1 << 20)):
             tables = [c.table(t) for t in b.column("text").to_pylist()]
             tokens, fits = [], []
             for t in tables:
