@@ -34,7 +34,7 @@ SPLITS = {
     "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+": f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[{_DIGIT}]|[^\\s{_LATIN}{_DIGIT}]+",
 }
 LEAF_CHARS = 1 << 15
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 
 
 def library(path: str):
@@ -170,16 +170,22 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """doc_id and ids: binary, little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS, decoded: bool = False) -> DataFrame:
+    """doc_id and ids: binary, little-endian unsigned 32-bit integers; if asked, also what they decode to, in the same pass."""
     x = docs.selectExpr(f"`{id_col}` AS doc_id", f"coalesce(`{text_col}`, '') AS text")
 
+    more, named = (", decoded string", ["decoded"]) if decoded else ("", [])
+
+    def answered(keys: pa.Array, key: str, ids: list[bytes]) -> pa.RecordBatch:
+        texts = [pa.array([encoder(path).decode(x) for x in ids], pa.string())] if decoded else []
+        return pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.binary()), *texts], [key, "ids", *named])
+
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (s for b in batches for s in slices(b, "text", 8 << 20)):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(encoder(path).encode(b.column("text").to_pylist()), pa.binary())], ["doc_id", "ids"])
+        for b in (s for b in batches for s in slices(b, "text", 1 << 20)):
+            yield answered(b.column("doc_id"), "doc_id", encoder(path).encode(b.column("text").to_pylist()))
 
     kind = x.schema["doc_id"].dataType.simpleString()
-    done = x.where(F.length("text") <= leaf_chars).mapInArrow(short, f"doc_id {kind}, ids binary")
+    done = x.where(F.length("text") <= leaf_chars).mapInArrow(short, f"doc_id {kind}, ids binary{more}")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,19 +204,19 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         spans = [np.frombuffer(x, dtype="<i8").reshape(-1, 3) + [s, s, 0] for x, s in zip(table["spans"].to_pylist(), starts, strict=True)]
         leaves = [(s, s + len(p), x) for s, p, x in zip(starts, parts, spans, strict=True)]
         ids = encoder(path).concatenate("".join(parts), leaves)[:, 2].astype("<u4").tobytes()
-        return pa.table({"key": table["key"].slice(0, 1), "ids": pa.array([ids], pa.binary())})
+        return pa.Table.from_batches([answered(table["key"].slice(0, 1).combine_chunks(), "key", [ids])])
 
     long = x.where(F.length("text") > leaf_chars).withColumn("key", F.sha2("text", 256))
     leaves = long.dropDuplicates(["key"]).select("key", "text").mapInArrow(cut, "key string, start int, part string")
-    whole = leaves.repartition("key", "start").mapInArrow(leaf, "key string, start int, part string, spans binary").groupBy("key").applyInArrow(tree, "key string, ids binary")
-    return done.unionByName(long.select("doc_id", "key").join(whole, "key").select("doc_id", "ids"))
+    whole = leaves.repartition("key", "start").mapInArrow(leaf, "key string, start int, part string, spans binary").groupBy("key").applyInArrow(tree, f"key string, ids binary{more}")
+    return done.unionByName(long.select("doc_id", "key").join(whole, "key").select("doc_id", "ids", *named))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds `decoded` to rows of doc_id and ids; null ids count as none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (s for b in batches for s in slices(b, "ids", 8 << 20)):
+        for b in (s for b in batches for s in slices(b, "ids", 1 << 20)):
             text = [encoder(path).decode(x or b"") for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(text, pa.string())], ["doc_id", "ids", "decoded"])
 

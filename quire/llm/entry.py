@@ -27,7 +27,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("word_bpe_49k.json")
-    x = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    x = bpe.encode(table(spark, sf_dir, "documents"), path, decoded=True)
     return x.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -21,6 +21,7 @@ class and stay or go together. An empty table gives an empty result. Other colum
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from .words import Texts, mix, slices
 #: Random orders, bits of each minimum that a signature keeps, bands and minima in a band (bands come from the first ones).
 ORDERS, BITS, BANDS, BAND_MINIMA = 128, 2, 24, 4
 #: Rows of a bucket that are compared with as many others at once.
-BLOCK = 2048
+BLOCK = 1024
 #: Stands for a null id: behind all others.
 _NULL_ID = (1 << 63) - 1
 _rng = np.random.default_rng(8)
@@ -199,7 +200,7 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     order = np.argsort(column, kind="stable")
     of, column = of[order], column[order]
     out = np.zeros((len(left), len(right)), dtype=np.float32)
-    width = 4096
+    width = 2048
     cuts = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 1 + width, width))
     for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         if a < b:
@@ -209,10 +210,10 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     return np.rint(out).astype(np.int64)
 
 
-def _by_cell(batches: Iterator[pa.RecordBatch], most_rows: int = 1 << 14) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole cells, for rows that come sorted by cell_key, and where each cell begins."""
+def _by_cell(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole cells (about `most` bytes, or one cell), for rows that come sorted by cell_key, and where each begins."""
     held: list[pa.RecordBatch] = []
-    rows = 0
+    size = 0
 
     def whole() -> tuple[pa.Table, np.ndarray]:
         t = pa.Table.from_batches(held).combine_chunks()
@@ -220,21 +221,17 @@ def _by_cell(batches: Iterator[pa.RecordBatch], most_rows: int = 1 << 14) -> Ite
         return t, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
 
     for b in batches:
-        if b.num_rows and rows and rows + b.num_rows > most_rows:
-            key = b.column("cell_key").to_numpy()
-            first = int(np.argmax(key != held[-1].column("cell_key")[-1].as_py())) if key[-1] != held[-1].column("cell_key")[-1].as_py() else b.num_rows
-            held.append(b.slice(0, first))
-            if first < b.num_rows:
+        if not b.num_rows:
+            continue
+        key = b.column("cell_key").to_numpy()
+        for lo, hi in itertools.pairwise(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])).tolist()):
+            part = b.slice(lo, hi - lo)
+            if size > most and key[lo] != held[-1].column("cell_key")[0].as_py():
                 yield whole()
-                held, rows = [], 0
-                b = b.slice(first)
-            else:
-                rows += first
-                continue
-        if b.num_rows:
-            held.append(b)
-            rows += b.num_rows
-    if rows:
+                held, size = [], 0
+            held.append(part)
+            size += part.nbytes
+    if held:
         yield whole()
 
 

@@ -32,7 +32,7 @@ PREFIX_WORDS = 8
 #: (8 bytes each go to every executor).
 GROUP_ROWS, SAMPLED, LONGER = 8192, 16, 1_000_000
 _SUFFIXES = "key long, id long, h long, start int, lead short, paths binary, n int"
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 
 
 def _ranks(ids: pa.Array, h: np.ndarray) -> np.ndarray:
@@ -194,7 +194,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     x = x.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left").select(*names, "__text", "__runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (s for b in batches for s in slices(b, "__text", 8 << 20)):
+        for b in (s for b in batches for s in slices(b, "__text", 1 << 20)):
             kept, sizes, lost = [], [], []
             for text, spans in zip(b.column("__text").to_pylist(), b.column("__runs").to_pylist(), strict=True):
                 w = (text or "").encode().split()

@@ -18,7 +18,7 @@ SPACES = b" \t\n\v\f\r"
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Text bytes that are worked on at once; a longer text is still taken whole.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def byte_table(separators: bytes) -> np.ndarray:
@@ -51,7 +51,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(1 << 21, 1 << int(n + 2).bit_length())
+    size = max(1 << 20, 1 << int(n + 2).bit_length())
     return _powers(size)
 
 
