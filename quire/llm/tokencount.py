@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from .bpe import _DIGIT, _LATIN, PLAIN, library
 from .words import slices
 
-CACHED_WORDS = 100_000
+#: Words whose tables a worker holds (about 500 bytes each, with their prefixes); beyond that it starts anew.
+CACHED_WORDS = 400_000
 _PLAIN_WORDS = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[{_DIGIT}]+| ?[^\\s{_LATIN}{_DIGIT}]+|\\s+(?!\\S)|\\s+"
 
 
