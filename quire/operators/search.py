@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stem import stem, stems
+
 K1, B = 1.2, 0.75
 
 
@@ -35,14 +37,31 @@ def _equals(term: str):
     return lambda t: t == F.lit(term)
 
 
-def bm25(docs: DataFrame, text: str, query: str) -> DataFrame:
-    """docs with `relevance`, for rows that hold all terms; statistics are those of all rows with a text."""
+def _among(forms: str):
+    return lambda t: F.array_contains(forms, t)
+
+
+def word_forms(x: DataFrame, words: str, stemmed: list[str]) -> DataFrame:
+    """One row: arrays __form0, __form1, ... of the distinct words with each stem.
+
+    Each distinct word is stemmed once. The rules take finitely many suffixes off, so only so many words share a stem."""
+    vocabulary = x.select(F.explode(F.array_distinct(words)).alias("__w")).distinct().withColumn("__s", stems("__w"))
+    return vocabulary.where(F.col("__s").isin(stemmed)).agg(*[F.collect_set(F.when(F.col("__s") == s, F.col("__w"))).alias(f"__form{i}") for i, s in enumerate(stemmed)])
+
+
+def bm25(docs: DataFrame, text: str, query: str, stemmed: bool = False) -> DataFrame:
+    """docs with `relevance`, for rows that hold all terms; statistics are those of all rows with a text.
+
+    With `stemmed`, a term stands for all words with its English stem."""
     terms = query_terms(query)
     x = docs.where(F.col(text).isNotNull()).withColumn("__t", tokens(F.col(text)))
+    if stemmed:
+        terms = list(dict.fromkeys(map(stem, terms)))
+        x = x.join(F.broadcast(word_forms(x.select("__t"), "__t", terms)))  # one row
     x = x.withColumn("__dl", F.size("__t"))
     for i, term in enumerate(terms):
-        x = x.withColumn(f"__tf{i}", F.size(F.filter("__t", _equals(term))))
-    x = x.drop("__t")
+        x = x.withColumn(f"__tf{i}", F.size(F.filter("__t", _among(f"__form{i}") if stemmed else _equals(term))))
+    x = x.drop("__t", *[f"__form{i}" for i in range(len(terms))])
     stats = x.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(terms))])
     x = x.where(reduce(lambda a, b: a & b, [F.col(f"__tf{i}") > 0 for i in range(len(terms))]))
     x = x.join(F.broadcast(stats))  # one row
@@ -57,21 +76,22 @@ def highlight(text: Column, query: str) -> Column:
     return F.regexp_replace(text, rf"(?iU)\b({words})\b", "`$1`")
 
 
-def text_search(query: str, k: int, source: DataFrame, embedding: DataFrame, insight: DataFrame, note: DataFrame, sources: bool = True, notes: bool = True) -> DataFrame:
+def text_search(query: str, k: int, source: DataFrame, embedding: DataFrame, insight: DataFrame, note: DataFrame, sources: bool = True, notes: bool = True, stemmed: bool = True) -> DataFrame:
     """id, parent_id, title, relevance: six branches with statistics of their own, best score of each id.
 
     An insight is its own parent here, as in the behaviour that is rebuilt."""
     titles = source.select(F.col("id").alias("source"), F.col("title").alias("source_title"))
     pick = lambda df, id, parent, title: df.groupBy(F.col(id).alias("id"), F.col(parent).alias("parent_id"), title.alias("title")).agg(F.max("relevance").alias("relevance"))
+    ranked = lambda df, text: bm25(df, text, query, stemmed)
     parts = []
     if sources:
-        parts.append(pick(bm25(source.select("id", "title"), "title", query), "id", "id", F.col("title")))
-        parts.append(pick(bm25(embedding.select("source", "content"), "content", query).join(titles, "source", "left"), "source", "source", F.col("source_title")))
-        parts.append(pick(bm25(source.select("id", "title", "full_text"), "full_text", query), "id", "id", F.col("title")))
-        parts.append(pick(bm25(insight.select("id", "source", "insight_type", "content"), "content", query).join(titles, "source", "left"), "id", "id", insight_title()))
+        parts.append(pick(ranked(source.select("id", "title"), "title"), "id", "id", F.col("title")))
+        parts.append(pick(ranked(embedding.select("source", "content"), "content").join(titles, "source", "left"), "source", "source", F.col("source_title")))
+        parts.append(pick(ranked(source.select("id", "title", "full_text"), "full_text"), "id", "id", F.col("title")))
+        parts.append(pick(ranked(insight.select("id", "source", "insight_type", "content"), "content").join(titles, "source", "left"), "id", "id", insight_title()))
     if notes:
-        parts.append(pick(bm25(note.select("id", "title"), "title", query), "id", "id", F.col("title")))
-        parts.append(pick(bm25(note.select("id", "title", "content"), "content", query), "id", "id", F.col("title")))
+        parts.append(pick(ranked(note.select("id", "title"), "title"), "id", "id", F.col("title")))
+        parts.append(pick(ranked(note.select("id", "title", "content"), "content"), "id", "id", F.col("title")))
     return _best(parts, "relevance", k)
 
 

@@ -83,7 +83,12 @@ def text_search_bm25_nostem(t: Tables) -> DataFrame:
     UNION SELECT id, id, title, max(relevance) FROM e GROUP BY ALL UNION SELECT id, id, title, max(relevance) FROM g GROUP BY ALL)
   SELECT id, parent_id, title, round(max(relevance), 6) AS relevance FROM u WHERE id IS NOT NULL GROUP BY id, parent_id, title ORDER BY max(relevance) DESC, id LIMIT 25"""))
 def text_search_union(t: Tables) -> DataFrame:
-    return search.text_search(TEXT, 25, t.source(), t.source_embedding(), t.source_insight(), t.note()).withColumn("relevance", F.round("relevance", 6))
+    return search.text_search(TEXT, 25, t.source(), t.source_embedding(), t.source_insight(), t.note(), stemmed=False).withColumn("relevance", F.round("relevance", 6))
+
+
+@query()
+def text_search_stemmed(t: Tables) -> DataFrame:
+    return search.bm25(t.source().select("id", "full_text"), "full_text", TEXT, stemmed=True).select("id", F.round("relevance", 6).alias("relevance"))
 
 
 @query(sql("source_embedding", """, q AS (SELECT 'label ' || vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 3),
@@ -430,3 +435,105 @@ def link_sources(t: Tables) -> DataFrame:
 @query("""SELECT 'data: {"item_id":' || item_id || ',"type":"answer"}' || chr(10) || chr(10) AS frame FROM benchmark""")
 def event_frames(t: Tables) -> DataFrame:
     return files.event_frames(t.raw("benchmark").select("item_id", F.lit("answer").alias("type")))
+
+
+# more links and filters
+
+@query(sql("source_embedding source", "SELECT e.id, s.id AS source, s.title FROM v_source_embedding e JOIN v_source s ON s.id = e.source"))
+def chunk_parents(t: Tables) -> DataFrame:
+    parents = t.source().select(F.col("id").alias("source"), "title")
+    return t.source_embedding().select("id", "source").join(parents, "source").select("id", "source", "title")
+
+
+@query(sql("source reference", """SELECT id, id IN (SELECT "in" FROM v_reference WHERE out = 'notebook:src1') AS linked FROM v_source"""))
+def already_linked(t: Tables) -> DataFrame:
+    return relational.with_mark(t.source().select("id"), relational.equal(t.reference(), out="notebook:src1"), "in", "linked")
+
+
+@query(sql("chat_session refers_to", """SELECT id, title FROM v_chat_session WHERE EXISTS (SELECT 1 FROM v_refers_to WHERE "in" = id AND out = 'source:3')"""))
+def session_belongs(t: Tables) -> DataFrame:
+    edges = relational.equal(t.refers_to(), out="source:3").select(F.col("in").alias("id"))
+    return t.chat_session().select("id", "title").join(edges, "id", "left_semi")
+
+
+@query(sql("source job", """SELECT s.id, coalesce(j.status, 'unknown') AS status FROM v_source s LEFT JOIN (SELECT job_id, arg_max(status, (ts, event_id)) AS status FROM v_job GROUP BY job_id) j ON j.job_id = replace(s.id, 'source:', 'command:')"""))
+def source_status(t: Tables) -> DataFrame:
+    x = t.source().select("id", F.replace("id", F.lit("source:"), F.lit("command:")).alias("job_id"))
+    return jobs.status_of(x, t.job()).select("id", "status")
+
+
+@query(sql("source_embedding", "SELECT count(DISTINCT source) AS embedded FROM v_source_embedding WHERE embedding IS NOT NULL AND len(embedding) > 0"))
+def embedded_source_count(t: Tables) -> DataFrame:
+    return t.source_embedding().where("size(embedding) > 0").agg(F.count_distinct("source").alias("embedded"))
+
+
+@query(sql("acm_record", "SELECT id, product, result FROM v_acm_record WHERE contains(lower(product), 'a') AND result = 'N' ORDER BY product DESC, id LIMIT 100 OFFSET 20"))
+def grid_filter_sort(t: Tables) -> DataFrame:
+    x = relational.contains_text(relational.equal(t.acm_record(), result="N"), "product", " A ")
+    return relational.sorted_by(x, "product", "desc", ("product", "result"), 100, 20).select("id", "product", "result")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN p_partkey IN (SELECT s_suppkey FROM supplier) ELSE false END AS file_available FROM part")
+def file_available(t: Tables) -> DataFrame:
+    base = t.raw("part").select("p_partkey", "p_size")
+    path = F.expr("CASE p_size % 3 WHEN 1 THEN concat('/uploads/', p_partkey) WHEN 2 THEN concat('/other/', p_partkey) END")
+    files_there = t.raw("supplier").selectExpr("concat('/uploads/', s_suppkey) AS path")
+    return relational.available(path, "/uploads/", files_there, base).drop("p_size")
+
+
+# more text
+
+@query("""SELECT p_partkey, 'source:' || p_partkey AS prefixed, nullif(trim(CASE WHEN p_size % 4 = 0 THEN '  ' ELSE ' ' || p_name END), '') AS required, len(string_split(p_name, 'a'))::BIGINT AS parts, left(p_name, 8) AS short,
+  CASE WHEN length(p_name) > 10 THEN left(p_name, 10) || '...' ELSE p_name END AS cut, p_size % 2 = 1 AS truthy, 'acm_export_' || replace(p_name, ' ', '_') || '.csv' AS export_name FROM part""")
+def text_scalars(t: Tables) -> DataFrame:
+    c, odd = F.col, F.col("p_size") % 2 == 1
+    key = c("p_partkey").cast("string")
+    return t.raw("part").select(
+        "p_partkey", T.with_prefix(F.when(odd, key).otherwise(F.concat(F.lit("source:"), key)), "source").alias("prefixed"),
+        T.required(F.when(c("p_size") % 4 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), "p_name"))).alias("required"), F.size(T.comma_list(F.replace("p_name", F.lit("a"), F.lit(",")))).cast("long").alias("parts"),
+        T.short(c("p_name"), 8).alias("short"), T.cut(c("p_name"), 10, "...").alias("cut"), T.truthy(F.when(odd, F.lit("Yes")).otherwise(F.lit("off"))).alias("truthy"), files.export_name(c("p_name")).alias("export_name"),
+    )
+
+
+@query("SELECT p_partkey, 'owner' || p_size AS owner, 'repo' || p_partkey AS name FROM part")
+def repository_urls(t: Tables) -> DataFrame:
+    url = F.expr("concat('https://github.com/owner', p_size, '/repo', p_partkey, '/')")
+    return t.raw("part").select("p_partkey", T.repository_of(url).alias("r")).select("p_partkey", "r.owner", "r.name")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 25 OR p_size = 25 AND p_partkey % 10 < 3 THEN -1 WHEN p_size = 25 AND p_partkey % 10 = 3 THEN 0 ELSE 1 END AS sign FROM part")
+def versions_compared(t: Tables) -> DataFrame:
+    return t.raw("part").select("p_partkey", T.compare_versions(F.expr("concat('v', p_size, '.', p_partkey % 10)"), F.lit("25.3.0")).alias("sign"))
+
+
+@query("""SELECT (doc_id // 20)::VARCHAR AS folder, sha256(string_agg('## ' || doc_id || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id::VARCHAR)) AS digest FROM documents GROUP BY ALL HAVING count(text) > 0""")
+def docs_consolidated(t: Tables) -> DataFrame:
+    x = t.raw("documents").where("text IS NOT NULL").selectExpr("concat('docs/', doc_id div 20, '/', doc_id, '.md') AS path", "text AS full_text")
+    return files.consolidated(x).select("folder", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
+# more writes
+
+@query(sql("notebook", "SELECT id, name, CASE WHEN archived THEN 'old' ELSE description END AS description, archived FROM v_notebook"))
+def merge_update(t: Tables) -> DataFrame:
+    patch = t.notebook().where("archived").select("id", F.lit(None).cast("string").alias("name"), F.lit("old").alias("description"))
+    return writes.merged(t.notebook(), patch.unionByName(patch.limit(0)))
+
+
+@query(sql("notebook", "SELECT 'fresh' AS batch, count(*) * 2 AS rows FROM v_notebook UNION ALL SELECT 'taken', count(*) FROM v_notebook"))
+def insert_batches(t: Tables) -> DataFrame:
+    n = t.notebook()
+    new = n.withColumn("id", F.concat("id", F.lit("-new")))
+    count = lambda rows, name: writes.insert_batch(n, rows).agg(F.count("*").alias("rows")).select(F.lit(name).alias("batch"), "rows")
+    return count(new, "fresh").unionByName(count(new.unionByName(n), "taken"))
+
+
+@query(sql("reference", """SELECT * FROM v_reference WHERE out <> 'notebook:src1'"""))
+def edges_unlinked(t: Tables) -> DataFrame:
+    return writes.unlinked(t.reference(), relational.equal(t.reference(), out="notebook:src1"))
+
+
+@query(sql("job", "SELECT job_id, 'cancelled' AS status FROM v_job GROUP BY job_id HAVING arg_max(status, (ts, event_id)) IN ('new', 'queued', 'running')"))
+def jobs_cancelled(t: Tables) -> DataFrame:
+    log = t.job().select("job_id", "event_id", "ts", "status")
+    return jobs.cancelled(log, log, "2030-01-01").where("status = 'cancelled'").select("job_id", "status")

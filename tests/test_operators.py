@@ -136,3 +136,25 @@ def test_stream_of_jobs(spark, tmp_path):
     got = {r.job_id: r.status for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"j1": "completed", "j2": "running"}
     assert {r.job_id for r in jobs.cancelled(log, log, "2024-01-02").where("status = 'cancelled'").collect()} == {"j2"}
+
+
+STEMS = {"consigned": "consign", "consolatory": "consolatori", "knackeries": "knackeri", "generate": "generat", "communism": "communism", "hopping": "hop", "hoping": "hope", "skies": "sky", "cries": "cri", "ties": "tie", "gas": "gas", "feed": "feed", "vileness": "vile", "easily": "easili", "by": "by"}
+
+
+def test_stems():
+    from quire.functions.stem import stem
+
+    assert {w: stem(w) for w in STEMS} == STEMS
+
+
+def test_stemmed_search_counts_every_form(spark):
+    from quire.operators.search import bm25
+
+    texts = {1: "Hopes hoped hoping for a library", 2: "hop in libraries", 3: "hope", 4: None, 5: "", 6: "HOPE library library"}
+    docs = spark.createDataFrame(list(texts.items()), "id int, t string")
+    plain = spark.createDataFrame([(1, "hope hope hope for a library"), (2, "hop in library"), (3, "hope"), (4, None), (5, ""), (6, "hope library library")], "id int, t string")
+    score = lambda df, stemmed: {r.id: round(r.relevance, 9) for r in bm25(df, "t", "hoping Libraries" if stemmed else "hope library", stemmed).collect()}
+    assert score(docs, True) == score(plain, False)
+    assert set(score(docs, True)) == {1, 6}
+    assert bm25(docs.limit(0), "t", "hope", True).count() == 0
+    assert bm25(docs, "t", "absent", True).count() == 0
