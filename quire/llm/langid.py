@@ -7,7 +7,11 @@ against the rest is solved in it. Fitting works on a bounded sample, the `train_
 their text, and is small linear algebra on the driver; scoring is two matrix products for each Arrow batch.
 
 Letters are taken as str.isalpha() has them, lower-cased; everything else is one space. Texts that are null or have no
-letter give `und` and score 0. Repeated rows are each answered; rows without a language do not train; with no
+letter give `und` and score 0. The score says how a classifier's value stands to the others, not that it is high: of the
+values of L languages the largest is 2/L - 1 at least, whatever the text. So a filter asks something else (`accepted`):
+what share of the text's 4-letter sequences, repeats counted, two training texts of a language hold, against half of what
+the median training text of that language has in common with the others. Both are shares, so neither the length of a
+text nor the number of languages matters. Repeated rows are each answered; rows without a language do not train; with no
 training rows at all every text is `und`. Other columns are left aside.
 """
 
@@ -15,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +33,8 @@ BUCKETS = 1 << 13
 LENGTHS = (1, 2, 3, 4)
 TRAIN_ROWS = 3000
 LANDMARKS = 300
-#: Score under which a filter takes no language for the text's own: every classifier's value is below -0.5.
-ACCEPTED = 0.25
+#: A text is a language's own if its share of known sequences is at least so much of the median training text's.
+ACCEPTED = 0.5
 _other = re.compile(r"[\W\d_]+")
 
 
@@ -50,6 +54,36 @@ def presence(texts: list[str | None], buckets: int = BUCKETS) -> np.ndarray:
     return out
 
 
+def sequences(text: str | None) -> np.ndarray:
+    """A 32-bit hash of each run of 4 folded letters, repeats counted; one at least for a text with a letter."""
+    folded = _other.sub(" ", (text or "").lower()).strip()
+    if not folded:
+        return np.zeros(0, dtype=np.uint32)
+    codes = np.frombuffer(f" {folded}  ".encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    h = np.zeros(len(codes) - 3, dtype=np.uint64)
+    for i in range(4):
+        h = h * np.uint64(0x100000001B3) + codes[i : i + len(h)]
+    return (mix(h) >> np.uint64(32)).astype(np.uint32)
+
+
+def _share(own: np.ndarray, held: np.ndarray) -> float:
+    """How much of `own` is in the sorted `held`."""
+    if not len(own) or not len(held):
+        return 0.0
+    return float(np.mean(held[np.minimum(np.searchsorted(held, own), len(held) - 1)] == own))
+
+
+def _known(texts: list[str]) -> tuple[np.ndarray, float]:
+    """Sequences that two of a language's texts hold, sorted, and the share that accepts a text.
+
+    A sequence of two texts is known without either, so no training text vouches for itself. Of a language with a
+    single text nothing is known, and all its texts are accepted."""
+    each = [sequences(t) for t in texts]
+    found, count = np.unique(np.concatenate([np.unique(s) for s in each]), return_counts=True)
+    held = found[count > 1]
+    return held, ACCEPTED * float(np.median([_share(s, held) for s in each]))
+
+
 def _kernel(x: np.ndarray, norms: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     return (x @ landmarks.T) / np.maximum(norms, 1e-9)[:, None]
 
@@ -59,6 +93,9 @@ class Model:
     languages: list[str]
     landmarks: np.ndarray
     weights: np.ndarray
+    #: Of each language: sequences that its training texts hold, and the share of them that accepts a text.
+    held: list[np.ndarray] = field(default_factory=list)
+    floors: list[float] = field(default_factory=list)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         x = presence(texts)
@@ -71,6 +108,15 @@ class Model:
         score = np.where(none, 0.0, np.clip((values.max(axis=1) + 1) / 2, 0, 1))
         return ["und" if z else self.languages[b] for b, z in zip(best, none, strict=True)], score
 
+    def accepts(self, texts: list[str | None]) -> np.ndarray:
+        """Whether any language takes the text for its own; the predicted one is mostly right, so it is asked first."""
+        out = np.zeros(len(texts), dtype=bool)
+        for r, (text, lang) in enumerate(zip(texts, self.predict(texts)[0], strict=True)):
+            if lang != "und":
+                own, first = sequences(text), self.languages.index(lang)
+                out[r] = any(_share(own, self.held[k]) >= self.floors[k] for k in [first, *range(len(self.languages))])
+        return out
+
 
 def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridge: float = 1e-2) -> Model:
     """texts without letters are left out."""
@@ -94,7 +140,9 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
     penalty = ridge * len(x) / 100 * np.eye(features.shape[1])
     penalty[-1, -1] = 0
     solved = np.linalg.solve(features.T @ features + penalty, features.T @ targets)
-    return Model(known, base, np.vstack([root @ solved[:-1], solved[-1:]]))
+    kept = [t for t, k in zip(texts, keep, strict=True) if k]
+    held, floors = zip(*(_known([t for t, w in zip(kept, y, strict=True) if w == v]) for v in known), strict=True)
+    return Model(known, base, np.vstack([root @ solved[:-1], solved[-1:]]), list(held), list(floors))
 
 
 def training_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, chars: int = 5000) -> DataFrame:
@@ -115,7 +163,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows:
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (all, if None) and lang_pred, score; columns of these two names are replaced. No shuffle.
 
-    The model goes to the executors once; its size is set by LANDMARKS and BUCKETS alone."""
+    The model goes to the executors once; its size is set by LANDMARKS, BUCKETS and the bounded training texts alone."""
     spark = docs.sparkSession
     x = docs.select(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")], F.col(f"`{text_col}`").alias("__text"))
     shared = spark.sparkContext.broadcast(model)
@@ -130,3 +178,19 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields[:-1])
     return x.mapInArrow(run, f"{fields}{', ' if fields else ''}lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text some language takes for its own, all columns kept. No shuffle."""
+    x = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{text_col}`").alias("__text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for part in (s for b in batches for s in slices(b, "__text", 1 << 20)):
+            for i in range(0, part.num_rows, 256):
+                b = part.slice(i, 256)
+                stays = m.accepts(b.column("__text").to_pylist())
+                yield pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1]).filter(pa.array(stays, pa.bool_()))
+
+    return x.mapInArrow(run, docs.schema)

@@ -266,6 +266,26 @@ def test_languages(docs, odd):
     assert {r["lang_pred"] for r in got(langid.identify(odd, none))} == {"und"}
 
 
+def test_language_stage_drops_what_no_language_holds(spark, docs, data):
+    """However many languages are learned and however long the text; labels of junk do not help it."""
+    import base64
+    import random
+
+    import corpus_pipeline
+
+    r = random.Random(1)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(n))
+    junk = [letters(40), letters(3000), letters(100_000), base64.b64encode(r.randbytes(900)).decode(), "これは日本語の文章です。" * 9, "Это русский текст о погоде", "for (int i = 0; i < n; i++) { sum += arr[i] * vec[j]; }"]
+    clean = [x.text for x in docs.where("lang = 'en' AND text IS NOT NULL").orderBy("doc_id").limit(60).collect()]
+    long = " ".join(clean)
+    assert len(long) > 100_000
+    rows = [(-1 - i, t, "en", "junk", len(t)) for i, t in enumerate(junk)] + [(-100, long, "en", "long", len(long))]
+    more = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns]))
+    for some in (more, more.where("lang IN ('en', 'fr')")):
+        whole = {x.doc_id for x in some.where("text rlike '[a-zA-Z]' AND (doc_id >= 0 OR doc_id = -100)").collect()}
+        assert {x.doc_id for x in corpus_pipeline.language(spark, some, data).collect()} == whole
+
+
 def test_pipeline(spark, data, tmp_path, odd):
     import corpus_pipeline
 
