@@ -4,7 +4,8 @@ Each table turns a unit vector by a pseudo-rotation (three times: random signs,
 to the nearest signed axis; two hashes together where one would leave buckets too large. Every row is indexed in every
 table. A query probes the buckets whose axes lie nearest to it. How many is fitted: for a bounded sample of queries
 the true neighbours are found by one scan of all rows, and as many buckets are probed as find `recall` of them (in the
-worst case all buckets, which is exact).
+worst case all buckets, which is exact). A query that meets fewer than k candidates this way, though there are more, is
+sent again with all buckets of one table: its answer is exact.
 
 Queries and rows meet by bucket; a bucket is split by the hash of the row's id into slices of about `SLICE_ROWS`, and
 its queries stream past each slice, so neither a large bucket nor many queries fill a task. Of equal vectors only the
@@ -213,8 +214,6 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
     rows_of = indexed.join(F.broadcast(sizes), ["t", "bucket"]).withColumn("slice", F.pmod(F.xxhash64("id"), "slices").cast("int"))
     queries = asked.join(F.broadcast(sizes), ["t", "bucket"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     cell = F.xxhash64("t", "bucket", "slice").alias("cell")
-    met = rows_of.select(cell, F.lit(0).alias("asks"), "id", "v").unionByName(queries.select(cell, F.lit(1).alias("asks"), "id", "v"))
-
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         ready = None
@@ -241,7 +240,25 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
 
-    hits = met.repartition("cell").sortWithinPartitions("cell", "asks").mapInArrow(rerank, "query_id long, vec_id long, score double")
-    hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return hits.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def ranked(rows_of: DataFrame, queries: DataFrame) -> DataFrame:
+        met = rows_of.select(cell, F.lit(0).alias("asks"), "id", "v").unionByName(queries.select(cell, F.lit(1).alias("asks"), "id", "v"))
+        hits = met.repartition("cell").sortWithinPartitions("cell", "asks").mapInArrow(rerank, "query_id long, vec_id long, score double")
+        hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+        return hits.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = checkpointed(ranked(rows_of, queries))
+    met = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"))
+    few = checkpointed(x.where(is_query).select("id").distinct().join(met, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < k))
+    if few.isEmpty():
+        return found
+    few = few.where(F.col("n") < min(k, x.select("id").distinct().count() - 1)).select("id")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("id"), _packed(_matrix(b.column("v"), d).astype(kind))], ["id", "v"])
+
+    # each row is once in each table, so one table is enough
+    again = x.where(is_query).join(few, "id", "left_semi").select("id", "v").mapInArrow(packed, "id long, v binary")
+    again = again.crossJoin(F.broadcast(sizes.where("t = 0"))).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    return found.join(few.withColumnRenamed("id", "query_id"), "query_id", "left_anti").unionByName(ranked(rows_of.where("t = 0"), again))

@@ -176,6 +176,30 @@ def test_nearest_of_odd_vectors(spark):
     assert got(ann.search(df.limit(0), F.col("id") == 0)) == []
 
 
+def test_nearest_fills_up_short_answers(spark):
+    """Fewer candidates than k at the default recall: every query gets them all, exactly."""
+    rng = np.random.default_rng(3)
+    have = {i: v for i, v in enumerate(rng.normal(size=(15, 24)))}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in have.items()], "vec_id long, embedding array<double>")
+    out = defaultdict(list)
+    for r in sorted(got(ann.search(df, F.col("id") % 2 == 0)), key=lambda r: (r["query_id"], r["rank"])):
+        out[r["query_id"]].append(r["vec_id"])
+    assert out == {q: sorted((i for i in have if i != q), key=lambda i: -float(have[q] @ have[i])) for q in have if q % 2 == 0}
+
+
+def test_nearest_of_a_query_far_from_all(spark):
+    """Most queries have near neighbours, so few buckets are probed; the one that points elsewhere is filled up too."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=64)
+    have = {i: base + 0.05 * rng.normal(size=64) for i in range(400)} | {1000: -base + rng.normal(size=64)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in have.items()], "vec_id long, embedding array<double>")
+    out = got(ann.search(df, F.col("id") % 20 == 0))
+    counts = Counter(r["query_id"] for r in out)
+    assert counts == {q: 20 for q in have if q % 20 == 0}
+    best = sorted((i for i in have if i != 1000), key=lambda i: -float(have[1000] @ have[i]))[:20]
+    assert [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == 1000] == best
+
+
 def test_hadamard_is_orthogonal():
     x = np.eye(8)
     assert np.allclose(ann.hadamard(x) @ ann.hadamard(x).T, x)
