@@ -1,13 +1,14 @@
-"""Substring dedup: repeated word sequences, found with suffix trees in memory-sized groups.
+"""Substring dedup: repeated word sequences, found by hashes of fixed windows in memory-sized groups.
 
-A suffix of the corpus starts at each word. Two suffixes share a node of depth 20 or more exactly if their first 20
-words are equal, so the leaves below the deep nodes are what repeats; consecutive ones make a maximal repeat.
+A suffix of the corpus starts at each word. No suffix tree is built and no suffixes are sorted: what two suffixes have in
+common is known for their first `words` words (20) alone, their window, by its hash. Windows that have come before are
+what repeats; consecutive ones make a longer repeat. "Node" and "leaf" below mean a window's hash and a suffix with it.
 
 Suffixes are dealt to groups by a prefix: of the 8-word sequences among a suffix's first 20 words the one with the
 smallest hash. Suffixes that share 20 words share that prefix, and neighbouring suffixes mostly have it in common, so
 they travel as one row. The prefix has a variable length: where a sample of the documents shows that more suffixes
-begin with it than a task should hold, it is lengthened to all 20 words. A group's tree is then read off its sorted
-suffixes. Before the shuffle each task takes out of its own documents what has come earlier among them, so a passage
+begin with it than a task should hold, it is lengthened to all 20 words. In a group, all but the first of
+equal windows are marked. Before the shuffle each task takes out of its own documents what has come earlier among them, so a passage
 that stands in a third of all documents reaches its group a few times for each task only.
 
 Sequences are compared by 96 bits of hash. "Earlier" means a smaller id (null last), or the same document and an
