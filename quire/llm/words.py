@@ -56,8 +56,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive slices with about `most` bytes of text each; one row at least."""
-    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    """Consecutive slices with about `most` bytes of text each (column: texts, or their sizes); one row at least."""
+    values = batch.column(column)
+    lengths = pc.fill_null(values if pa.types.is_integer(values.type) else pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
     total, first = 0, 0
     ends = np.cumsum(lengths)
     while first < batch.num_rows:
@@ -70,7 +71,7 @@ class Texts:
     """The words of one string column: starts and ends are byte positions in `data`, word i of row r is at ptr[r] + i."""
 
     def __init__(self, column: pa.Array, is_word: np.ndarray = NOT_SPACE, lower: bool = False):
-        column = pc.fill_null(column, "")
+        column = pc.fill_null(column, pa.scalar(b"" if pa.types.is_binary(column.type) else "", column.type))
         _, offsets, data = column.buffers()
         kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
         o = np.frombuffer(offsets, dtype=kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)

@@ -122,6 +122,46 @@ def test_substrings(tables, name):
     assert Counter((r["doc_id"], r["kept_text"], r["n_words"], r["n_removed"]) for r in out) == Counter((i, *expected[i, t]) for i, t in texts(df))
 
 
+def test_substrings_in_split_groups(odd, docs):
+    """Groups of few rows are lengthened and split, and every anchor but the rarest counts as heavy."""
+    for df in (odd, docs):
+        expected = removed(texts(df), 20)
+        for rows, share in ((2, 4096), (3, 1_000_000)):
+            out = got(substrings._cut(df, "doc_id", "text", 20, rows, share))
+            assert Counter((r["doc_id"], r["__kept_text"], r["__n_words"], r["__n_removed"]) for r in out) == Counter((i, *expected[i, t]) for i, t in texts(df))
+
+
+@pytest.mark.parametrize("mask", [0, 3, (1 << 64) - 1])
+def test_substrings_with_colliding_hashes(monkeypatch, mask):
+    """Hashes only deal suffixes out: with 1, 4 or all of their values the same words are found to repeat."""
+    import pyarrow as pa
+
+    from quire.llm import words
+
+    plain = words.mix
+    for module in (words, substrings):
+        monkeypatch.setattr(module, "mix", lambda h: plain(h) & np.uint64(mask))
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in rng.integers(0, 9, 400)]
+    rows = []
+    for i in range(30):
+        a, b = sorted(rng.integers(0, 400, 2))
+        rows.append((i, " ".join([*base[a:b], *(f"x{k}" for k in rng.integers(0, 3, 5)), *base[:25], f"own{i}"])))
+    t = words.Texts(pa.array([x for _, x in rows]))
+    h = np.arange(len(rows), dtype=np.int64) << 40
+    for known in ([], ["w1", "w2", "own3", "x1"]):
+        for group_rows in (4, 1000):
+            spots = [np.arange(n, dtype=np.int64) | (np.int64(9) << 32) for n in t.counts]  # every place counts as one that repeats
+            b = substrings._suffixes(t, pa.array(range(len(rows)), pa.int64()), h, spots, 20, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), substrings.Dictionary(known), group_rows)
+            for _ in range(2):
+                b = pa.concat_tables([pa.Table.from_batches([x]) for x in substrings._trees(20)(iter([b.sort_by("key")]))]).combine_chunks().to_batches()[0]
+            gone = defaultdict(set)
+            for r in b.to_pylist():
+                if r["words"] is None:
+                    gone[r["id"]] |= set(range(r["start"], r["start"] + r["n"] + 19))
+            assert {i: len(gone[i]) for i, _ in rows} == {i: v[2] for (i, _), v in removed(rows, 20).items()}
+
+
 def test_quality(tables, spark, data):
     labels = spark.read.parquet(f"{data}/labels.parquet")
     rules = quality.learn_rules(tables["docs"], labels)
