@@ -228,18 +228,38 @@ def test_nearest_fills_up_short_answers(spark):
 
 
 def test_nearest_of_a_query_far_from_all(spark):
-    """Most queries have near neighbours, so few buckets are probed; the one that points elsewhere is filled up too."""
+    """If few buckets are probed, the query that points elsewhere meets too few candidates and is filled up, exactly."""
     rng = np.random.default_rng(4)
     base = rng.normal(size=64)
     have = {i: base + 0.05 * rng.normal(size=64) for i in range(400)} | {1000: -base + rng.normal(size=64)}
     df = spark.createDataFrame([(i, v.tolist()) for i, v in have.items()], "vec_id long, embedding array<double>")
-    out = got(ann.search(df, F.col("id") % 20 == 0))
+    out = got(ann.search(df, F.col("id") % 20 == 0, recall=0.01))
     counts = Counter(r["query_id"] for r in out)
     assert counts == {q: 20 for q in have if q % 20 == 0}
     best = sorted((i for i in have if i != 1000), key=lambda i: -float(have[1000] @ have[i]))[:20]
     assert [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == 1000] == best
 
 
+def test_nearest_of_many(spark):
+    """Recall on queries that the number of probes was not fitted on, and the share of rows that is scored for it."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(30_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    hasher = ann.Hasher(64)
+    probes = ann.fitted_probes(df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), hasher, F.col("id") % 20 == 0, 20, 0.96)
+    sample = {r.id for r in spark.range(0, 30_000, 20).orderBy(F.xxhash64("id"), "id").limit(ann.SAMPLE_QUERIES).collect()}
+    out = defaultdict(set)
+    for r in got(ann.search(df, F.col("id") % 20 == 0)):
+        out[r["query_id"]].add(r["vec_id"])
+    others = [q for q in range(0, 30_000, 20) if q not in sample]
+    s = x[others] @ x.T
+    s[np.arange(len(others)), others] = -2
+    best = np.argpartition(-s, 20, axis=1)[:, :20]
+    assert len(others) == 1500 - ann.SAMPLE_QUERIES and np.mean([len(out[q] & set(b.tolist())) / 20 for q, b in zip(others, best, strict=True)]) >= 0.9
+    assert probes * ann.TABLES / hasher.buckets < 0.3
+
+
 def test_hadamard_is_orthogonal():
     x = np.eye(8)
     assert np.allclose(ann.hadamard(x) @ ann.hadamard(x).T, x)
