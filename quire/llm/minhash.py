@@ -6,12 +6,13 @@ Texts with equal sets are one class, so copies count once from here on. Classes
 
 1. each class is paired with the smallest class of each of its buckets (a count and a join, never all pairs),
 2. components are formed of the pairs that are links, and
-3. in buckets that still hold several components, classes of different components are compared by their signatures in
-   blocks inside tasks, which put out only what may be a link.
+3. in buckets that still hold several components, classes of different components are compared by longer signatures
+   (512 orders) in blocks inside tasks, which put out only the pairs that may be links.
 
-A pair's similarity is estimated from equal bits, less those that agree by chance; pairs whose estimate lies six
-standard errors below the threshold, or whose set sizes rule a link out, go no further. All others are confirmed on
-full sets. At similarity 0.8 a pair shares no band with a probability of 3e-6 (0.85: 2e-8), which is what may be lost.
+A pair's similarity is estimated from equal bits, less those that agree by chance; pairs whose estimate lies five
+standard errors below the threshold, or whose set sizes rule a link out, go no further: of texts that share 70 % of their
+shingles, one pair in a hundred passes at 85 %. Each pair that passes is confirmed once, on full sets. At similarity 0.8
+a pair shares no band with a probability of 3e-6 (0.85: 2e-8), and fails the estimate with 3e-7: that is what may be lost.
 
 Words: A-Z lower-cased, runs of `[^\\x20\\x09-\\x0D]`. A text with fewer words than a shingle has one shingle, all its
 words. Null, empty and blank texts have the empty set, are linked with nothing and stay. Rows with a null id count as
@@ -29,19 +30,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected
+from .components import connected, joined_back
 from .durable import checkpointed
 from .words import Texts, mix, slices
 
 #: Random orders, bits of each minimum that a signature keeps, bands and minima in a band (bands come from the first ones).
 ORDERS, BITS, BANDS, BAND_MINIMA = 128, 2, 24, 4
+#: Orders of the longer signature; the first ones are the same.
+LONG_ORDERS = 512
 #: Rows of a bucket that are compared with as many others at once.
 BLOCK = 1024
 #: Stands for a null id: behind all others.
 _NULL_ID = (1 << 63) - 1
 _rng = np.random.default_rng(8)
-_A = (_rng.integers(0, 1 << 31, ORDERS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
-_B = _rng.integers(0, 1 << 32, ORDERS, dtype=np.uint32)
+_A = (_rng.integers(0, 1 << 31, LONG_ORDERS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+_B = _rng.integers(0, 1 << 32, LONG_ORDERS, dtype=np.uint32)
 _SEEDS = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,6 +68,24 @@ def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return x[new], np.concatenate([[0], np.cumsum(new)])[ends]
 
 
+def _minima(x: np.ndarray, starts: np.ndarray, orders: int) -> np.ndarray:
+    """The minimum of each order over each of the (not empty) sets that begin at `starts`."""
+    short = (x >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((orders, len(starts)), dtype=np.uint64)
+    for i in range(orders):
+        out[i] = np.minimum.reduceat(short * _A[i] + _B[i], starts)
+    return out
+
+
+def _bits(minima: np.ndarray) -> np.ndarray:
+    """The lowest (mixed) bits of the minima, packed: a row of longs for each set."""
+    low, per = mix(minima) & np.uint64((1 << BITS) - 1), 64 // BITS
+    out = np.zeros((minima.shape[1], len(minima) // per), dtype=np.uint64)
+    for i in range(len(minima)):
+        out[:, i // per] |= low[i] << np.uint64(BITS * (i % per))
+    return out
+
+
 def sketches(x: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each row: the set's hash (two longs), the packed signature (four longs) and the band keys; 0 for empty sets."""
     rows = len(ptr) - 1
@@ -76,14 +97,8 @@ def sketches(x: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     with np.errstate(over="ignore"):
         sets[filled, 0] = mix(np.add.reduceat(mix(x ^ np.uint64(0x5851F42D4C957F2D)), starts))
         sets[filled, 1] = mix(np.add.reduceat(mix(x + np.uint64(0x14057B7EF767814F)), starts))
-        short = (x >> np.uint64(32)).astype(np.uint32)
-        minima = np.empty((ORDERS, len(filled)), dtype=np.uint64)
-        for i in range(ORDERS):
-            minima[i] = np.minimum.reduceat(short * _A[i] + _B[i], starts)
-        low = mix(minima) & np.uint64((1 << BITS) - 1)
-        per = 64 // BITS
-        for i in range(ORDERS):
-            signature[filled, i // per] |= low[i] << np.uint64(BITS * (i % per))
+        minima = _minima(x, starts, ORDERS)
+        signature[filled] = _bits(minima)
         for k in range(BANDS):
             key = np.full(len(filled), _SEEDS[k])
             for m in minima[k * BAND_MINIMA : (k + 1) * BAND_MINIMA]:
@@ -92,18 +107,18 @@ def sketches(x: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return sets, signature, bands
 
 
-def least_equal(threshold: float) -> int:
-    """Equal minima (of ORDERS) that a pair at the threshold shows but for one in a billion: six standard errors less."""
+def least_equal(threshold: float, orders: int = ORDERS) -> int:
+    """Equal minima that a pair at the threshold shows but for three in ten million: five standard errors less."""
     chance = 1 / (1 << BITS)
     p = threshold + (1 - threshold) * chance
-    return int(np.floor(ORDERS * p - 6 * np.sqrt(ORDERS * p * (1 - p))))
+    return int(np.floor(orders * p - 5 * np.sqrt(orders * p * (1 - p))))
 
 
 def equal_minima(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How many of the packed minima agree; rows of longs against rows of longs."""
     d = a ^ b
     d = (d | (d >> np.uint64(1))) & np.uint64(0x5555555555555555)
-    return ORDERS - np.bitwise_count(d).sum(axis=-1).astype(np.int64)
+    return a.shape[-1] * 64 // BITS - np.bitwise_count(d).sum(axis=-1).astype(np.int64)
 
 
 def _batches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -142,6 +157,24 @@ def full_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("i", "x", "text").mapInArrow(run, "i long, x long, grams array<long>").select(_node().alias("node"), "grams")
 
 
+def long_signatures(sets: DataFrame) -> DataFrame:
+    """node, n and the longer signature (binary) of nodes and their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("grams")
+            sizes = pa.compute.list_value_length(lists).to_numpy()
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            flat = lists.flatten().to_numpy().view(np.uint64)
+            for lo in range(0, b.num_rows, 512):
+                hi = min(lo + 512, b.num_rows)
+                part = _bits(_minima(flat[ends[lo] : ends[hi]], ends[lo:hi] - ends[lo], LONG_ORDERS)) if hi > lo else np.zeros((0, 1))
+                yield pa.RecordBatch.from_arrays([b.column("i").slice(lo, hi - lo), b.column("x").slice(lo, hi - lo), pa.array(sizes[lo:hi].astype(np.int32)), pa.array([r.tobytes() for r in part], pa.binary())], ["i", "x", "n", "signature"])
+
+    x = sets.select("node.i", "node.x", "grams").mapInArrow(run, "i long, x long, n int, signature binary")
+    return x.select(_node().alias("node"), "n", "signature")
+
+
 def _agreeing(a: Column, b: Column) -> Column:
     """equal_minima() as a Spark expression."""
     parts = []
@@ -159,8 +192,8 @@ def _cells(rows: DataFrame) -> DataFrame:
     sizes = rows.groupBy("g", "comp").agg(F.count("*").alias("k"))
     most = sizes.groupBy("g").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("k"), F.count("*").alias("comps")).where("comps > 1")
     blocks = lambda x: F.ceil(x / F.lit(BLOCK)).cast("int")
-    most = most.select("g", F.col("most.comp").alias("main"), blocks(F.col("most.k")).alias("mains"), blocks(F.col("k") - F.col("most.k")).alias("others"))
-    x = rows.join(most, "g").withColumn("is_main", F.col("comp") == F.col("main"))
+    most = most.select("g", F.col("most.comp").alias("main"), "k", blocks(F.col("most.k")).alias("mains"), blocks(F.col("k") - F.col("most.k")).alias("others"))
+    x = joined_back(rows, most, "g", "k").withColumn("is_main", F.col("comp") == F.col("main"))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
     x = x.withColumn("block", own)
     cell = lambda r, c: F.struct(r.cast("int").alias("r"), c.cast("int").alias("c"))
@@ -171,43 +204,7 @@ def _cells(rows: DataFrame) -> DataFrame:
     # in cell (r, r) all rows are on the right as on the left
     left = ~F.col("is_main") & (F.col("block") == F.col("cell.r"))
     right = F.col("is_main") | (F.col("block") == F.col("cell.c"))
-    return x.withColumn("cell_key", F.xxhash64("g", "cell")).withColumn("on_left", left).withColumn("on_right", right).drop("main", "mains", "others", "is_main", "block")
-
-
-def _labels(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
-    """Smallest index of each one's component, given which of left and right are linked."""
-    label = np.arange(n)
-    rows, cols = np.nonzero(linked)
-    u, v = left[rows], right[cols]
-    while True:
-        new = label.copy()
-        np.minimum.at(new, u, label[v])
-        np.minimum.at(new, v, label[u])
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections, from products of 0-1 matrices over shingles that several sets hold."""
-    sizes = np.array([len(s) for s in sets])
-    of = np.repeat(np.arange(len(sets)), sizes)
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = np.cumsum(count > 1) - 1
-    keep = count[column] > 1
-    of, column = of[keep], shared[column[keep]]
-    order = np.argsort(column, kind="stable")
-    of, column = of[order], column[order]
-    out = np.zeros((len(left), len(right)), dtype=np.float32)
-    width = 2048
-    cuts = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 1 + width, width))
-    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        if a < b:
-            x = np.zeros((len(sets), width), dtype=np.float32)
-            x[of[a:b], column[a:b] - k * width] = 1
-            out += x[left] @ x[right].T
-    return np.rint(out).astype(np.int64)
+    return x.withColumn("cell_key", F.xxhash64("g", "cell")).withColumn("on_left", left).withColumn("on_right", right).drop("main", "mains", "others", "is_main", "block", "k")
 
 
 def _by_cell(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -235,36 +232,40 @@ def _by_cell(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator
         yield whole()
 
 
-def _edges(cells: DataFrame, value: str, linked, what: str) -> DataFrame:
-    """Edges (a, b) of a spanning forest of each cell; linked(values, n, left, right) says which pairs are in, those of
-    one component excepted. what: the ends of an edge, node or comp."""
-    x = cells.select("cell_key", F.col("g").alias("g"), F.col("cell.r").alias("r"), F.col("cell.c").alias("c"), "on_left", "on_right", F.col("node.i").alias("i"), F.col("node.x").alias("x"), F.col("comp.i").alias("ci"), F.col("comp.x").alias("cx"), "n", value)
+def _alike(cells: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes that meet in a cell, belong to different components and may be links by size and signature."""
+    x = cells.select("cell_key", F.col("g").alias("g"), "on_left", "on_right", F.col("node.i").alias("i"), F.col("node.x").alias("x"), F.col("comp.i").alias("ci"), F.col("comp.x").alias("cx"), "n", "signature")
+    first, all_ = least_equal(percent / 100), least_equal(percent / 100, LONG_ORDERS)
+    short = ORDERS * BITS // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, begin in _by_cell(batches):
-            n = t["n"].to_numpy()
             sides = [t[c].to_numpy(zero_copy_only=False) for c in ("on_left", "on_right")]
-            ids = [t[c].to_numpy() for c in ("i", "x", "ci", "cx")]
-            values = t[value].combine_chunks()
-            flat, ptr = values.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(values).to_numpy())])
-            found: list[np.ndarray] = []
+            n = t["n"].to_numpy().astype(np.int64)
+            i, x, ci, cx = (t[c].to_numpy() for c in ("i", "x", "ci", "cx"))
+            s = np.frombuffer(b"".join(t["signature"].to_pylist()), dtype=np.uint64).reshape(len(n), -1)
+            found = [np.zeros((0, 2), dtype=np.int64)]
             for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-                left, right = np.flatnonzero(sides[0][lo:hi]), np.flatnonzero(sides[1][lo:hi])
-                ci, cx = ids[2][lo:hi], ids[3][lo:hi]
-                ok = (ci[left][:, None] != ci[right][None, :]) | (cx[left][:, None] != cx[right][None, :])
-                if ok.any():
-                    ok &= linked(flat, ptr[lo : hi + 1], n[lo:hi].astype(np.int64), left, right)
-                    if ok.any():
-                        label = _labels(ok, left, right, hi - lo)
-                        at = np.flatnonzero(label != np.arange(hi - lo))
-                        found.append(np.column_stack([at, label[at]]) + lo)
-            e = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-            i, x = (ids[0], ids[1]) if what == "node" else (ids[2], ids[3])
+                left, right = lo + np.flatnonzero(sides[0][lo:hi]), lo + np.flatnonzero(sides[1][lo:hi])
+                for k in range(0, len(left), 256):  # a few rows against all of the block at once
+                    a = left[k : k + 256]
+                    ok = (ci[a][:, None] != ci[right][None, :]) | (cx[a][:, None] != cx[right][None, :])
+                    ok &= 100 * np.minimum(n[a][:, None], n[right][None, :]) >= percent * np.maximum(n[a][:, None], n[right][None, :])
+                    ok &= equal_minima(s[a][:, None, :short], s[right][None, :, :short]) >= first
+                    p, q = np.nonzero(ok)
+                    p, q = a[p], right[q]
+                    for z in range(0, len(p), 1 << 16):
+                        u, v = p[z : z + (1 << 16)], q[z : z + (1 << 16)]
+                        same = equal_minima(s[u], s[v]) >= all_
+                        found.append(np.column_stack([u[same], v[same]]))
+            e = np.concatenate(found)
+            swap = (i[e[:, 0]] > i[e[:, 1]]) | ((i[e[:, 0]] == i[e[:, 1]]) & (x[e[:, 0]] > x[e[:, 1]]))
+            e[swap] = e[swap][:, ::-1]
             yield pa.RecordBatch.from_arrays([pa.array(v[e[:, k]]) for k in (0, 1) for v in (i, x)], ["ai", "ax", "bi", "bx"])
 
     # rows are dealt by cell, and a cell is bounded
     out = x.repartition("cell_key").sortWithinPartitions("cell_key").mapInArrow(run, "ai long, ax long, bi long, bx long")
-    return out.select(_node("ai", "ax").alias("a"), _node("bi", "bx").alias("b")).distinct()
+    return out.distinct().select(_node("ai", "ax").alias("a"), _node("bi", "bx").alias("b"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -274,10 +275,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = _batches(docs, id_col, text_col)
     sketched = checkpointed(sketch(docs, id_col, text_col, words))
     first = F.min(F.struct("i", "x", "n", "signature", "bands")).alias("first")
-    classes = checkpointed(sketched.where("n > 0").groupBy("set0", "set1").agg(first).select("set0", "set1", _node("first.i", "first.x").alias("node"), "first.n", "first.signature", "first.bands"))
+    classes = sketched.where("n > 0").groupBy("set0", "set1").agg(first, F.count("*").alias("docs"))
+    classes = checkpointed(classes.select("set0", "set1", "docs", _node("first.i", "first.x").alias("node"), "first.n", "first.signature", "first.bands"))
     banded = classes.select("node", F.explode("bands").alias("g"))
-    buckets = banded.groupBy("g").agg(F.min("node").alias("rep"), F.count("*").alias("k")).where("k > 1").select("g", "rep")
-    members = checkpointed(banded.join(buckets, "g"))
+    buckets = banded.groupBy("g").agg(F.min("node").alias("rep"), F.count("*").alias("k")).where("k > 1")
+    members = checkpointed(joined_back(banded, buckets, "g", "k").drop("k"))
 
     needed = members.select("node").distinct().select("node.i", "node.x")
     texts = rows.join(needed, ["i", "x"], "left_semi").groupBy("i", "x").agg(F.first("text").alias("text"))
@@ -286,37 +288,29 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signs = classes.select("node", "n", "signature")
     of = lambda df, c: df.select(F.col("node").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in df.columns if k != "node"])
     alike = least_equal(percent / 100)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(of(sets, "a"), "a").join(of(sets, "b"), "b").select("a", "b", F.size("grams_a").alias("n_a"), F.size("grams_b").alias("n_b"), F.size(F.array_intersect("grams_a", "grams_b")).alias("common"))
+        return both.where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+
     pairs = members.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = pairs.join(of(signs, "a"), "a").join(of(signs, "b"), "b")
     pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).where(_agreeing(F.col("signature_a"), F.col("signature_b")) >= alike)
-    both = pairs.select("a", "b", "n_a", "n_b").join(of(sets, "a"), "a").join(of(sets, "b"), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("grams_a", "grams_b")))
-    stars = both.where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
-    comps = checkpointed(connected(stars))
+    comps = checkpointed(connected(confirmed(pairs.select("a", "b"))))
 
     def component(df: DataFrame) -> DataFrame:
         return df.join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
 
-    def may_link(flat, ptr, n, left, right):
-        s = flat[ptr[0] : ptr[-1]].reshape(len(n), -1)
-        ok = 100 * np.minimum(n[left][:, None], n[right][None, :]) >= percent * np.maximum(n[left][:, None], n[right][None, :])
-        for a in range(0, len(left), 256):  # a few rows against all of the block at once
-            ok[a : a + 256] &= equal_minima(s[left[a : a + 256]][:, None, :], s[right][None, :, :]) >= alike
-        return ok
-
-    def do_link(flat, ptr, n, left, right):
-        common = _common([flat[a:b] for a, b in zip(ptr[:-1], ptr[1:], strict=True)], left, right)
-        return 100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)
-
-    mixed = _cells(component(members.select("g", "node"))).join(signs, "node")
-    families = connected(_edges(mixed, "signature", may_link, "node"))
-    together = _cells(component(families.select(F.xxhash64("root").alias("g"), "node")))
-    tested = together.join(sets, "node").withColumn("n", F.size("grams"))
-    joins = checkpointed(connected(_edges(tested, "grams", do_link, "comp")))
+    mixed = checkpointed(_cells(component(members.select("g", "node"))))
+    long = long_signatures(sets.join(mixed.select("node").distinct(), "node", "left_semi"))
+    more = checkpointed(confirmed(_alike(mixed.join(long, "node"), percent)))
+    comp_of = lambda c: component(more.select(F.col(c).alias("node"), F.col("b" if c == "a" else "a").alias("other"))).select(F.col("comp").alias(c), F.col("other").alias("node"))
+    joins = checkpointed(connected(component(comp_of("a")).select("a", F.col("comp").alias("b"))))
 
     roots = joins.select(F.col("node").alias("comp"), F.col("root").alias("last"))
-    of_class = component(classes.select("set0", "set1", "node")).join(roots, "comp", "left").select("set0", "set1", F.coalesce("last.i", "comp.i").alias("c"))
-    out = sketched.select("i", "n", "set0", "set1").join(of_class, ["set0", "set1"], "left").withColumn("c", F.coalesce("c", "i"))
+    of_class = component(classes.select("set0", "set1", "docs", "node")).join(roots, "comp", "left").select(F.struct("set0", "set1").alias("s"), "docs", F.coalesce("last.i", "comp.i").alias("c"))
+    filled = joined_back(sketched.where("n > 0").select("i", "n", F.struct("set0", "set1").alias("s")), of_class, "s", "docs").select("i", "n", "c")
+    out = filled.unionByName(sketched.where("n = 0").select("i", "n", F.col("i").alias("c")))
     return out.select(F.nullif("i", F.lit(_NULL_ID)).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.nullif("c", F.lit(_NULL_ID)).alias("component_id"), (F.col("i") == F.col("c")).alias("kept"))
 
 

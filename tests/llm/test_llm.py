@@ -322,6 +322,28 @@ def test_estimate_follows_similarity():
     assert minhash.least_equal(0.8) < agree
 
 
+def test_long_signatures_part_templated_texts(spark):
+    """Of pairs that share 70 % of their shingles hardly any go on to be confirmed at 85 %; pairs at 85 % all do."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 700, dtype=np.uint64)
+    passed = {}
+    for shared, own in ((700, 150), (700, 61)):  # similarities 0.7 and 0.852
+        sets = [np.unique(np.concatenate([base[:shared], rng.integers(0, 1 << 63, own, dtype=np.uint64)])) for _ in range(60)]
+        df = spark.createDataFrame([((k, k), x.view(np.int64).tolist()) for k, x in enumerate(sets)], "node struct<i:long,x:long>, grams array<long>")
+        rows = minhash.long_signatures(df).select(F.lit(1).alias("g"), "node", F.col("node").alias("comp"))
+        passed[own] = minhash._alike(minhash._cells(rows).join(minhash.long_signatures(df), "node"), 85).count()
+    assert passed[150] <= 0.03 * 1770 and passed[61] == 1770
+
+
+def test_heavy_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(components, "HEAVY", 3)
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 50), (2, 3), (3, 1), (None, 4)) for i in range(n)], "u long, v long")
+    least = rows.where("u < 3").groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+    assert Counter((r["u"], r["m"]) for r in got(components.joined_back(rows, least, "u", "k"))) == {(1, 0): 50, (2, 0): 3}
+    star = spark.createDataFrame([(7, i) for i in range(20, 90)] + [(89, 100), (5, 6)], "a long, b long")
+    assert {r["node"]: r["root"] for r in got(components.connected(star))} == {**{i: 7 for i in [7, *range(20, 90), 100]}, 5: 5, 6: 5}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 60), (60, 50), (70, 70), (None, 3)], "a long, b long")
     out = {r["node"]: r["root"] for r in got(components.connected(edges))}
