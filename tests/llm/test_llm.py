@@ -62,6 +62,52 @@ def test_licences(tables, name):
         assert next(r for r in out if r["doc_id"] == 9)["labels"] == "gpl,gpl-3.0"
 
 
+LICENCE_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def licence_labels(text, templates):
+    """Brute force: every template is laid at every start that one of its rare words asks for."""
+    split = lambda t: LICENCE_WORD.findall(t.translate(LOW))
+    all_words = [split(t) for _, t, _ in templates]
+    idf = {w: np.log((1 + len(templates)) / sum(w in t for t in all_words)) for t in all_words for w in t}
+    words, found = split(text), []
+    for (label, _, keys), t in zip(templates, all_words, strict=True):
+        rare = sorted(set(t), key=lambda w: (-idf[w], -len(w), w))[: licenses.RARE]
+        slack = len(t) // 8 if len(t) > 16 else 0
+        for s in {p - q for q, w in enumerate(t) if w in rare for p, x in enumerate(words) if x == w}:
+            near = lambda q, w: w in words[max(s + q, 0) : max(s + q + slack + 1, 0)]
+            agree = {w for q, w in enumerate(t) if w in rare and near(q, w)}
+            whole = all(any(t[q : q + len(k.split())] == k.split() and words[b + q : b + q + len(k.split())] == k.split() for q in range(len(t)) for b in range(s, s + slack + 1) if b + q >= 0) for k in keys)
+            covered = sum(idf[w] for q, w in enumerate(t) if near(q, w)) / sum(idf[w] for w in t)
+            if len(agree) >= np.ceil(licenses.VOTES * len(rare)) and whole and covered >= licenses.COVERAGE:
+                found.append((s, s + slack + len(t), len(t), label, covered))
+    best = [m for m in found if not any(o[0] <= m[0] and m[1] <= o[1] and m[2] < o[2] for o in found)]
+    base = {v for k, v in licenses.BASE.items() for i in range(len(words)) if words[i : i + len(k.split())] == k.split()}
+    return {m[3] for m in best} | base, max([m[4] for m in best], default=0.5 if base else 0.0) if not base else max([0.5, *(m[4] for m in best)])
+
+
+def test_licence_labels(spark):
+    """Licences with words changed, taken out and put in, between other words; and what only looks like one."""
+    import random
+
+    r = random.Random(3)
+    noise = [*"the of and a license software under version public granted mit apache 2 0 notice use copy".split(), *(f"w{i}" for i in range(40))]
+    texts = ["we will mit license nothing here", "apache license version 2 0", "mit license", "", None, "# * Licensed under the\n# * Apache License, Version 2.0", "licensed under cc by sa and cc by nc 4 0 all rights reserved"]
+    for _, t, _ in licenses.TEMPLATES * 3:
+        w = [x for x in t.split() if r.random() > r.choice([0, 0.02, 0.1])]
+        w = [x if r.random() > 0.02 else r.choice(noise) for x in w]
+        for _ in range(r.choice([0, 0, 2, 5])):
+            w.insert(r.randrange(len(w) + 1), r.choice(noise))
+        texts.append(" ".join([*r.choices(noise, k=r.randrange(30)), *w, *r.choices(noise, k=r.randrange(30))]))
+    out = got(licenses.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    labels = Counter()
+    for row in out:
+        expected, score = licence_labels(texts[row["doc_id"]] or "", licenses.TEMPLATES)
+        assert set(filter(None, row["labels"].split(","))) == expected and abs(row["score"] - min(score, 1)) < 1e-9
+        labels.update(expected)
+    assert len(out) == len(texts) and len(labels) >= 20 and out[0]["labels"] == out[2]["labels"] == "" and out[1]["labels"] == "apache-2.0"
+
+
 @pytest.mark.parametrize("name", ["docs", "odd", "empty"])
 @pytest.mark.parametrize("leaf", [64, bpe.LEAF_CHARS])
 def test_bpe(tables, name, leaf):
