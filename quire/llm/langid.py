@@ -12,14 +12,17 @@ values of L languages the largest is 2/L - 1 at least, whatever the text. So a f
 what share of the text's 4-letter sequences, repeats counted, two training texts of a language hold, against half of what
 the median training text of that language has in common with the others. Both are shares, so neither the length of a
 text nor the number of languages matters. Repeated rows are each answered; rows without a language do not train; with no
-training rows at all every text is `und`. Other columns are left aside.
+training rows at all every text is `und`; an empty table gives an empty result; a text of any length is taken whole, in
+one task. Other columns are left aside in `identify` unless they are kept, and kept in `accepted`.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,21 +34,34 @@ from .words import mix, slices
 #: Hash buckets of the n-grams, and lengths of the n-grams.
 BUCKETS = 1 << 13
 LENGTHS = (1, 2, 3, 4)
-TRAIN_ROWS = 3000
+#: The sample that is learned from: so many texts at most, of so many characters at most (whole texts; longer ones do not train).
+TRAIN_ROWS, TRAIN_CHARS = 3000, 5000
 LANDMARKS = 300
 #: A text is a language's own if its share of known sequences is at least so much of the median training text's.
 ACCEPTED = 0.5
-_other = re.compile(r"[\W\d_]+")
+
+
+@lru_cache(maxsize=1)
+def _other() -> re.Pattern:
+    """Runs of what is no letter by str.isalpha(): besides what \\W takes, numbers such as a half or a roman twelve."""
+    odd = [c for c in range(0x110000) if chr(c).isalnum() and not chr(c).isalpha()]
+    runs = [list(g) for _, g in itertools.groupby(odd, key=lambda c, n=itertools.count(): c - next(n))]
+    return re.compile(r"[\W_" + "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in runs) + "]+")
+
+
+def folded(text: str | None) -> str:
+    """The text's letters in lower case; everything else is one space, and none stands at the ends."""
+    return _other().sub(" ", (text or "").lower()).strip()
 
 
 def presence(texts: list[str | None], buckets: int = BUCKETS) -> np.ndarray:
     """One row of 0 or 1 for each text: which buckets its n-grams fall into; all 0 without letters."""
     out = np.zeros((len(texts), buckets), dtype=np.float32)
     for r, text in enumerate(texts):
-        folded = _other.sub(" ", (text or "").lower()).strip()
-        if not folded:
+        letters = folded(text)
+        if not letters:
             continue
-        codes = np.frombuffer(f" {folded} ".encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+        codes = np.frombuffer(f" {letters} ".encode("utf-32-le"), dtype="<u4").astype(np.uint64)
         for n in LENGTHS:
             h = np.full(max(len(codes) - n + 1, 0), n, dtype=np.uint64)
             for i in range(n):
@@ -56,10 +72,10 @@ def presence(texts: list[str | None], buckets: int = BUCKETS) -> np.ndarray:
 
 def sequences(text: str | None) -> np.ndarray:
     """A 32-bit hash of each run of 4 folded letters, repeats counted; one at least for a text with a letter."""
-    folded = _other.sub(" ", (text or "").lower()).strip()
-    if not folded:
+    letters = folded(text)
+    if not letters:
         return np.zeros(0, dtype=np.uint32)
-    codes = np.frombuffer(f" {folded}  ".encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    codes = np.frombuffer(f" {letters}  ".encode("utf-32-le"), dtype="<u4").astype(np.uint64)
     h = np.zeros(len(codes) - 3, dtype=np.uint64)
     for i in range(4):
         h = h * np.uint64(0x100000001B3) + codes[i : i + len(h)]
@@ -145,14 +161,12 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
     return Model(known, base, np.vstack([root @ solved[:-1], solved[-1:]]), list(held), list(floors))
 
 
-def training_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, chars: int = 5000) -> DataFrame:
-    """The bounded sample that is learned from: of the different texts and languages, the `rows` with the smallest hash.
-
-    Hashes are ranked first, so texts are fetched for those alone. Only training texts are cut, after `chars`
-    characters: that bounds what the driver gets."""
-    x = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.xxhash64("text"))
+def training_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> DataFrame:
+    """The bounded sample that is learned from: of the different texts (of up to `chars` characters) and languages, the
+    `rows` with the smallest hash. Hashes are ranked first, so texts are fetched for those alone."""
+    x = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL").where(F.length("text") <= chars).withColumn("h", F.xxhash64("text"))
     last = x.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    return x.where(F.col("h") <= F.lit(last)).groupBy("h", "lang").agg(F.first(F.substring("text", 1, chars)).alias("text")).orderBy("h", "lang").limit(rows).select("text", "lang")
+    return x.where(F.col("h") <= F.lit(last)).groupBy("h", "lang").agg(F.first("text").alias("text")).orderBy("h", "lang").limit(rows).select("text", "lang")
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:

@@ -418,6 +418,36 @@ def test_languages(docs, odd):
     assert {r["lang_pred"] for r in got(langid.identify(odd, none))} == {"und"}
 
 
+def test_letters_are_what_isalpha_says(docs):
+    samples = ["½ ② ①", "Ⅻ", "١٢", "_", "5 €", "é", "日本", "x½", "ªº", "\u0301", "漢字 一"]
+    model = langid.train(docs)
+    for t in samples:
+        assert bool(langid.folded(t)) == any(c.isalpha() for c in t.lower())
+        assert (model.predict([t])[0][0] == "und") == (not any(c.isalpha() for c in t))
+
+
+def test_kernel_ridge_by_brute_force():
+    """The kernel over sets of n-gram buckets, the Nystroem map and the ridge solution, one number at a time."""
+    train = ["the cat sat on the mat", "a dog and the cat", "der hund und die katze", "die maus ist im haus", "le chat est sur la table", "le chien dort"]
+    langs = ["en", "en", "de", "de", "fr", "fr"]
+    model = langid.fit(train, langs, landmarks=6, ridge=0.5)
+    sets = lambda t: set(np.flatnonzero(langid.presence([t])[0]).tolist())
+    kernel = lambda a, b: len(sets(a) & sets(b)) / np.sqrt(len(sets(a)) * len(sets(b)))
+    order = [2, 0, 4, 3, 1, 5]  # landmarks: in turn from de, en, fr
+    marks = [train[i] for i in order]
+    k = np.array([[kernel(a, b) for b in marks] for a in marks])
+    w, v = np.linalg.eigh(k)
+    root = v @ np.diag(w**-0.5) @ v.T
+    phi = lambda t: np.append(root @ np.array([kernel(t, m) for m in marks]), 1.0)
+    x = np.array([phi(t) for t in train])
+    y = np.array([[1.0 if n == c else -1.0 for c in ("de", "en", "fr")] for n in langs])
+    solved = np.linalg.solve(x.T @ x + np.diag([0.5 * 6 / 100] * 6 + [0.0]), x.T @ y)
+    for t in ["the dog", "die katze", "la table", "xyz the"]:
+        value = phi(t) @ solved
+        lang, score = model.predict([t])
+        assert lang[0] == ("de", "en", "fr")[int(value.argmax())] and abs(score[0] - np.clip((value.max() + 1) / 2, 0, 1)) < 1e-4
+
+
 def test_language_stage_drops_what_no_language_holds(spark, docs, data):
     """However many languages are learned and however long the text; labels of junk do not help it."""
     import base64
