@@ -487,10 +487,99 @@ def test_pipeline(spark, data, tmp_path, odd):
         before = after
     out = got(corpus_pipeline.encode(spark, before, data))
     assert Counter((r["doc_id"], hashlib.sha256(bytes(r["ids"])).hexdigest()) for r in out) == Counter((i, hashlib.sha256(np.array(lib.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()).hexdigest()) for i, t in texts(before))
-    small = odd.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def test_pipeline_keeps_users_columns(spark, data, odd):
+    """Columns that are named as the operators name theirs come out of every stage as they went in."""
+    import corpus_pipeline
+
+    more = {c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in ("lang_pred", "score", "n_words", "n_removed", "kept_text", "component_id", "kept", "taken", "size", "target", "id", "key")}
+    small = odd.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars")).withColumns(more)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, small, data)
+        assert after.schema.names == small.schema.names and [f.dataType for f in after.schema] == [f.dataType for f in small.schema]
+        out = got(after)
+        assert out and all(r[c] == f"{c} of {'none' if r['doc_id'] is None else r['doc_id']}" for r in out for c in more)
+        small = spark.createDataFrame([tuple(r[c] for c in small.columns) for r in out], small.schema)
+    assert corpus_pipeline.encode(spark, small, data).columns == ["doc_id", "n_tokens", "ids", "decoded"]
+
+
+def test_pipeline_of_nothing(spark, data, odd):
+    import corpus_pipeline
+
+    none = odd.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars")).limit(0)
     for _, stage in corpus_pipeline.STAGES:
-        small = stage(spark, small, data)
-    small.count()
+        assert got(stage(spark, none, data)) == []
+
+
+def test_language_stage_by_brute_force(spark, docs, data):
+    """Shares of 4-letter sequences as texts, not hashes, over the texts that the stage learns from."""
+    import corpus_pipeline
+
+    def grams(t):
+        x = f" {langid.folded(t)}  "
+        return [x[i : i + 4] for i in range(len(x) - 3)] if langid.folded(t) else []
+
+    more = docs.unionByName(docs.where("lang = 'en'").limit(20).withColumns({"doc_id": (F.col("doc_id") + 10**6).cast(docs.schema["doc_id"].dataType), "text": F.translate("text", "abcdefghijklmnopqrstuvwxyz", "qxzjvkwybgpfmucldhrsnitoae")}))
+    by = defaultdict(list)
+    for r in langid.training_rows(more).collect():
+        if langid.folded(r.text):
+            by[r.lang].append(grams(r.text))
+    held = {v: {g for g, n in Counter(g for t in each for g in set(t)).items() if n > 1} for v, each in by.items()}
+    share = lambda t, v: sum(g in held[v] for g in t) / len(t) if t else 0.0
+    floor = {v: langid.ACCEPTED * np.median([share(t, v) for t in each]) for v, each in by.items()}
+    expected = {i for i, t in texts(more) if grams(t) and any(share(grams(t), v) >= floor[v] for v in by)}
+    assert {r.doc_id for r in corpus_pipeline.language(spark, more, data).collect()} == expected
+
+
+def test_mix_stage_by_sql(spark, docs, data):
+    """The rows that the stage sends, as often as the SQL of the mixing plan says."""
+    import corpus_pipeline
+    import duckdb
+
+    part = docs.where("doc_id % 3 > 0")
+    con = duckdb.connect()
+    con.register("documents", part.toPandas())
+    expected = Counter({i: k // n for i, n, k in con.execute(f"SELECT doc_id, size, taken FROM ({mixing.ORACLE_SQL}) WHERE taken > 0").fetchall()})
+    assert Counter(r.doc_id for r in corpus_pipeline.mix(spark, part, data).collect()) == expected
+
+
+def test_entry_functions(spark, data, docs):
+    """What each query derives from its operator's output."""
+    import zlib
+
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    by = dict(texts(docs))
+    out = {k: {r["doc_id"]: r for r in got(entry.queries()[n](spark, data))} for k, n in ((1, "op1_license_scan"), (2, "op2_bpe_roundtrip"), (4, "op4_token_counts"), (5, "op5_substring_dedup"), (6, "op6_quality_rules"), (8, "op8_near_copies"), (9, "op9_weighted_mix"), (10, "op10_language_id"))}
+    assert all(set(v) == set(by) for v in out.values())
+    words, counts = bpe.library(entry.tokenizer("word_bpe_49k.json")), bpe.library(entry.tokenizer("byte_bpe_50k.json"))
+    cut = removed(texts(docs), 20)
+    components = {i: c for i, _, c, _ in linked(texts(docs), 3, 85)}
+    model = langid.train(docs.where("crc32(cast(doc_id AS string)) % 4 <> 2"))
+    rules = quality.learn_rules(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    kept = {r.doc_id: r.kept for r in quality.judge(docs, rules).collect()}
+    for i, t in by.items():
+        ids = words.encode(t, add_special_tokens=False).ids
+        r = out[2][i]
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(np.array(ids, dtype="<u4").tobytes()), sha(words.decode(ids, skip_special_tokens=False).encode()))
+        n = len(counts.encode(t, add_special_tokens=False).ids)
+        assert (out[4][i]["n_tokens"], out[4][i]["over_limit"], out[4][i]["n_bytes"]) == (n, n > 1024, len(t.encode()))
+        assert (out[5][i]["n_removed"], out[5][i]["kept_sha256"]) == (cut[i, t][2], sha(cut[i, t][0].encode()))
+        assert (out[8][i]["component_id"], out[8][i]["kept"]) == (components[i], components[i] == i)
+        assert out[9][i]["size"] == len(WORD.findall(t)) and out[6][i]["kept"] == kept[i]
+        assert out[10][i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and out[10][i]["lang_pred"] == model.predict([t])[0][0]
+    near = got(entry.queries()["op7_nearest_neighbours"](spark, data))
+    assert {r["query_id"] % 20 for r in near} == {0} and Counter(r["query_id"] for r in near).most_common()[-1][1] == 20
+
+
+def test_verdict_of_learned_rules(spark, docs, data):
+    """kept, by the rules asked one after the other on plain numbers."""
+    rules = quality.learn_rules(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    assert rules
+    for r in quality.judge(docs, rules).collect():
+        x = {f: r[of] / (max(r[by], 1) if by else 1) for f, (of, by) in quality.FEATURES.items()}
+        named = any(all((x[c.feature] >= c.threshold) == c.above for c in rule) for rule in rules)
+        assert r.kept == (not r.base_failed and not named)
 
 
 def test_all_are_registered():
