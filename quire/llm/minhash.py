@@ -7,12 +7,13 @@ Texts with equal sets are one class, so copies count once from here on. Classes
 1. each class is paired with the smallest class of each of its buckets (a count and a join, never all pairs),
 2. components are formed of the pairs that are links, and
 3. in buckets that still hold several components, classes of different components are compared by longer signatures
-   (512 orders) in blocks inside tasks, which put out only the pairs that may be links.
+   (1024 orders) in blocks inside tasks, each pair in the first bucket that it shares. Classes that may have a link there
+   meet once more in the same blocks with their full sets, and links come out as a spanning forest, never as all pairs.
 
 A pair's similarity is estimated from equal bits, less those that agree by chance; pairs whose estimate lies five
 standard errors below the threshold, or whose set sizes rule a link out, go no further: of texts that share 70 % of their
-shingles, one pair in a hundred passes at 85 %. Each pair that passes is confirmed once, on full sets. At similarity 0.8
-a pair shares no band with a probability of 3e-6 (0.85: 2e-8), and fails the estimate with 3e-7: that is what may be lost.
+shingles, one pair in a million passes at 85 %. All links are confirmed on full sets. At similarity 0.8 a pair shares no
+band with a probability of 3e-6 (0.85: 2e-8), and fails the estimate with 3e-7: that is what may be lost.
 
 Words: A-Z lower-cased, runs of `[^\\x20\\x09-\\x0D]`. A text with fewer words than a shingle has one shingle, all its
 words. Null, empty and blank texts have the empty set, are linked with nothing and stay. Rows with a null id count as
@@ -37,9 +38,9 @@ from .words import Texts, mix, slices
 #: Random orders, bits of each minimum that a signature keeps, bands and minima in a band (bands come from the first ones).
 ORDERS, BITS, BANDS, BAND_MINIMA = 128, 2, 24, 4
 #: Orders of the longer signature; the first ones are the same.
-LONG_ORDERS = 512
-#: Rows of a bucket that are compared with as many others at once.
-BLOCK = 1024
+LONG_ORDERS = 1024
+#: Rows of a bucket that are compared with as many others at once, and shingles that they hold about.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
 #: Stands for a null id: behind all others.
 _NULL_ID = (1 << 63) - 1
 _rng = np.random.default_rng(8)
@@ -185,14 +186,14 @@ def _agreeing(a: Column, b: Column) -> Column:
 
 
 def _cells(rows: DataFrame) -> DataFrame:
-    """rows: g, node, comp and more. Deals rows of groups with several components to cells (r, c) so that any two rows
+    """rows: g, node, comp, n and more. Deals rows of groups with several components to cells (r, c) so that any two rows
     of one group and different components meet in one cell, which holds about two blocks at most.
 
     The group's largest component is never set against itself: that is what keeps large groups of copies linear."""
-    sizes = rows.groupBy("g", "comp").agg(F.count("*").alias("k"))
-    most = sizes.groupBy("g").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("k"), F.count("*").alias("comps")).where("comps > 1")
-    blocks = lambda x: F.ceil(x / F.lit(BLOCK)).cast("int")
-    most = most.select("g", F.col("most.comp").alias("main"), "k", blocks(F.col("most.k")).alias("mains"), blocks(F.col("k") - F.col("most.k")).alias("others"))
+    sizes = rows.groupBy("g", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    most = sizes.groupBy("g").agg(F.max(F.struct("k", "comp", "n")).alias("most"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = lambda k, n: F.greatest(F.ceil(k / F.lit(BLOCK)), F.ceil(n / F.lit(BLOCK_SHINGLES))).cast("int")
+    most = most.select("g", "k", F.col("n").alias("n_all"), F.col("most.comp").alias("main"), blocks(F.col("most.k"), F.col("most.n")).alias("mains"), blocks(F.col("k") - F.col("most.k"), F.col("n") - F.col("most.n")).alias("others"))
     x = joined_back(rows, most, "g", "k").withColumn("is_main", F.col("comp") == F.col("main"))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
     x = x.withColumn("block", own)
@@ -200,11 +201,48 @@ def _cells(rows: DataFrame) -> DataFrame:
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     main = F.transform(upto(F.col("others")), lambda j: cell(j, F.col("others") + F.col("block")))
     other = F.transform(upto(F.col("others") + F.col("mains")), lambda j: F.when(j < F.col("block"), cell(j, F.col("block"))).otherwise(cell(F.col("block"), j)))
-    x = x.withColumn("cell", F.explode(F.when(F.col("is_main"), main).otherwise(other)))
+    small = (F.col("k") <= BLOCK) & (F.col("n_all") <= BLOCK_SHINGLES)  # a group that is one cell
+    x = x.withColumn("cell", F.explode(F.when(small, F.array(cell(F.lit(0), F.lit(0)))).when(F.col("is_main"), main).otherwise(other)))
     # in cell (r, r) all rows are on the right as on the left
     left = ~F.col("is_main") & (F.col("block") == F.col("cell.r"))
     right = F.col("is_main") | (F.col("block") == F.col("cell.c"))
-    return x.withColumn("cell_key", F.xxhash64("g", "cell")).withColumn("on_left", left).withColumn("on_right", right).drop("main", "mains", "others", "is_main", "block", "k")
+    return x.withColumn("cell_key", F.xxhash64("g", "cell")).withColumn("on_left", left).withColumn("on_right", right).drop("main", "mains", "others", "is_main", "block", "k", "n_all", "cell")
+
+
+def _labels(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """Smallest index of each one's component, given which of left and right are linked."""
+    label = np.arange(n)
+    rows, cols = np.nonzero(linked)
+    u, v = left[rows], right[cols]
+    while True:
+        new = label.copy()
+        np.minimum.at(new, u, label[v])
+        np.minimum.at(new, v, label[u])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections, from products of 0-1 matrices over shingles that several sets hold."""
+    sizes = np.array([len(s) for s in sets])
+    of = np.repeat(np.arange(len(sets)), sizes)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    keep = count[column] > 1
+    of, column = of[keep], shared[column[keep]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    width = 2048
+    cuts = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 1 + width, width))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if a < b:
+            x = np.zeros((len(sets), width), dtype=np.float32)
+            x[of[a:b], column[a:b] - k * width] = 1
+            out += x[left] @ x[right].T
+    return np.rint(out).astype(np.int64)
 
 
 def _by_cell(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -232,38 +270,77 @@ def _by_cell(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator
         yield whole()
 
 
+_CELL = "cell_key long, on_left boolean, on_right boolean, i long, x long, ci long, cx long"
+
+
+def _flat(cells: DataFrame, *more: str) -> DataFrame:
+    return cells.select("cell_key", "on_left", "on_right", F.col("node.i").alias("i"), F.col("node.x").alias("x"), F.col("comp.i").alias("ci"), F.col("comp.x").alias("cx"), *more)
+
+
+def _apart(t: pa.Table, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the rows a and b belong to different components."""
+    ci, cx = t["ci"].to_numpy(), t["cx"].to_numpy()
+    return (ci[a][:, None] != ci[b][None, :]) | (cx[a][:, None] != cx[b][None, :])
+
+
 def _alike(cells: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes that meet in a cell, belong to different components and may be links by size and signature."""
-    x = cells.select("cell_key", F.col("g").alias("g"), "on_left", "on_right", F.col("node.i").alias("i"), F.col("node.x").alias("x"), F.col("comp.i").alias("ci"), F.col("comp.x").alias("cx"), "n", "signature")
+    """The rows of cells that may be linked to one of another component there, by sizes and signatures.
+
+    cells: band (which one g is a key of), bands (all keys) and signature besides; a pair counts in its first common band."""
+    x = _flat(cells, "n", "band", "bands", "signature")
     first, all_ = least_equal(percent / 100), least_equal(percent / 100, LONG_ORDERS)
     short = ORDERS * BITS // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, begin in _by_cell(batches):
             sides = [t[c].to_numpy(zero_copy_only=False) for c in ("on_left", "on_right")]
-            n = t["n"].to_numpy().astype(np.int64)
-            i, x, ci, cx = (t[c].to_numpy() for c in ("i", "x", "ci", "cx"))
+            n, band = t["n"].to_numpy().astype(np.int64), t["band"].to_numpy()
             s = np.frombuffer(b"".join(t["signature"].to_pylist()), dtype=np.uint64).reshape(len(n), -1)
-            found = [np.zeros((0, 2), dtype=np.int64)]
+            bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(n), -1)
+            hit = np.zeros(len(n), dtype=bool)
             for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
                 left, right = lo + np.flatnonzero(sides[0][lo:hi]), lo + np.flatnonzero(sides[1][lo:hi])
                 for k in range(0, len(left), 256):  # a few rows against all of the block at once
                     a = left[k : k + 256]
-                    ok = (ci[a][:, None] != ci[right][None, :]) | (cx[a][:, None] != cx[right][None, :])
+                    ok = _apart(t, a, right)
                     ok &= 100 * np.minimum(n[a][:, None], n[right][None, :]) >= percent * np.maximum(n[a][:, None], n[right][None, :])
                     ok &= equal_minima(s[a][:, None, :short], s[right][None, :, :short]) >= first
                     p, q = np.nonzero(ok)
                     p, q = a[p], right[q]
-                    for z in range(0, len(p), 1 << 16):
-                        u, v = p[z : z + (1 << 16)], q[z : z + (1 << 16)]
-                        same = equal_minima(s[u], s[v]) >= all_
-                        found.append(np.column_stack([u[same], v[same]]))
-            e = np.concatenate(found)
-            swap = (i[e[:, 0]] > i[e[:, 1]]) | ((i[e[:, 0]] == i[e[:, 1]]) & (x[e[:, 0]] > x[e[:, 1]]))
-            e[swap] = e[swap][:, ::-1]
-            yield pa.RecordBatch.from_arrays([pa.array(v[e[:, k]]) for k in (0, 1) for v in (i, x)], ["ai", "ax", "bi", "bx"])
+                    for z in range(0, len(p), 1 << 15):
+                        u, v = p[z : z + (1 << 15)], q[z : z + (1 << 15)]
+                        same = (equal_minima(s[u], s[v]) >= all_) & ((bands[u] == bands[v]).argmax(axis=1) == band[u])
+                        hit[u[same]] = hit[v[same]] = True
+            yield pa.RecordBatch.from_arrays([t[c].combine_chunks().filter(pa.array(hit)) for c in ("cell_key", "on_left", "on_right", "i", "x", "ci", "cx")], ["cell_key", "on_left", "on_right", "i", "x", "ci", "cx"])
 
     # rows are dealt by cell, and a cell is bounded
+    out = x.repartition("cell_key").sortWithinPartitions("cell_key").mapInArrow(run, _CELL)
+    return out.select("cell_key", "on_left", "on_right", _node().alias("node"), _node("ci", "cx").alias("comp"))
+
+
+def _links(cells: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of components that links connect: a spanning forest of each cell. cells: rows with their sets (grams)."""
+    x = _flat(cells, "grams")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, begin in _by_cell(batches):
+            sides = [t[c].to_numpy(zero_copy_only=False) for c in ("on_left", "on_right")]
+            grams = t["grams"].combine_chunks()
+            n = pa.compute.list_value_length(grams).to_numpy().astype(np.int64)
+            flat, ptr = grams.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(n)])
+            found = [np.zeros((0, 2), dtype=np.int64)]
+            for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                left, right = np.flatnonzero(sides[0][lo:hi]), np.flatnonzero(sides[1][lo:hi])
+                ok = _apart(t, lo + left, lo + right)
+                if ok.any():
+                    common = _common([flat[a:b] for a, b in zip(ptr[lo:hi], ptr[lo + 1 : hi + 1], strict=True)], left, right)
+                    ok &= 100 * common >= percent * (n[lo + left][:, None] + n[lo + right][None, :] - common)
+                    label = _labels(ok, left, right, hi - lo)
+                    at = np.flatnonzero(label != np.arange(hi - lo))
+                    found.append(np.column_stack([at, label[at]]) + lo)
+            e = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(t[c].to_numpy()[e[:, k]]) for k in (0, 1) for c in ("ci", "cx")], ["ai", "ax", "bi", "bx"])
+
     out = x.repartition("cell_key").sortWithinPartitions("cell_key").mapInArrow(run, "ai long, ax long, bi long, bx long")
     return out.distinct().select(_node("ai", "ax").alias("a"), _node("bi", "bx").alias("b"))
 
@@ -277,7 +354,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.min(F.struct("i", "x", "n", "signature", "bands")).alias("first")
     classes = sketched.where("n > 0").groupBy("set0", "set1").agg(first, F.count("*").alias("docs"))
     classes = checkpointed(classes.select("set0", "set1", "docs", _node("first.i", "first.x").alias("node"), "first.n", "first.signature", "first.bands"))
-    banded = classes.select("node", F.explode("bands").alias("g"))
+    banded = classes.select("node", "n", F.posexplode("bands").alias("band", "g"))
     buckets = banded.groupBy("g").agg(F.min("node").alias("rep"), F.count("*").alias("k")).where("k > 1")
     members = checkpointed(joined_back(banded, buckets, "g", "k").drop("k"))
 
@@ -301,11 +378,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def component(df: DataFrame) -> DataFrame:
         return df.join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
 
-    mixed = checkpointed(_cells(component(members.select("g", "node"))))
-    long = long_signatures(sets.join(mixed.select("node").distinct(), "node", "left_semi"))
-    more = checkpointed(confirmed(_alike(mixed.join(long, "node"), percent)))
-    comp_of = lambda c: component(more.select(F.col(c).alias("node"), F.col("b" if c == "a" else "a").alias("other"))).select(F.col("comp").alias(c), F.col("other").alias("node"))
-    joins = checkpointed(connected(component(comp_of("a")).select("a", F.col("comp").alias("b"))))
+    mixed = checkpointed(_cells(component(members.drop("rep"))))
+    long = long_signatures(sets.join(mixed.select("node").distinct(), "node", "left_semi")).join(classes.select("node", "bands"), "node")
+    may = _alike(mixed.drop("n").join(long, "node"), percent)
+    joins = checkpointed(connected(_links(may.join(sets, "node"), percent)))
 
     roots = joins.select(F.col("node").alias("comp"), F.col("root").alias("last"))
     of_class = component(classes.select("set0", "set1", "docs", "node")).join(roots, "comp", "left").select(F.struct("set0", "set1").alias("s"), "docs", F.coalesce("last.i", "comp.i").alias("c"))

@@ -376,9 +376,22 @@ def test_long_signatures_part_templated_texts(spark):
     for shared, own in ((700, 150), (700, 61)):  # similarities 0.7 and 0.852
         sets = [np.unique(np.concatenate([base[:shared], rng.integers(0, 1 << 63, own, dtype=np.uint64)])) for _ in range(60)]
         df = spark.createDataFrame([((k, k), x.view(np.int64).tolist()) for k, x in enumerate(sets)], "node struct<i:long,x:long>, grams array<long>")
-        rows = minhash.long_signatures(df).select(F.lit(1).alias("g"), "node", F.col("node").alias("comp"))
-        passed[own] = minhash._alike(minhash._cells(rows).join(minhash.long_signatures(df), "node"), 85).count()
-    assert passed[150] <= 0.03 * 1770 and passed[61] == 1770
+        rows = minhash.long_signatures(df).select(F.lit(1).cast("long").alias("g"), "node", F.col("node").alias("comp"), "n", F.lit(0).alias("band"), F.array(F.lit(1).cast("long")).alias("bands"), "signature")
+        passed[own] = minhash._alike(minhash._cells(rows), 85).select("node").distinct().count()
+    assert passed[150] == 0 and passed[61] == 60
+
+
+def test_group_of_near_copies_with_many_components(spark):
+    """Versions of one text, similar enough to share all buckets, of which about a third of the pairs are links."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(150):
+        w = [f"w{k}" for k in range(150)]
+        for k in rng.integers(0, 150, rng.integers(1, 9)):
+            w[k] = f"x{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    out = got(minhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85))
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in out) == linked(rows, 3, 85)
 
 
 def test_heavy_keys_are_joined_apart(spark, monkeypatch):
