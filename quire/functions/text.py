@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,13 +32,13 @@ def remove_non_ascii(text: Column) -> Column:
 
 
 def remove_non_printable(text: Column) -> Column:
-    """Special spaces become a space and line ends \\n, control characters go, the ends are trimmed; letters, digits,
-    white space and . , ! ? - _ stay."""
+    """Special spaces become a space and line ends \\n, control characters go, the ends are trimmed; letters, numbers,
+    white space and . , ! ? - _ stay. Fixed values: the classes of characters."""
     x = F.regexp_replace(text, r"[\u2000-\u200B\u202F\u205F\u3000]", " ")
     x = F.regexp_replace(x, r"[\u2028\u2029\r]", "\n")
     x = F.regexp_replace(x, r"[\p{C}&&[^\n\t]]", "")
     x = strip(F.regexp_replace(x, r"\u00A0", " "))
-    return F.regexp_replace(x, r"(?U)[^\w\s.,!?\-]", "")
+    return F.regexp_replace(x, r"[^\p{L}\p{N}_\s.,!?\-]", "")
 
 
 def thinking(text: Column) -> Column:
@@ -63,9 +65,10 @@ def text_operation(text: Column, operation: str) -> Column:
     return known[operation](text)
 
 
-def with_prefix(id: Column, table: str) -> Column:
+def with_prefix(id: Column, table: str | Column) -> Column:
     """The id with its table's prefix, added if it is missing."""
-    return F.when(F.startswith(id, F.lit(f"{table}:")), id).otherwise(F.concat(F.lit(f"{table}:"), id))
+    prefix = F.concat(F.lit(table) if isinstance(table, str) else table, F.lit(":"))
+    return F.when(F.startswith(id, prefix), id).otherwise(F.concat(prefix, id))
 
 
 def required(text: Column) -> Column:
@@ -105,18 +108,26 @@ def repository_of(url: Column) -> Column:
 
 
 def compare_versions(a: Column, b: Column) -> Column:
-    """-1, 0 or 1. Releases compare number by number, missing ones as 0; a < b < rc < none < post; dev before all."""
-
-    def key(v: Column) -> Column:
-        v = F.regexp_replace(F.lower(strip(v)), "^v", "")
-        release = F.transform(F.split(F.regexp_extract(v, r"^(\d+(?:\.\d+)*)", 1), r"\."), lambda x: x.cast("long"))
-        padded = F.slice(F.concat(release, F.array_repeat(F.lit(0).cast("long"), 12)), 1, 12)
-        number = lambda p: F.coalesce(F.nullif(F.regexp_extract(v, p, 1), F.lit("")).cast("long"), F.lit(0))
+    """-1, 0 or 1. Epochs, then releases number by number, missing ones as 0; a < b < rc < none < post; dev before all;
+    then local parts after `+`: none before any, words before numbers."""
+    plain = lambda v: F.regexp_replace(F.lower(strip(v)), "^v", "")
+    release = lambda v: F.transform(F.split(F.regexp_extract(plain(v), r"^(?:\d+!)?(\d+(?:\.\d+)*)", 1), r"\."), lambda x: x.try_cast("long"))
+
+    def key(v: Column, width: Column) -> Column:
+        numbers = F.concat(release(v), F.array_repeat(F.lit(0).cast("long"), width - F.size(release(v))))
+        v, local = F.substring_index(plain(v), "+", 1), F.when(F.contains(plain(v), F.lit("+")), F.substring_index(plain(v), "+", -1))
+        number = lambda p: F.coalesce(F.nullif(F.regexp_extract(v, p, 1), F.lit("")).cast("long"), F.lit(0).cast("long"))
         stage = F.when(F.regexp_like(v, F.lit(r"\d[._-]?(a|alpha)[._-]?\d*")), 1).when(F.regexp_like(v, F.lit(r"\d[._-]?(b|beta)[._-]?\d*")), 2).when(F.regexp_like(v, F.lit(r"\d[._-]?(rc|c|pre|preview)[._-]?\d*")), 3)
         stage = F.coalesce(stage, F.when(F.regexp_like(v, F.lit("dev")), 0).when(F.regexp_like(v, F.lit("post")), 5).otherwise(4))
-        return F.concat(padded, F.array(stage.cast("long"), number(r"(?:a|alpha|b|beta|rc|c|preview|pre)[._-]?(\d+)"), number(r"post[._-]?(\d+)"), F.when(F.regexp_like(v, F.lit("dev")), 0).otherwise(1).cast("long"), number(r"dev[._-]?(\d+)")))
-
-    x, y = key(a), key(b)
+        part = lambda x: F.struct(x.try_cast("long").isNotNull().alias("number"), F.coalesce(x.try_cast("long"), F.lit(0).cast("long")).alias("n"), F.when(x.try_cast("long").isNull(), x).otherwise(F.lit("")).alias("t"))
+        locals_ = F.transform(F.split(local, "[._-]"), part)
+        return F.struct(
+            number(r"^(\d+)!").alias("epoch"), numbers.alias("release"), stage.cast("long").alias("stage"), number(r"(?:a|alpha|b|beta|rc|c|preview|pre)[._-]?(\d+)").alias("pre"), number(r"post[._-]?(\d+)").alias("post"),
+            F.when(F.regexp_like(v, F.lit("dev")), 0).otherwise(1).alias("final"), number(r"dev[._-]?(\d+)").alias("dev"), F.coalesce(locals_, F.array().cast("array<struct<number:boolean,n:bigint,t:string>>")).alias("local"),
+        )
+
+    width = F.greatest(F.size(release(a)), F.size(release(b)))
+    x, y = key(a, width), key(b, width)
     return F.when(x < y, -1).when(x > y, 1).otherwise(0)
 
 
@@ -172,3 +183,36 @@ def linked_citations(text: Column) -> Column:
     one = r"(?:source_insight|note|source):[a-zA-Z0-9_]{1,100}(?![a-zA-Z0-9_])"
     pattern = rf"\[\[{one}\]\]|\[{one}\]|\[\*\*{one}\*\*\]|\*\*{one}\*\*|{one}"
     return _rewritten(text, pattern, lambda m: F.concat(F.lit("["), m, F.lit("]"), href(m)))
+
+
+def json_array(text: Column, schema: str = "array<string>") -> Column:
+    """A JSON list as an array; null for no text, an error for text that is no JSON list."""
+    x = F.from_json(text, schema, {"mode": "FAILFAST"})
+    return F.when(text.isNull() | (text == ""), F.lit(None)).when(x.isNull(), F.raise_error(F.concat(F.lit("invalid JSON: "), text)).cast(schema)).otherwise(x)
+
+
+def whole_json(*columns: str) -> Column:
+    """A row, with the structs inside it, as one JSON text; null fields are left out."""
+    return F.to_json(F.struct(*columns))
+
+
+def briefing(default: Column, suffix: Column) -> Column:
+    """The default briefing, and the additional instructions if there are any."""
+    more = F.when(suffix.isNotNull() & (suffix != ""), F.concat(F.lit("\n\nAdditional instructions: "), suffix))
+    return F.concat(default, F.coalesce(more, F.lit("")))
+
+
+def rendered(template: str, **values: Column) -> Column:
+    """The template with each {{name}} replaced by its value, null as ''; what a value holds is not read again."""
+    parts, at = [], 0
+    for m in re.finditer(r"\{\{\s*(\w+)\s*\}\}", template):
+        if m[1] not in values:
+            raise ValueError(f"no value for {m[1]}")
+        parts += [F.lit(template[at : m.start()]), F.coalesce(values[m[1]].cast("string"), F.lit(""))]
+        at = m.end()
+    return F.concat(*parts, F.lit(template[at:]))
+
+
+def among(value: Column, allowed: tuple[str, ...], what: str = "value") -> Column:
+    """The value, or an error if it is none of the allowed ones; null stays."""
+    return F.when(value.isNull() | value.isin(*allowed), value).otherwise(F.raise_error(F.concat(F.lit(f"invalid {what}: "), value)))

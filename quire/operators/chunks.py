@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Separators from coarse to fine.
@@ -53,14 +55,23 @@ def split_text(text: str, size: int = 500, overlap: int | None = None, length: C
     return chunks
 
 
+def _slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with about `most` bytes of text; one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def chunked(docs: DataFrame, id_col: str = "id", text_col: str = "full_text", size: int = 500) -> DataFrame:
     """id, order (from 0) and content of each chunk; null and blank texts have none."""
     x = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for part in _slices(b):
                 cut = [split_text(t, size) if t else [] for t in part.column("text").to_pylist()]
                 index = pa.array([i for i, c in enumerate(cut) for _ in c], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("id").take(index), pa.array([k for c in cut for k in range(len(c))], pa.int32()), pa.array([t for c in cut for t in c], pa.string())], ["id", "order", "content"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,7 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def embedded(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], text_col: str = "content", retries: int = 5) -> DataFrame:
+#: Seconds between tries: from the first to the longest, doubled each time, with up to the first added by chance.
+WAIT = (1.0, 30.0)
+
+
+def embedded(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], text_col: str = "content", retries: int = 5, wait: tuple[float, float] = WAIT) -> DataFrame:
     """Adds `embedding` (empty for null texts). A batch is asked again up to `retries` times if the call fails."""
     x = rows.drop("embedding")
 
@@ -17,23 +23,24 @@ def embedded(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], t
         for b in batches:
             texts = b.column(text_col).to_pylist()
             asked = [t for t in texts if t is not None]
-            got = iter(_tried(embed, asked, retries) if asked else [])
+            got = iter(_tried(embed, asked, retries, wait) if asked else [])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([[] if t is None else list(next(got)) for t in texts], pa.list_(pa.float64()))], [*b.schema.names, "embedding"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields)
     return x.mapInArrow(run, f"{fields}, embedding array<double>")
 
 
-def _tried(call, argument, retries: int):
-    for left in range(retries, 0, -1):
+def _tried(call, argument, retries: int, wait: tuple[float, float] = WAIT):
+    for n in range(retries):
         try:
             return call(argument)
         except (RuntimeError, ConnectionError, TimeoutError):
-            if left == 1:
+            if n == retries - 1:
                 raise
+            time.sleep(min(wait[1], wait[0] * 2**n + random.uniform(0, wait[0])))
 
 
-def transformed(docs: DataFrame, transformations: list[tuple[str, str]], answer: Callable[[list[tuple[str, str]]], list[str]], id_col: str = "id", text_col: str = "full_text") -> DataFrame:
+def transformed(docs: DataFrame, transformations: list[tuple[str, str]], answer: Callable[[list[tuple[str, str]]], list[str]], id_col: str = "id", text_col: str = "full_text", retries: int = 5, wait: tuple[float, float] = WAIT) -> DataFrame:
     """source, insight_type, content: each named prompt (title, prompt) applied to each text; null texts give none."""
     each = F.array(*[F.struct(F.lit(t).alias("insight_type"), F.lit(p).alias("prompt")) for t, p in transformations])
     x = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("source"), F.col(text_col).alias("text"), F.explode(each).alias("t")).select("source", "t.insight_type", "t.prompt", "text")
@@ -41,11 +48,19 @@ def transformed(docs: DataFrame, transformations: list[tuple[str, str]], answer:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             asked = list(zip(b.column("prompt").to_pylist(), b.column("text").to_pylist(), strict=True))
-            yield pa.RecordBatch.from_arrays([b.column("source"), b.column("insight_type"), pa.array(_tried(answer, asked, 5) if asked else [], pa.string())], ["source", "insight_type", "content"])
+            yield pa.RecordBatch.from_arrays([b.column("source"), b.column("insight_type"), pa.array(_tried(answer, asked, retries, wait) if asked else [], pa.string())], ["source", "insight_type", "content"])
 
     return x.mapInArrow(run, f"source {x.schema['source'].dataType.simpleString()}, insight_type string, content string")
 
 
+def titled(notes: DataFrame, answer: Callable[[list[tuple[str, str]]], list[str]], prompt: str, **options) -> DataFrame:
+    """Notes with a title: the answer to the prompt for notes of type ai that have content and no title (ids are unique)."""
+    bare = (F.coalesce("title", F.lit("")) == "") & (F.col("note_type") == "ai") & (F.coalesce("content", F.lit("")) != "")
+    made = transformed(notes.where(bare), [("title", prompt)], answer, "id", "content", **options).select(F.col("source").alias("__id"), F.col("content").alias("__title"))
+    x = notes.join(made, F.col("id") == F.col("__id"), "left")
+    return x.select(*[F.coalesce("__title", "title").alias(c) if c == "title" else F.col(c) for c in notes.columns])
+
+
 def to_embed(source: DataFrame, embedding: DataFrame, note: DataFrame, insight: DataFrame, existing: bool) -> DataFrame:
     """type, id of what a rebuild embeds: what has vectors (existing), or all that has text."""
     has = (F.col("embedding").isNotNull()) & (F.size("embedding") > 0)

@@ -36,7 +36,8 @@ def _strip(c: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    x = docs.select(F.col(id_col).alias("source_id"), F.xxhash64(text_col).alias("doc"), F.col(text_col).alias("text")).where(F.length("text") > 0).distinct()
+    x = docs.select(F.col(id_col).alias("source_id"), F.xxhash64(text_col).alias("doc"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+    x = x.groupBy("source_id", "doc").agg(F.first("text").alias("text"))  # rows that are repeated are one document
     school = F.coalesce(_strip(_found(F.col("text"), SCHOOL, 1)), F.lit("Unknown School"))
     x = x.select("source_id", "doc", school.alias("school_name"), F.posexplode(F.split("text", "\n")).alias("n", "raw"))
     return x.withColumn("line", _strip(F.col("raw")))

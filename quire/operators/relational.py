@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -112,3 +114,73 @@ def available(path: Column, root: str, existing: DataFrame, base: DataFrame) ->
     x = x.join(existing.select(F.col("path").alias("__there")).distinct(), F.col("__path") == F.col("__there"), "left")
     flag = F.when(F.col("__path").isNull(), F.lit(None).cast("boolean")).when(~F.startswith("__path", F.lit(root)), False).otherwise(F.col("__there").isNotNull())
     return x.withColumn("file_available", flag).drop("__path", "__there")
+
+
+def scanned(df: DataFrame, required: tuple[str, ...] = (), order: list[Column] | None = None) -> DataFrame:
+    """All rows whose required columns are not blank, in order; the others are skipped."""
+    ok = reduce(lambda a, c: a & F.coalesce(F.trim(F.col(c).cast("string")) != "", F.lit(False)), required, F.lit(True))
+    return df.where(ok).orderBy(*order) if order else df.where(ok)
+
+
+def records(tables: dict[str, DataFrame], ids: DataFrame, columns: list[str]) -> DataFrame:
+    """table and columns of the records that ids (column `id`, prefix:key) name; each table is asked for its own prefix.
+
+    Ids of no table, or of no row, give nothing."""
+    own = lambda name: ids.where(F.substring_index("id", ":", 1) == name).select("id").distinct()
+    return reduce(DataFrame.unionByName, [df.join(own(name), "id", "left_semi").select(F.lit(name).alias("table"), *columns) for name, df in tables.items()])
+
+
+def record(tables: dict[str, DataFrame], id: str) -> DataFrame:
+    """The row with this id, from the table that its prefix names."""
+    name = id.partition(":")[0]
+    if name not in tables:
+        raise ValueError(f"no table of {id}")
+    return tables[name].where(F.col("id") == id)
+
+
+def singleton(df: DataFrame, id: str, defaults: dict) -> DataFrame:
+    """One row: the fields of the record with this id, and the default where it, or a field of it, is missing."""
+    found = df.where(F.col("id") == id).limit(1).agg(*[F.first(c).alias(c) for c in defaults])  # one row, of nulls if there is none
+    return found.select(F.lit(id).alias("id"), *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in defaults.items()])
+
+
+def bound_query(spark: SparkSession, text: str, views: dict[str, DataFrame], **arguments) -> DataFrame:
+    """A query over the views with named arguments (:name), which are bound and never put into its text."""
+    return spark.sql(text, args=arguments, **views)
+
+
+def by_field(df: DataFrame, path: str, direction: str, *more: str) -> DataFrame:
+    """Order by a field inside a struct."""
+    c = F.col(path)
+    return df.orderBy(c.desc() if direction == "desc" else c.asc(), *more)
+
+
+def scrolled(df: DataFrame, order: list, offset: int, limit: int = 30) -> DataFrame:
+    """The next rows of a total order, and has_more: whether the page is full, so that there may be another."""
+    x = df.orderBy(*order).offset(offset).limit(limit)
+    return x.join(F.broadcast(x.agg((F.count("*") == limit).alias("has_more"))))  # one row
+
+
+def with_profile(episodes: DataFrame, speakers: DataFrame) -> DataFrame:
+    """Episode profiles with the speakers of the profile that speaker_config names; those that name none go."""
+    return episodes.join(speakers.select(F.col("name").alias("speaker_config"), F.col("speakers")), "speaker_config")
+
+
+def commands_by_app(commands: DataFrame) -> DataFrame:
+    """app_id, its command names in order, and their number."""
+    return commands.groupBy("app_id").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"), F.count("*").alias("commands"))
+
+
+def listed_episodes(episodes: DataFrame, states: DataFrame) -> DataFrame:
+    """Episodes that have a command or an audio file, with job_status: that of the command (unknown if it has none), or
+    completed for an audio file alone. states: job_id, status."""
+    has = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    x = episodes.where(has("command") | has("audio_file")).join(states.select(F.col("job_id").alias("__job"), F.col("status").alias("__status")), F.col("command") == F.col("__job"), "left")
+    return x.withColumn("job_status", F.when(has("command"), F.coalesce("__status", F.lit("unknown"))).otherwise("completed")).drop("__job", "__status")
+
+
+def latest(df: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """The last row of each `by` in the order, from partial maxima."""
+    rest = [c for c in df.columns if c != by and c not in order]
+    top = df.groupBy(by).agg(F.max(F.struct(*order, *rest)).alias("__last"))
+    return top.select(*[F.col(by) if c == by else F.col(f"__last.{c}").alias(c) for c in df.columns])

@@ -1,7 +1,7 @@
 """BM25 text search and cosine vector search with grouped top-k results.
 
-Queries are a few terms or one vector: they are literals of the plan. Texts are tokenised once and counted in place, so
-a search is a scan with a partial aggregation; only the k best rows of each branch move.
+Queries are a few terms or one vector: they are literals of the plan. Texts are tokenised once and counted in place: one
+scan writes narrow rows of counts, from which statistics and scores are taken; only the k best rows of each branch move.
 """
 
 from __future__ import annotations
@@ -13,15 +13,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem, stems
+from .durable import checkpointed
 
 K1, B = 1.2, 0.75
 
 
+#: A number, or letters up to where a capital follows a small letter.
+TOKEN = r"\p{N}+|\p{L}(?:[\p{L}&&[^\p{Lu}]]|(?<!\p{Ll})\p{Lu})*"
+
+
 def tokens(text: Column) -> Column:
     """Words and numbers in lower case; a change from lower to upper case or between letters and digits parts them."""
-    x = F.regexp_replace(text, r"(\p{Ll})(\p{Lu})", "$1 $2")
-    x = F.regexp_replace(F.regexp_replace(x, r"(\p{L})(\p{N})", "$1 $2"), r"(\p{N})(\p{L})", "$1 $2")
-    return F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower)
 
 
 def query_terms(query: str) -> list[str]:
@@ -49,25 +52,38 @@ def word_forms(x: DataFrame, words: str, stemmed: list[str]) -> DataFrame:
     return vocabulary.where(F.col("__s").isin(stemmed)).agg(*[F.collect_set(F.when(F.col("__s") == s, F.col("__w"))).alias(f"__form{i}") for i, s in enumerate(stemmed)])
 
 
-def bm25(docs: DataFrame, text: str, query: str, stemmed: bool = False) -> DataFrame:
-    """docs with `relevance`, for rows that hold all terms; statistics are those of all rows with a text.
+def _counted(docs: DataFrame, texts: list[str], query: str, stemmed: bool, keep: list[str]) -> tuple[DataFrame, int]:
+    """keep, and for each text the number of its words (null for null) and how often it holds each term; and how many terms.
 
-    With `stemmed`, a term stands for all words with its English stem."""
+    Texts are tokenised here, once, for statistics and scores alike: the counts are written out, narrow rows of numbers."""
     terms = query_terms(query)
-    x = docs.where(F.col(text).isNotNull()).withColumn("__t", tokens(F.col(text)))
+    x = docs.select(*keep, *[tokens(F.col(t)).alias(f"__t{j}") for j, t in enumerate(texts)])
     if stemmed:
         terms = list(dict.fromkeys(map(stem, terms)))
-        x = x.join(F.broadcast(word_forms(x.select("__t"), "__t", terms)))  # one row
-    x = x.withColumn("__dl", F.size("__t"))
-    for i, term in enumerate(terms):
-        x = x.withColumn(f"__tf{i}", F.size(F.filter("__t", _among(f"__form{i}") if stemmed else _equals(term))))
-    x = x.drop("__t", *[f"__form{i}" for i in range(len(terms))])
-    stats = x.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(terms))])
-    x = x.where(reduce(lambda a, b: a & b, [F.col(f"__tf{i}") > 0 for i in range(len(terms))]))
-    x = x.join(F.broadcast(stats))  # one row
+        words = x.select(F.array_union(*[F.coalesce(f"__t{j}", F.array().cast("array<string>")) for j in range(len(texts))]).alias("__t")) if len(texts) == 2 else x.select("__t0").toDF("__t")
+        x = x.join(F.broadcast(word_forms(words, "__t", terms)))  # one row
+    count = lambda j, i: F.size(F.filter(f"__t{j}", _among(f"__form{i}") if stemmed else _equals(terms[i])))
+    numbers = [c for j in range(len(texts)) for c in (F.when(F.col(f"__t{j}").isNotNull(), F.size(f"__t{j}")).alias(f"__dl{j}"), *[count(j, i).alias(f"__tf{j}_{i}") for i in range(len(terms))])]
+    return checkpointed(x.select(*keep, *numbers)), len(terms)
+
+
+def _scored(counted: DataFrame, j: int, terms: int, keep: list[str]) -> DataFrame:
+    """keep and relevance, for the rows whose j-th text holds all terms; statistics are those of all rows with such a text."""
+    x = counted.where(F.col(f"__dl{j}").isNotNull()).select(*keep, F.col(f"__dl{j}").alias("__dl"), *[F.col(f"__tf{j}_{i}").alias(f"__tf{i}") for i in range(terms)])
+    stats = x.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(terms)])
+    x = x.where(reduce(lambda a, b: a & b, [F.col(f"__tf{i}") > 0 for i in range(terms)])).join(F.broadcast(stats))  # one row
     n, norm = F.col("__n"), K1 * (1 - B + B * F.col("__dl") / F.col("__avg"))
-    score = [F.ln(1 + (n - F.col(f"__df{i}") + 0.5) / (F.col(f"__df{i}") + 0.5)) * F.col(f"__tf{i}") * (K1 + 1) / (F.col(f"__tf{i}") + norm) for i in range(len(terms))]
-    return x.withColumn("relevance", reduce(lambda a, b: a + b, score)).drop("__dl", "__n", "__avg", *[f"__{s}{i}" for i in range(len(terms)) for s in ("tf", "df")])
+    score = [F.ln(1 + (n - F.col(f"__df{i}") + 0.5) / (F.col(f"__df{i}") + 0.5)) * F.col(f"__tf{i}") * (K1 + 1) / (F.col(f"__tf{i}") + norm) for i in range(terms)]
+    return x.select(*keep, reduce(lambda a, b: a + b, score).alias("relevance"))
+
+
+def bm25(docs: DataFrame, text: str, query: str, stemmed: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """The columns keep (all, if None) with `relevance`, for rows that hold all terms.
+
+    With `stemmed`, a term stands for all words with its English stem."""
+    keep = docs.columns if keep is None else keep
+    counted, terms = _counted(docs, [text], query, stemmed, keep)
+    return _scored(counted, 0, terms, keep)
 
 
 def highlight(text: Column, query: str) -> Column:
@@ -76,23 +92,31 @@ def highlight(text: Column, query: str) -> Column:
     return F.regexp_replace(text, rf"(?iU)\b({words})\b", "`$1`")
 
 
-def text_search(query: str, k: int, source: DataFrame, embedding: DataFrame, insight: DataFrame, note: DataFrame, sources: bool = True, notes: bool = True, stemmed: bool = True) -> DataFrame:
-    """id, parent_id, title, relevance: six branches with statistics of their own, best score of each id.
+def text_branches(query: str, source: DataFrame, embedding: DataFrame, insight: DataFrame, note: DataFrame, sources: bool = True, notes: bool = True, stemmed: bool = True) -> dict[str, DataFrame]:
+    """id, parent_id, title, relevance of each of the six texts that are searched, statistics of their own.
 
-    An insight is its own parent here, as in the behaviour that is rebuilt."""
+    An insight is its own parent here, as in the behaviour that is rebuilt. Titles are joined to the rows that are found."""
     titles = source.select(F.col("id").alias("source"), F.col("title").alias("source_title"))
     pick = lambda df, id, parent, title: df.groupBy(F.col(id).alias("id"), F.col(parent).alias("parent_id"), title.alias("title")).agg(F.max("relevance").alias("relevance"))
-    ranked = lambda df, text: bm25(df, text, query, stemmed)
-    parts = []
+    out = {}
     if sources:
-        parts.append(pick(ranked(source.select("id", "title"), "title"), "id", "id", F.col("title")))
-        parts.append(pick(ranked(embedding.select("source", "content"), "content").join(titles, "source", "left"), "source", "source", F.col("source_title")))
-        parts.append(pick(ranked(source.select("id", "title", "full_text"), "full_text"), "id", "id", F.col("title")))
-        parts.append(pick(ranked(insight.select("id", "source", "insight_type", "content"), "content").join(titles, "source", "left"), "id", "id", insight_title()))
+        counted, n = _counted(source.select("id", "title", "full_text"), ["title", "full_text"], query, stemmed, ["id", "title"])
+        chunks, k = _counted(embedding.select("source", "content"), ["content"], query, stemmed, ["source"])
+        insights, m = _counted(insight.select("id", "source", "insight_type", "content"), ["content"], query, stemmed, ["id", "source", "insight_type"])
+        out["source title"] = pick(_scored(counted, 0, n, ["id", "title"]), "id", "id", F.col("title"))
+        out["chunk"] = pick(_scored(chunks, 0, k, ["source"]).join(titles, "source", "left"), "source", "source", F.col("source_title"))
+        out["source text"] = pick(_scored(counted, 1, n, ["id", "title"]), "id", "id", F.col("title"))
+        out["insight"] = pick(_scored(insights, 0, m, ["id", "source", "insight_type"]).join(titles, "source", "left"), "id", "id", insight_title())
     if notes:
-        parts.append(pick(ranked(note.select("id", "title"), "title"), "id", "id", F.col("title")))
-        parts.append(pick(ranked(note.select("id", "title", "content"), "content"), "id", "id", F.col("title")))
-    return _best(parts, "relevance", k)
+        counted, n = _counted(note.select("id", "title", "content"), ["title", "content"], query, stemmed, ["id", "title"])
+        for j, name in enumerate(("note title", "note text")):
+            out[name] = pick(_scored(counted, j, n, ["id", "title"]), "id", "id", F.col("title"))
+    return out
+
+
+def text_search(query: str, k: int, source: DataFrame, embedding: DataFrame, insight: DataFrame, note: DataFrame, sources: bool = True, notes: bool = True, stemmed: bool = True) -> DataFrame:
+    """id, parent_id, title, relevance: the best score of each id over the six branches, the k best."""
+    return _best(list(text_branches(query, source, embedding, insight, note, sources, notes, stemmed).values()), "relevance", k)
 
 
 def insight_title() -> Column:
@@ -139,15 +163,15 @@ def vector_search(q: list[float], k: int, source: DataFrame, embedding: DataFram
     return _best(parts, "similarity", k, matches=matches)
 
 
-#: A batch of searches holds so many at most: what one question is split into.
-MOST_SEARCHES = 5
-
-
 def batch_search(queries: list[tuple[str, list[float]]], embedding: DataFrame, k: int = 10, least: float = 0.2) -> DataFrame:
     """query, rank, id, similarity of each query's k best chunks, from one scan for all queries."""
-    if len(queries) > MOST_SEARCHES:
-        raise ValueError(f"{MOST_SEARCHES} searches at most")
     each = F.array(*[F.struct(F.lit(name).alias("query"), F.when(F.size("embedding") == len(q), cosine(F.col("embedding"), q)).alias("similarity")) for name, q in queries])
     x = embedding.select("id", F.explode(each).alias("m")).select("id", "m.*").where(F.col("similarity") >= least)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("similarity").desc(), "id"))
     return x.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "similarity")
+
+
+def resorted(results: DataFrame) -> DataFrame:
+    """Adds final_score, the first of relevance, similarity and score that is there (0 for none), best first."""
+    scores = [F.col(c).cast("double") for c in ("relevance", "similarity", "score") if c in results.columns]
+    return results.withColumn("final_score", F.coalesce(*scores, F.lit(0.0))).orderBy(F.col("final_score").desc(), "id")

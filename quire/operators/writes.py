@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,11 +51,40 @@ def unlinked(edges: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def free_names(taken: DataFrame, new: DataFrame) -> DataFrame:
-    """Adds `free_name` to new (file_name): `name (n).ext` with numbers from the first that is free behind all taken ones."""
-    parts = lambda c: {"__stem": F.regexp_extract(c, r"^(.*?)(?: \((\d+)\))?(\.[^.]*)?$", 1), "__no": F.coalesce(F.regexp_extract(c, r"^(.*?)(?: \((\d+)\))?(\.[^.]*)?$", 2).try_cast("int"), F.lit(0)), "__ext": F.regexp_extract(c, r"(\.[^.]*)?$", 1)}
-    from pyspark.sql import Window
-
-    t = taken.withColumns(parts(F.col("file_name"))).groupBy("__stem", "__ext").agg(F.max("__no").alias("__most"))
-    x = new.withColumns({"__stem": F.regexp_extract("file_name", r"^(.*?)(\.[^.]*)?$", 1), "__ext": F.regexp_extract("file_name", r"(\.[^.]*)?$", 1)}).join(t, ["__stem", "__ext"], "left")
-    n = F.row_number().over(Window.partitionBy("__stem", "__ext").orderBy("file_name")) + F.coalesce("__most", F.lit(-1))
-    return x.withColumn("__n", n).withColumn("free_name", F.when(F.col("__n") == 0, F.col("file_name")).otherwise(F.concat("__stem", F.lit(" ("), F.col("__n").cast("string"), F.lit(")"), "__ext"))).drop("__stem", "__ext", "__most", "__n")
+    """Adds `free_name` to new (file_name): the name itself, or `stem (n).ext` with the first number that is free.
+
+    Of new rows with one name the first takes it if nobody has it; names that are taken as they are count as taken for the
+    numbered ones, so no two rows get one name. The extension begins at the last dot, if that is not the first character."""
+    split = r"^(.+)(\.[^.]+)$"
+    stem = lambda c: F.coalesce(F.nullif(F.regexp_extract(c, split, 1), F.lit("")), c)
+    order = Window.partitionBy("file_name").orderBy(F.monotonically_increasing_id())
+    x = new.withColumn("__nth", F.row_number().over(order))
+    have = taken.select(F.col("file_name").alias("__have")).distinct()
+    x = x.join(have, F.col("file_name") == F.col("__have"), "left")
+    x = x.withColumn("__as_is", (F.col("__nth") == 1) & F.col("__have").isNull())
+    # how many of a name need numbers: all of its rows, but for one that keeps the name
+    asked = x.groupBy("file_name").agg(F.count_if(~F.col("__as_is")).alias("__asked")).where("__asked > 0").withColumnRenamed("file_name", "__name")
+    used = have.unionByName(x.where("__as_is").select(F.col("file_name").alias("__have")))
+    numbered = r"^(.*) \(([1-9]\d{0,17})\)(\.[^.]+)?$"
+    used = used.where(F.regexp_like("__have", F.lit(numbered))).select(F.concat(F.regexp_extract("__have", numbered, 1), F.regexp_extract("__have", numbered, 3)).alias("__name"), F.regexp_extract("__have", numbered, 2).cast("long").alias("__n"))
+    used = used.join(asked.select("__name"), "__name", "left_semi").distinct()
+    spent = asked.join(used.groupBy("__name").agg(F.count("*").alias("__used")), "__name", "left")
+    free = spent.select("__name", "__asked", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__asked") + F.coalesce("__used", F.lit(0)))).alias("__n")).join(used, ["__name", "__n"], "left_anti")
+    free = free.withColumn("__place", F.row_number().over(Window.partitionBy("__name").orderBy("__n"))).where("__place <= __asked").select("__name", "__n", "__place")
+    place = F.when(~F.col("__as_is"), F.row_number().over(Window.partitionBy("file_name", "__as_is").orderBy("__nth")))
+    x = x.withColumn("__want", place)
+    x = x.join(free, (F.col("file_name") == F.col("__name")) & (F.col("__want") == F.col("__place")), "left")
+    ext = F.regexp_extract("file_name", split, 2)
+    name = F.when(F.col("__as_is"), F.col("file_name")).otherwise(F.concat(stem(F.col("file_name")), F.lit(" ("), F.col("__n").cast("string"), F.lit(")"), ext))
+    return x.select(*[F.col(f"`{c}`") for c in new.columns], name.alias("free_name"))
+
+
+def cloned(table: DataFrame, key: str, copies: DataFrame, name: str = "name", mark: str = " - Copy") -> DataFrame:
+    """Rows of the table whose `key` is among copies (columns key, new_key), under the new key and with the name marked."""
+    x = table.join(copies.select(F.col("key").alias("__key"), F.col("new_key").alias("__new")), F.col(key) == F.col("__key"))
+    return x.select(*[F.col("__new").alias(c) if c == key else F.concat(F.col(c), F.lit(mark)).alias(c) if c == name else F.col(c) for c in table.columns])
+
+
+def seeded(table: DataFrame, seed: DataFrame, key: str = "id") -> DataFrame:
+    """The table with the seed's rows that it has no key of yet; what is there stays as it is."""
+    return table.unionByName(seed.join(table.select(key), key, "left_anti"), allowMissingColumns=True)

@@ -2,34 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunks, context, models, register, relational, search, writes
 from ..sources import files
 from ..streaming import jobs
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 from .views import Tables, sql
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
 #: Query vector: that of vec_id 0, read from the table. Query text: two frequent words of the texts.
 TEXT = "the of"
 
 
-def query(oracle: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
 def _vector(t: Tables, vec_id: int) -> list[float]:
     """One row's vector."""
     row = t.raw("embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()
@@ -54,10 +43,10 @@ def vector_search(t: Tables) -> DataFrame:
   c AS (SELECT id, id AS parent_id, title, content, similarity FROM ({_NEAR.format('v_note')}) WHERE similarity >= 0.1 ORDER BY similarity DESC, id LIMIT 20),
   u AS (SELECT a.id, parent_id, s.title, content, similarity FROM a LEFT JOIN v_source s ON s.id = a.parent_id
     UNION SELECT b.id, parent_id, insight_type || ' - ' || coalesce(s.title, ''), content, similarity FROM b LEFT JOIN v_source s ON s.id = b.parent_id UNION SELECT * FROM c)
-  SELECT id, parent_id, title, round(max(similarity), 6) AS similarity, count(*) AS n_matches FROM u GROUP BY id, parent_id, title ORDER BY max(similarity) DESC, id LIMIT 20"""))
+  SELECT id, parent_id, title, round(max(similarity), 6) AS similarity, string_agg(content, '|' ORDER BY similarity DESC, content) AS matches FROM u GROUP BY id, parent_id, title ORDER BY max(similarity) DESC, id LIMIT 20"""))
 def vector_search_grouped(t: Tables) -> DataFrame:
     x = search.vector_search(_vector(t, 0), 20, t.source(), t.source_embedding(), t.source_insight(), t.note(), least=0.1)
-    return x.select("id", "parent_id", "title", F.round("similarity", 6).alias("similarity"), F.size("matches").cast("long").alias("n_matches"))
+    return x.select("id", "parent_id", "title", F.round("similarity", 6).alias("similarity"), F.array_join("matches", "|").alias("matches"))
 
 
 _TOKENS = r"regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace({0}, '(\p{{Ll}})(\p{{Lu}})', '\1 \2', 'g'), '(\p{{L}})(\p{{N}})', '\1 \2', 'g'), '(\p{{N}})(\p{{L}})', '\1 \2', 'g')), '[\p{{L}}\p{{N}}]+')"
@@ -86,9 +75,38 @@ def text_search_union(t: Tables) -> DataFrame:
     return search.text_search(TEXT, 25, t.source(), t.source_embedding(), t.source_insight(), t.note(), stemmed=False).withColumn("relevance", F.round("relevance", 6))
 
 
-@query()
+#: Forms of two stems: what the stemmed query stands for, as plain words.
+_FORMS = {"'the'": "['license', 'licensed', 'licenses', 'licensing', 'licens']", "'of'": "['version', 'versions', 'versioned', 'versioning']"}
+
+
+def _stemmed(text: str) -> str:
+    for word, forms in _FORMS.items():
+        text = text.replace(f"x = {word}", f"list_contains({forms}, x)")
+    return text
+
+
+@query(sql("source", _stemmed(f", x AS (SELECT id, full_text FROM v_source), {_bm25('r', 'x', 'full_text')} SELECT id, round(relevance, 6) AS relevance FROM r")))
 def text_search_stemmed(t: Tables) -> DataFrame:
-    return search.bm25(t.source().select("id", "full_text"), "full_text", TEXT, stemmed=True).select("id", F.round("relevance", 6).alias("relevance"))
+    return search.bm25(t.source().select("id", "full_text"), "full_text", "Licensing versions", stemmed=True).select("id", F.round("relevance", 6).alias("relevance"))
+
+
+_BRANCHES = f""", {_bm25('a', 'v_source', 'title')}, {_bm25('b', 'v_source_embedding', 'content')}, {_bm25('c', 'v_source', 'full_text')}, {_bm25('d', 'v_source_insight', 'content')}, {_bm25('e', 'v_note', 'title')}, {_bm25('g', 'v_note', 'content')},
+  u AS (SELECT 'source title' AS branch, id AS i, max(relevance) AS r FROM a GROUP BY id, title UNION ALL SELECT 'chunk', source, max(relevance) FROM b GROUP BY source UNION ALL SELECT 'source text', id, max(relevance) FROM c GROUP BY id, title
+    UNION ALL SELECT 'insight', id, max(relevance) FROM d GROUP BY id, source, insight_type UNION ALL SELECT 'note title', id, max(relevance) FROM e GROUP BY id, title UNION ALL SELECT 'note text', id, max(relevance) FROM g GROUP BY id, title)
+  SELECT branch, count(*) AS found, round(max(r), 6) AS best, round(sum(r), 4) AS total FROM u GROUP BY branch"""
+
+
+@query(sql("source source_embedding source_insight note", _BRANCHES))
+def text_search_branches(t: Tables) -> DataFrame:
+    found = search.text_branches(TEXT, t.source(), t.source_embedding(), t.source_insight(), t.note(), stemmed=False)
+    parts = [df.agg(F.count("*").alias("found"), F.round(F.max("relevance"), 6).alias("best"), F.round(F.sum("relevance"), 4).alias("total")).select(F.lit(name).alias("branch"), "found", "best", "total") for name, df in found.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("SELECT doc_id, sha256(regexp_replace(text, '(?i)\\b(the|of)\\b', '`\\1`', 'g')) AS marked FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+def text_highlight(t: Tables) -> DataFrame:
+    plain = t.raw("documents").where(F.col("text").isNotNull() & ~F.regexp_like("text", F.lit(r"[^\x00-\x7F]")))
+    return plain.select("doc_id", F.sha2(search.highlight(F.col("text"), TEXT).cast("binary"), 256).alias("marked"))
 
 
 @query(sql("source_embedding", """, q AS (SELECT 'label ' || vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 3),
@@ -145,8 +163,8 @@ def acm_summary_global(t: Tables) -> DataFrame:
     return relational.register_summary(t.acm_record())
 
 
-@query(sql("acm_record", """SELECT school_name, building_id, '' AS building_name, coalesce(room_id, '') AS room_id, '' AS room_name, product, material_description, '' AS extent, '' AS location, '' AS friable, '' AS material_condition,
-  coalesce(risk_status, '') AS risk_status, result FROM v_acm_record WHERE source_id = 'source:2' ORDER BY building_id, room_id, id"""))
+@query(sql("acm_record", """SELECT building_id AS "Building ID", '' AS "Building Name", coalesce(room_id, '') AS "Room ID", '' AS "Room Name", product AS "Product", material_description AS "Material Description", '' AS "Extent", '' AS "Location", '' AS "Friable",
+  '' AS "Material Condition", coalesce(risk_status, '') AS "Risk Status", result AS "Result", CASE WHEN coalesce(page_number, 0) = 0 THEN '' ELSE page_number::VARCHAR END AS "Page Number" FROM v_acm_record WHERE source_id = 'source:2' ORDER BY building_id, room_id, id"""))
 def acm_export_rows(t: Tables) -> DataFrame:
     return files.export_rows(t.acm_record(), "source:2")
 
@@ -227,15 +245,19 @@ def clean_ascii(t: Tables) -> DataFrame:
     return t.raw("documents").select("doc_id", F.sha2(T.remove_non_ascii(F.col("text")).cast("binary"), 256).alias("cleaned"))
 
 
-@query()
+_PRINTABLE = r"""regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x{2000}-\x{200B}\x{202F}\x{205F}\x{3000}]', ' ', 'g'), '[\x{2028}\x{2029}\r]', chr(10), 'g'), '[^\P{C}\n\t]', '', 'g'), '\x{00A0}', ' ', 'g'), ' ' || chr(9) || chr(10)), '[^\p{L}\p{N}_\s.,!?\-]', '', 'g')"""
+
+
+@query(f"SELECT doc_id, {_PRINTABLE} AS cleaned FROM documents")
 def clean_printable(t: Tables) -> DataFrame:
     return t.raw("documents").select("doc_id", T.remove_non_printable(F.col("text")).alias("cleaned"))
 
 
-_THINK = "'<think> ' || left(text, 20) || ' </think>' || text || '<think>b</think>'"
+#: Whole texts inside and outside of the marks, by turn: one block, two, none, or one that is not closed.
+_THINK = "CASE turn % 4 WHEN 0 THEN '<think> ' || text || ' </think>' || text || '<think>b</think>' WHEN 1 THEN text || '<think>' || chr(10) || text || '</think>' WHEN 2 THEN ' ' || text ELSE '<think>' || text END"
 
 
-@query(f"SELECT conv_id, turn, array_to_string([trim(x, ' ' || chr(9) || chr(10) || chr(13)) for x in regexp_extract_all(t, '(?s)<think>(.*?)</think>', 1)], chr(10) || chr(10)) AS thinking, trim(regexp_replace(regexp_replace(t, '(?s)<think>(.*?)</think>', '', 'g'), '\\n\\s*\\n\\s*\\n', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS cleaned FROM (SELECT *, {_THINK} AS t FROM conversations)")
+@query(f"SELECT conv_id, turn, array_to_string([trim(x, ' ' || chr(9) || chr(10) || chr(13)) for x in regexp_extract_all(t, '(?s)<think>(.*?)</think>', 1)], chr(10) || chr(10)) AS thinking, CASE WHEN regexp_matches(t, '(?s)<think>.*?</think>') THEN trim(regexp_replace(regexp_replace(t, '(?s)<think>(.*?)</think>', '', 'g'), '\\n\\s*\\n\\s*\\n', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) ELSE t END AS cleaned FROM (SELECT *, {_THINK} AS t FROM conversations)")
 def think_parse(t: Tables) -> DataFrame:
     x = t.raw("conversations").withColumn("t", F.expr(_THINK))
     return x.select("conv_id", "turn", T.thinking(F.col("t")).alias("thinking"), T.without_thinking(F.col("t")).alias("cleaned"))
@@ -262,7 +284,18 @@ def basic_stats(t: Tables) -> DataFrame:
     return relational.basic_stats(t.raw("events"), "value").withColumns({"sum": F.round("sum", 2), "average": F.round("average", 6)})
 
 
-_CITED = "'See [source:d' || doc_id || '] and [[note:n' || (doc_id % 7) || ']], then source:d' || doc_id || ' or source_insight:i' || (doc_id % 3) || '.'"
+#: Texts that cite, in four shapes, each with the whole text of the document behind it.
+_SHAPES = {
+    0: "'See [source:d' || doc_id || '] and [[note:n' || (doc_id % 7) || ']], then source:d' || doc_id || ' or source_insight:i' || (doc_id % 3) || '.'",
+    1: "'Nothing is cited in ' || doc_id || ', not even source or note:.'",
+    2: "'**source:d' || doc_id || '** and [**note:n1**]; source_insight:i2, again [[source:d' || doc_id || ']]'",
+    3: "'source:' || repeat('x', 101) || ' [note:a' || doc_id || ']'",
+}
+_CITED = "(CASE doc_id % 4 " + " ".join(f"WHEN {k} THEN {v}" for k, v in _SHAPES.items()) + " END || ' ' || coalesce(text, ''))"
+
+
+def _shaped(*parts: str) -> str:
+    return "SELECT doc_id, sha256(CASE doc_id % 4 " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(parts)) + " END) AS rendered FROM (SELECT *, ' ' || coalesce(text, '') AS rest, chr(10) || chr(10) || 'References:' || chr(10) AS refs FROM documents)"
 
 
 @query(f"""SELECT doc_id, i - 1 AS n, split_part(key, ':', 1) AS type, split_part(key, ':', 2) AS ref FROM
@@ -272,15 +305,26 @@ def citations_extract(t: Tables) -> DataFrame:
     return x.select("doc_id", F.col("n").cast("long").alias("n"), "c.type", F.col("c.id").alias("ref"))
 
 
-@query("""SELECT doc_id, 'See [1](#ref-source-d' || doc_id || ') and [2](#ref-note-n' || (doc_id % 7) || '), then [1](#ref-source-d' || doc_id || ') or [3](#ref-source_insight-i' || (doc_id % 3) || ').' || chr(10) || chr(10) || 'References:' || chr(10)
-  || '[1] - [source:d' || doc_id || '](#ref-source-d' || doc_id || ')' || chr(10) || '[2] - [note:n' || (doc_id % 7) || '](#ref-note-n' || (doc_id % 7) || ')' || chr(10) || '[3] - [source_insight:i' || (doc_id % 3) || '](#ref-source_insight-i' || (doc_id % 3) || ')' AS rendered FROM documents""")
+@query(_shaped(
+    """'See [1](#ref-source-d' || doc_id || ') and [2](#ref-note-n' || (doc_id % 7) || '), then [1](#ref-source-d' || doc_id || ') or [3](#ref-source_insight-i' || (doc_id % 3) || ').' || rest || refs
+      || '[1] - [source:d' || doc_id || '](#ref-source-d' || doc_id || ')' || chr(10) || '[2] - [note:n' || (doc_id % 7) || '](#ref-note-n' || (doc_id % 7) || ')' || chr(10) || '[3] - [source_insight:i' || (doc_id % 3) || '](#ref-source_insight-i' || (doc_id % 3) || ')'""",
+    "'Nothing is cited in ' || doc_id || ', not even source or note:.' || rest",
+    """'**[1](#ref-source-d' || doc_id || ')** and [**[2](#ref-note-n1)**]; [3](#ref-source_insight-i2), again [1](#ref-source-d' || doc_id || ')' || rest || refs
+      || '[1] - [source:d' || doc_id || '](#ref-source-d' || doc_id || ')' || chr(10) || '[2] - [note:n1](#ref-note-n1)' || chr(10) || '[3] - [source_insight:i2](#ref-source_insight-i2)'""",
+    """'[1](#ref-source-' || repeat('x', 101) || ') [2](#ref-note-a' || doc_id || ')' || rest || refs || '[1] - [source:' || repeat('x', 101) || '](#ref-source-' || repeat('x', 101) || ')' || chr(10) || '[2] - [note:a' || doc_id || '](#ref-note-a' || doc_id || ')'""",
+))
 def citations_number(t: Tables) -> DataFrame:
-    return t.raw("documents").select("doc_id", T.numbered_citations(F.expr(_CITED)).alias("rendered"))
+    return t.raw("documents").select("doc_id", F.sha2(T.numbered_citations(F.expr(_CITED)).cast("binary"), 256).alias("rendered"))
 
 
-@query("""SELECT doc_id, 'See [[source:d' || doc_id || ']](#ref-source-d' || doc_id || ') and [[[note:n' || (doc_id % 7) || ']]](#ref-note-n' || (doc_id % 7) || '), then [source:d' || doc_id || '](#ref-source-d' || doc_id || ') or [source_insight:i' || (doc_id % 3) || '](#ref-source_insight-i' || (doc_id % 3) || ').' AS rendered FROM documents""")
+@query(_shaped(
+    """'See [[source:d' || doc_id || ']](#ref-source-d' || doc_id || ') and [[[note:n' || (doc_id % 7) || ']]](#ref-note-n' || (doc_id % 7) || '), then [source:d' || doc_id || '](#ref-source-d' || doc_id || ') or [source_insight:i' || (doc_id % 3) || '](#ref-source_insight-i' || (doc_id % 3) || ').' || rest""",
+    "'Nothing is cited in ' || doc_id || ', not even source or note:.' || rest",
+    """'[**source:d' || doc_id || '**](#ref-source-d' || doc_id || ') and [[**note:n1**]](#ref-note-n1); [source_insight:i2](#ref-source_insight-i2), again [[[source:d' || doc_id || ']]](#ref-source-d' || doc_id || ')' || rest""",
+    """'source:' || repeat('x', 101) || ' [[note:a' || doc_id || ']](#ref-note-a' || doc_id || ')' || rest""",
+))
 def citations_link(t: Tables) -> DataFrame:
-    return t.raw("documents").select("doc_id", T.linked_citations(F.expr(_CITED)).alias("rendered"))
+    return t.raw("documents").select("doc_id", F.sha2(T.linked_citations(F.expr(_CITED)).cast("binary"), 256).alias("rendered"))
 
 
 # chunks, register, context
@@ -295,19 +339,61 @@ def chunk_counts(t: Tables) -> DataFrame:
     return chunks.chunked(t.source()).groupBy("id").agg(F.count("*").alias("chunks"), F.max(T.token_count(F.col("content"))).alias("most_tokens"))
 
 
-_REGISTER = "concat('# School ', doc_id, ' - Asbestos Register\n--- Page ', doc_id % 9 + 1, ' ---\n## Building: B', doc_id, ' - Hall - 1970\n#### Room: B', doc_id, '-R1 - Office - 42.5m²\n| Product | Material Description | Risk | Result |\n|---|---|---|---|\n| ', lang, ' | tiles | Low | Detected |\n')"
-
-
-@query("""SELECT 'source:' || doc_id AS source_id, 'School ' || doc_id AS school_name, 'B' || doc_id AS building_id, 'Hall' AS building_name, 1970 AS building_year, 'B' || doc_id || '-R1' AS room_id, 'Office' AS room_name, 42.5::DOUBLE AS room_area,
-  'Interior' AS area_type, (doc_id % 9 + 1)::INTEGER AS page_number, lang AS product, 'tiles' AS material_description, 'Low' AS risk_status, 'Detected' AS result FROM documents WHERE lang IS NOT NULL""")
+_TABLE = "| Product | Material Description | Result |\n|---|---|---|\n"
+#: Register texts in eight shapes; {id} is the document's id and {p} a digest of its whole text.
+_REGISTERS = [
+    "# School {id} - Asbestos Register\n--- Page 3 ---\n## Building: H12C - Annex - 1938 - Timber\n### Area Type: Exterior\n#### Room: H12C-R004 - Porch - 17.5m²\n"
+    "| Product | Material Description | Extent | Location | Friable | Condition | Risk | Result |\n|---|---|---|---|---|---|---|---|\n| {p} | Vinyl | 6m² | Floor | Non Friable | Good | Low | Detected |\n| {p}b | Lagging | 8m | Roof | Friable | Fair | Medium | Not Detected |\n"
+    "#### Room: H12C-R007 - Store\n" + _TABLE + "| {p}c | Board | No asbestos |\n--- Page 4 ---\n## Building: M3 - Hall\n" + _TABLE + "| {p}d | Sheet | Unknown |\n",
+    "# Site {id} - SAMP 2020\n#### Q5-R3 - Boiler Room\n| Product | Material Description |\n|---|---|\n| {p} | Panel |\n",
+    "## Hall Block\n## C{id} - Main\n" + _TABLE + "| {p} | Tile | x |\n\n| {p}e | Tile | detected here |\n\n\n| {p}f | Tile | gone |\n",
+    "# Yard {id}\n## Building: T40 - Block - Brick\n#### Room: T40-R210 - Lab - 55.0m²\n" + _TABLE + "| {p} | Rope | Detected |\n\n\n### Area Type: Exterior\n#### Room: T40-E006 - Eaves\n" + _TABLE + "| {p}g | Eaves | Detected |\n",
+    "| | Product | Material Description | Result |\n|---|---|---|---|\n| x | {p} | Wool | Detected |\n",
+    "| Name | Note |\n|---|---|\n| a | our product list |\n| Product | Material Description | Result |\n| {p} | Rope | Detected |\n",
+    "# Depot {id} - ACM\n" + _TABLE + "| {p} | | Detected |\n| | Board | Detected |\n| {p}h | Board | |\n| single |\n--- Page 9 ---\n" + _TABLE + "| {p}i | Board | Detected |",
+    "",
+]
+_FOUND = "source_id, school_name, building_id, building_name, building_year, building_construction, room_id, room_name, room_area, area_type, page_number, product, material_description, extent, location, friable, material_condition, risk_status, result"
+#: What comes out of each shape, row by row: worked out by hand from the rules, not by a query.
+_RECORDS = """(0, 'School {id}', 'H12C', 'Annex', 1938, 'Timber', 'H12C-R004', 'Porch', 17.5, 'Exterior', 3, '{p}', 'Vinyl', '6m²', 'Floor', 'Non Friable', 'Good', 'Low', 'Detected'),
+  (0, 'School {id}', 'H12C', 'Annex', 1938, 'Timber', 'H12C-R004', 'Porch', 17.5, 'Exterior', 3, '{p}b', 'Lagging', '8m', 'Roof', 'Friable', 'Fair', 'Medium', 'Detected'),
+  (0, 'School {id}', 'H12C', 'Annex', 1938, 'Timber', 'H12C-R007', 'Store', 17.5, 'Exterior', 3, '{p}c', 'Board', NULL, NULL, NULL, NULL, NULL, 'Not Detected'),
+  (0, 'School {id}', 'M3', 'Hall', NULL, NULL, NULL, NULL, NULL, 'Interior', 4, '{p}d', 'Sheet', NULL, NULL, NULL, NULL, NULL, 'Unknown'),
+  (1, 'Site {id}', 'Q5', 'R3', NULL, 'Boiler Room', 'Q5-R3', 'Boiler Room', NULL, 'Interior', 1, '{p}', 'Panel', NULL, NULL, NULL, NULL, NULL, ''),
+  (2, '# Hall Block', 'C{id}', 'Main', NULL, NULL, 'C{id}', 'Main', NULL, 'Interior', 1, '{p}', 'Tile', NULL, NULL, NULL, NULL, NULL, 'x'),
+  (2, '# Hall Block', 'C{id}', 'Main', NULL, NULL, 'C{id}', 'Main', NULL, 'Interior', 1, '{p}e', 'Tile', NULL, NULL, NULL, NULL, NULL, 'Detected'),
+  (3, 'Yard {id}', 'T40', 'Block', NULL, 'Brick', 'T40-R210', 'Lab', 55.0, 'Interior', 1, '{p}', 'Rope', NULL, NULL, NULL, NULL, NULL, 'Detected'),
+  (3, 'Yard {id}', 'T40', 'Block', NULL, 'Brick', 'T40-R210', 'Lab', 55.0, 'Exterior', 1, '{p}g', 'Eaves', NULL, NULL, NULL, NULL, NULL, 'Detected'),
+  (4, 'Unknown School', 'Unknown', NULL, NULL, NULL, NULL, NULL, NULL, 'Interior', 1, 'x', '{p}', NULL, NULL, NULL, NULL, NULL, 'Wool'),
+  (6, 'Depot {id}', 'Unknown', NULL, NULL, NULL, NULL, NULL, NULL, 'Interior', 1, '{p}h', 'Board', NULL, NULL, NULL, NULL, NULL, ''),
+  (6, 'Depot {id}', 'Unknown', NULL, NULL, NULL, NULL, NULL, NULL, 'Interior', 9, '{p}i', 'Board', NULL, NULL, NULL, NULL, NULL, 'Detected')"""
+_FILLED = "replace(replace({0}, '{{id}}', doc_id::VARCHAR), '{{p}}', md5(coalesce(text, '')))"
+_REGISTER_SQL = f"""SELECT 'source:' || doc_id AS source_id, {_FILLED.format('e.school_name')} AS school_name, {_FILLED.format('e.building_id')} AS building_id, building_name, building_year::INTEGER AS building_year, building_construction,
+  {_FILLED.format('e.room_id')} AS room_id, room_name, room_area::DOUBLE AS room_area, area_type, page_number::INTEGER AS page_number, {_FILLED.format('e.product')} AS product, {_FILLED.format('e.material_description')} AS material_description, extent, location, friable, material_condition, risk_status, result
+  FROM documents JOIN (VALUES {_RECORDS}) e(shape, {_FOUND.removeprefix('source_id, ')}) ON doc_id % 8 = shape"""
+
+
+def _registers(t: Tables) -> DataFrame:
+    shape = F.element_at(F.array(*map(F.lit, _REGISTERS)), (F.col("doc_id") % 8 + 1).cast("int"))
+    text = F.replace(F.replace(shape, F.lit("{id}"), F.col("doc_id").cast("string")), F.lit("{p}"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    return t.raw("documents").select(F.expr("concat('source:', doc_id)").alias("id"), text.alias("full_text"))
+
+
+@query(_REGISTER_SQL)
 def register_extract(t: Tables) -> DataFrame:
-    docs = t.raw("documents").select(F.expr("concat('source:', doc_id)").alias("id"), F.expr(_REGISTER).alias("full_text"))
-    return register.extract_records(docs).select("source_id", "school_name", "building_id", "building_name", "building_year", "room_id", "room_name", "room_area", "area_type", "page_number", "product", "material_description", "risk_status", "result")
+    return register.extract_records(_registers(t)).select(*_FOUND.split(", "))
 
 
-@query()
+@query(f"SELECT source_id, count(*) FILTER (result <> '') AS valid, count(*) FILTER (result = '') AS failed FROM ({_REGISTER_SQL}) GROUP BY source_id")
 def register_from_texts(t: Tables) -> DataFrame:
-    return register.validated(register.extract_records(t.source()))
+    x = register.validated(register.extract_records(_registers(t)))
+    return x.groupBy("source_id").agg(F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("failed"))
+
+
+@query(f"SELECT count(*) FILTER (result <> '') AS created, (SELECT count(*) FROM documents WHERE doc_id % 2 = 0 AND doc_id % 8 <> 7) AS deleted, count(*) FILTER (result = '') AS failed FROM ({_REGISTER_SQL})")
+def register_tally(t: Tables) -> DataFrame:
+    old = t.raw("documents").where("doc_id % 2 = 0").select(F.expr("concat('source:', doc_id)").alias("source_id"))
+    return register.extraction_tally(_registers(t), old)
 
 
 _ITEMS = """, i AS (SELECT r.out AS notebook, s.id, 'source' AS type, s.title AS content, 100 AS priority, 0 AS k FROM v_reference r JOIN v_source s ON s.id = r."in"
@@ -422,12 +508,22 @@ def model_route(t: Tables) -> DataFrame:
     return t.raw("documents").select("doc_id", T.route_model(F.col("n_chars"), asked, F.lit("default"), F.lit("large"), 5000).alias("model"))
 
 
-@query("SELECT 'source:' || doc_id AS source, 'Upper' AS insight_type, upper(replace(left(text, 10), 'ß', 'ss')) AS content FROM documents WHERE text IS NOT NULL")
+@query("SELECT 'source:' || doc_id AS source, p.insight_type, sha256(p.prompt || text) AS content FROM documents, (VALUES ('Digest', 'all of it: '), ('Second', 'once more: ')) p(insight_type, prompt) WHERE text IS NOT NULL")
 def transform_apply(t: Tables) -> DataFrame:
-    return models.transformed(t.source(), [("Upper", "shout")], lambda asked: [text[:10].upper() for _, text in asked])
+    def answer(asked: list[tuple[str, str]]) -> list[str]:
+        return [hashlib.sha256((prompt + text).encode()).hexdigest() for prompt, text in asked]
 
+    return models.transformed(t.source(), [("Digest", "all of it: "), ("Second", "once more: ")], answer)
 
-@query()
+
+_PAGE = r"""regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>', ' ', 'g')"""
+_PAGE = rf"""regexp_replace(regexp_replace({_PAGE}, '(?i)<(?:br|/p|/div|/li|/h[1-6]|/tr)\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g')"""
+for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
+    _PAGE = f"replace({_PAGE}, '{_entity}', '{_char}')"
+_PAGE = rf"""regexp_replace(regexp_replace(regexp_replace({_PAGE}, '[ \t]+', ' ', 'g'), ' ?\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g')"""
+
+
+@query(f"SELECT 'source:page' || page_id AS id, nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '') AS title, url, {_PAGE} AS full_text FROM pages")
 def link_sources(t: Tables) -> DataFrame:
     return files.link_sources(t.raw("pages"))
 
@@ -495,15 +591,23 @@ def text_scalars(t: Tables) -> DataFrame:
     )
 
 
-@query("SELECT p_partkey, 'owner' || p_size AS owner, 'repo' || p_partkey AS name FROM part")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 < 3 THEN 'owner' || p_size END AS owner, CASE WHEN p_partkey % 5 < 3 THEN 'repo' || p_partkey END AS name FROM part")
 def repository_urls(t: Tables) -> DataFrame:
-    url = F.expr("concat('https://github.com/owner', p_size, '/repo', p_partkey, '/')")
+    url = F.expr("CASE p_partkey % 5 WHEN 0 THEN 'https://github.com/' WHEN 1 THEN 'http://www.github.com/' WHEN 2 THEN 'https://github.com//' WHEN 3 THEN 'https://gitlab.example.com/' ELSE 'https://github.com/?' END || 'owner' || p_size || '/repo' || p_partkey || CASE p_size % 3 WHEN 0 THEN '/' WHEN 1 THEN '/tree/main?x=1' ELSE '' END")
     return t.raw("part").select("p_partkey", T.repository_of(url).alias("r")).select("p_partkey", "r.owner", "r.name")
 
 
-@query("SELECT p_partkey, CASE WHEN p_size < 25 OR p_size = 25 AND p_partkey % 10 < 3 THEN -1 WHEN p_size = 25 AND p_partkey % 10 = 3 THEN 0 ELSE 1 END AS sign FROM part")
+#: Pairs of versions and how they compare, worked out by hand; {n} is a number of the row.
+_VERSIONS = [
+    ("v{n}.1", "{n}.2.0", -1), ("1.0", "1.0.0", 0), ("1.2", "1.10", -1), ("1.0a1", "1.0b1", -1), ("1.0rc2", "1.0rc10", -1), ("1.0", "1.0rc1", 1), ("1.0.post1", "1.0", 1), ("1.0.dev3", "1.0a1", -1), ("1!0.1", "2024.9", 1), ("1.0+local.2", "1.0", 1),
+    ("1.0+local.2", "1.0+local.10", -1), ("1.0+5", "1.0+abc", 1), ("1.2.3.4.5.6.7.8.9.10.11.12.13.{n}", "1.2.3.4.5.6.7.8.9.10.11.12.13", 1), ("1.2.3.4.5.6.7.8.9.10.11.12.13", "1.2.3.4.5.6.7.8.9.10.11.12.14", -1), ("{n}.0.0", "{n}", 0), ("2.0.post2", "2.0.post10", -1),
+]
+
+
+@query(f"SELECT p_partkey, ({[s for _, _, s in _VERSIONS]!r})[p_partkey % {len(_VERSIONS)} + 1] AS sign FROM part")
 def versions_compared(t: Tables) -> DataFrame:
-    return t.raw("part").select("p_partkey", T.compare_versions(F.expr("concat('v', p_size, '.', p_partkey % 10)"), F.lit("25.3.0")).alias("sign"))
+    pick = lambda k: F.replace(F.element_at(F.array(*[F.lit(v[k]) for v in _VERSIONS]), (F.col("p_partkey") % len(_VERSIONS) + 1).cast("int")), F.lit("{n}"), (F.col("p_size") + 1).cast("string"))
+    return t.raw("part").select("p_partkey", T.compare_versions(pick(0), pick(1)).alias("sign"))
 
 
 @query("""SELECT (doc_id // 20)::VARCHAR AS folder, sha256(string_agg('## ' || doc_id || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id::VARCHAR)) AS digest FROM documents GROUP BY ALL HAVING count(text) > 0""")
@@ -537,3 +641,6 @@ def edges_unlinked(t: Tables) -> DataFrame:
 def jobs_cancelled(t: Tables) -> DataFrame:
     log = t.job().select("job_id", "event_id", "ts", "status")
     return jobs.cancelled(log, log, "2030-01-01").where("status = 'cancelled'").select("job_id", "status")
+
+
+from . import records  # noqa: E402,F401

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..operators.relational import equal
 
 #: The export's columns and their headers.
-EXPORT = ["school_name", "building_id", "building_name", "room_id", "room_name", "product", "material_description", "extent", "location", "friable", "material_condition", "risk_status", "result"]
+EXPORT = {
+    "building_id": "Building ID", "building_name": "Building Name", "room_id": "Room ID", "room_name": "Room Name", "product": "Product", "material_description": "Material Description", "extent": "Extent",
+    "location": "Location", "friable": "Friable", "material_condition": "Material Condition", "risk_status": "Risk Status", "result": "Result", "page_number": "Page Number",
+}
 
 
 def page_text(html: Column) -> Column:
@@ -40,9 +43,11 @@ def consolidated(files: DataFrame) -> DataFrame:
 
 
 def export_rows(records: DataFrame, source_id: str | None = None) -> DataFrame:
-    """The export's columns, nulls as '', in order of building and room; columns that records lack are ''."""
+    """The export's columns under their headers, nulls and page 0 as '', in order of building and room; columns that
+    records lack are ''."""
     x = equal(records, source_id=source_id).orderBy("building_id", "room_id", "id")
-    return x.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in records.columns else F.lit("").alias(c) for c in EXPORT])
+    text = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("0")) if c == "page_number" else F.col(c).cast("string"), F.lit(""))
+    return x.select(*[(text(c) if c in records.columns else F.lit("")).alias(header) for c, header in EXPORT.items()])
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

@@ -28,7 +28,7 @@ def test_cleaning(spark):
     assert value(spark, "Yes", T.truthy) is True
 
 
-@pytest.mark.parametrize(("a", "b", "sign"), [("1.0", "1.0.0", 0), ("1.2", "1.10", -1), ("v2.0", "1.9.9", 1), ("1.0a1", "1.0", -1), ("1.0rc1", "1.0b2", 1), ("1.0.post1", "1.0", 1), ("1.0.dev1", "1.0a1", -1)])
+@pytest.mark.parametrize(("a", "b", "sign"), [("1.0", "1.0.0", 0), ("1.2", "1.10", -1), ("v2.0", "1.9.9", 1), ("1.0a1", "1.0", -1), ("1.0rc1", "1.0b2", 1), ("1.0.post1", "1.0", 1), ("1.0.dev1", "1.0a1", -1), ("2!1.0", "3.0", 1), ("1.0+a", "1.0", 1), ("1.0+1", "1.0+a", 1), (".".join(["1"] * 20), ".".join(["1"] * 19 + ["2"]), -1)])
 def test_versions(spark, a, b, sign):
     assert spark.createDataFrame([(a, b)], "a string, b string").select(T.compare_versions(F.col("a"), F.col("b"))).first()[0] == sign
 
@@ -98,10 +98,48 @@ def test_merge_keeps_what_a_patch_leaves_out(spark):
     assert writes.insert_batch(table, patch.where("id = 'c'")).count() == 3
 
 
+def names(spark, taken, new):
+    given = writes.free_names(spark.createDataFrame([(x,) for x in taken], "file_name string"), spark.createDataFrame([(x,) for x in new], "file_name string"))
+    return sorted((r.file_name, r.free_name) for r in given.collect())
+
+
 def test_free_names(spark):
-    taken = spark.createDataFrame([("a.txt",), ("a (1).txt",)], "file_name string")
-    new = spark.createDataFrame([("a.txt",), ("b.txt",), ("b.txt",)], "file_name string")
-    assert sorted(r.free_name for r in writes.free_names(taken, new).collect()) == ["a (2).txt", "b (1).txt", "b.txt"]
+    assert names(spark, ["a.txt", "a (1).txt"], ["a.txt", "b.txt", "b.txt"]) == [("a.txt", "a (2).txt"), ("b.txt", "b (1).txt"), ("b.txt", "b.txt")]
+    # the whole name counts, numbers and all; and the first number that is free is taken
+    assert names(spark, ["a (1).txt"], ["a (1).txt"]) == [("a (1).txt", "a (1) (1).txt")]
+    assert names(spark, ["c.txt", "c (2).txt", "c (4).txt"], ["c.txt"] * 3) == [("c.txt", "c (1).txt"), ("c.txt", "c (3).txt"), ("c.txt", "c (5).txt")]
+    # names that are given in the same batch are taken too
+    assert names(spark, ["d.txt"], ["d.txt", "d (1).txt"]) == [("d (1).txt", "d (1).txt"), ("d.txt", "d (2).txt")]
+    assert names(spark, [".env", "x.tar.gz", "noext", "e. (1)"], [".env", "x.tar.gz", "noext", "e."]) == [(".env", ".env (1)"), ("e.", "e."), ("noext", "noext (1)"), ("x.tar.gz", "x.tar (1).gz")]
+    assert names(spark, ["g (01).md", "g.md", "g (1)"], ["g.md"]) == [("g.md", "g (1).md")]
+
+
+def test_free_names_by_brute_force(spark):
+    """Never a taken name, never one twice, and each numbered name has the smallest numbers that are free."""
+    import random
+
+    r = random.Random(4)
+    pool = [f"{stem}{n}{ext}" for stem in ("a", "b c", ".h", "a (1)") for n in ("", " (1)", " (2)", " (3)", " (02)") for ext in ("", ".x", ".y.x")]
+    for _ in range(4):
+        taken, new = r.sample(pool, 25), r.choices(pool, k=30)
+        got = names(spark, taken, new)
+        assert sorted(n for n, _ in got) == sorted(new) and len({f for _, f in got}) == len(got) and not {f for _, f in got} & set(taken)
+        kept = {f for n, f in got if n == f}
+        assert kept == set(new) - set(taken)
+        for name in set(new):
+            dot = name.rfind(".")
+            stem, ext = (name[:dot], name[dot:]) if 0 < dot < len(name) - 1 else (name, "")
+            free = (f for k in range(1, 99) if (f := f"{stem} ({k}){ext}") not in {*taken, *kept})
+            numbered = [f for n, f in got if n == name and f != n]
+            assert sorted(numbered) == sorted(next(free) for _ in numbered)
+
+
+def test_export_headers(spark, tmp_path):
+    rows = [("r1", "source:1", "B", None, "p, q", "m", None, "Detected", 0), ("r2", "source:1", "A", "R", "p", "m", "High", "x", 3)]
+    df = spark.createDataFrame(rows, "id string, source_id string, building_id string, room_id string, product string, material_description string, risk_status string, result string, page_number int")
+    files.write_csv(files.export_rows(df, "source:1").coalesce(1), str(tmp_path / "csv"))
+    text = next((tmp_path / "csv").glob("*.csv")).read_text()
+    assert text == "Building ID,Building Name,Room ID,Room Name,Product,Material Description,Extent,Location,Friable,Material Condition,Risk Status,Result,Page Number\nA,,R,,p,m,,,,,High,x,3\nB,,,,\"p, q\",m,,,,,,Detected,\n"
 
 
 def test_context_budget(spark):
@@ -111,6 +149,84 @@ def test_context_budget(spark):
     assert [context.level_of(s) for s in ("not in", "insights", "full content", "insights full content", "")] == ["skip", "short", "full", "short", "skip"]
 
 
+def test_running_totals_over_partitions(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(g, k, r.randrange(5)) for g in ("hot", "small", None) for k in range(300 if g == "hot" else 7)]
+    df = spark.createDataFrame(rows, "g string, k int, n long").repartition(8)
+    out = {(x.g, x.k): x.upto for x in context.running_total(df, ["g"], [F.col("k").desc()], "n", "upto").collect()}
+    assert out == {(g, k): sum(n for h, j, n in rows if h == g and j >= k) for g, k, _ in rows}
+    alone = {x.k: x.upto for x in context.running_total(df.where("g = 'hot'"), [], [F.col("k")], "n", "upto").collect()}
+    assert alone == {k: sum(n for h, j, n in rows if h == "hot" and j <= k) for k in range(300)}
+
+
+def test_a_failing_call_is_asked_again(spark, tmp_path):
+    marker = str(tmp_path / "asked")
+
+    def answer(asked):
+        import os
+
+        n = len(os.listdir(os.path.dirname(marker)))
+        open(f"{marker}{n}", "w").close()
+        if n < 2:
+            raise ConnectionError("not yet")
+        return [t.upper() for _, t in asked]
+
+    df = spark.createDataFrame([("a", "xy")], "id string, full_text string")
+    assert [r.content for r in models.transformed(df, [("T", "p")], answer, wait=(0.01, 0.02)).collect()] == ["XY"]
+
+
+def test_values_are_checked(spark):
+    assert value(spark, "ai", lambda c: T.among(c, ("ai", "human"))) == "ai" and value(spark, None, lambda c: T.among(c, ("ai",))) is None
+    with pytest.raises(Exception, match="invalid note type: robot"):
+        value(spark, "robot", lambda c: T.among(c, ("ai", "human"), "note type"))
+    assert value(spark, '["a", "b"]', T.json_array) == ["a", "b"] and value(spark, "", T.json_array) is None
+    with pytest.raises(Exception, match=r"(?i)json|malformed"):
+        value(spark, "[broken", T.json_array)
+    with pytest.raises(ValueError, match="no value for x"):
+        T.rendered("{{x}}")
+    with pytest.raises(ValueError, match="no table"):
+        relational.record({}, "source:1")
+
+
+def test_stream_of_messages(spark, tmp_path):
+    rows = [("t1", k, "user", f"m{k}") for k in range(5)] + [("t2", 0, "user", "x")]
+    for part, batch in (("a", rows[:3]), ("b", rows[3:])):
+        spark.createDataFrame(batch, "thread string, at long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "in" / part))
+        stream = spark.readStream.schema("thread string, at long, role string, text string").parquet(str(tmp_path / "in" / "*"))
+        jobs.follow_threads(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(90)
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("t1", k + 1, "user", f"m{k}") for k in range(5)] + [("t2", 1, "user", "x")]
+
+
+def test_many_searches_in_a_batch(spark):
+    df = spark.createDataFrame([(k, [float(k == j) for j in range(7)]) for k in range(7)], "id int, embedding array<double>")
+    found = search.batch_search([(f"q{k}", [float(k == j) for j in range(7)]) for k in range(7)], df, k=1).collect()
+    assert sorted((r.query, r.id) for r in found) == [(f"q{k}", k) for k in range(7)]
+
+
+def test_chunks_by_brute_force(spark):
+    """Chunks of random texts hold every word in order, stay within the size, and overlap by whole pieces."""
+    import random
+
+    r = random.Random(2)
+    for _ in range(60):
+        text = "".join(f"w{k}" + r.choice([" ", ".", ", ", "\n", "\n\n", " and then. "]) for k in range(r.randrange(1, 300)))
+        size = r.choice([10, 40, 90])
+        got = chunks.split_text(text, size)
+        assert not got or max(map(chunks.word_tokens, got)) <= 1.5 * size
+        spans = [(text.index(c), text.index(c) + len(c)) for c in got]  # words are numbered, so a chunk has one place
+        assert spans == sorted(spans)
+        covered = {k for lo, hi in spans for k in range(lo, hi)}
+        assert all(k in covered for k, ch in enumerate(text) if not ch.isspace())
+        shared = [max(0, z - a) for (_, z), (a, _) in zip(spans, spans[1:])]
+        assert all(chunks.word_tokens(text[a : a + n]) <= 1.3 * 0.15 * size + 2 for (a, _), n in zip(spans[1:], shared, strict=True))
+    rows = [(i, "para one. " * n) for i, n in enumerate((0, 1, 3, 500, 2000))]
+    out = chunks.chunked(spark.createDataFrame(rows, "id int, full_text string"), size=50).collect()
+    assert {(x.id, x.order): x.content for x in out} == {(i, k): c for i, t in rows for k, c in enumerate(chunks.split_text(t, 50))}
+
+
 def test_models(spark):
     df = spark.createDataFrame([("a", "xy"), ("b", None)], "id string, content string")
     got = {r.id: r.embedding for r in models.embedded(df, lambda texts: [[float(len(t))] for t in texts]).collect()}

@@ -1,30 +1,30 @@
 from quire.operators import register
 
-REGISTER = """# Hillside Primary School - Asbestos Register
+REGISTER = """# Northgate School - Asbestos Register
 
 --- Page 1 ---
 
-## Building: B01A - Office Block - 1965 - Timber
+## Building: H12C - Annex - 1938 - Timber
 
 ### Area Type: Exterior
 
-#### Room: B01A-R001 - Front Office - 42.5m²
+#### Room: H12C-R004 - Porch - 17.5m²
 
 | Product | Material Description | Extent | Location | Friable | Condition | Risk | Result |
 |---|---|---|---|---|---|---|---|
-| Floor Tiles | Vinyl tiles | 42m² | Floor | Non Friable | Good | Low | Detected |
+| Floor Tiles | Vinyl tiles | 6m² | Floor | Non Friable | Good | Low | Detected |
 | Lagging | Insulation | 8m | Ceiling | Friable | Fair | Medium | Not Detected |
 
 | Vents | Cement | 1m | Wall | Friable | Fair | High | No Asbestos |
 
-#### Room: B01A-R002 - Store
+#### Room: H12C-R007 - Store
 
 | Product | Material Description | Result |
 |---|---|---|
 | Door | | Detected |
 | Panel | Board |  |
 --- Page 2 ---
-## Building: B02 - Hall
+## Building: M3 - Hall
 
 | Product | Material Description | Result |
 |---|---|---|
@@ -40,11 +40,11 @@ def extracted(spark, text, id="source:1"):
 def test_context_and_rows(spark):
     got = extracted(spark, REGISTER)
     assert [r["product"] for r in got] == ["Floor Tiles", "Lagging", "Vents", "Panel", "Roof"]
-    assert {r["school_name"] for r in got} == {"Hillside Primary School"}
+    assert {r["school_name"] for r in got} == {"Northgate School"}
     first = got[0]
-    assert (first["building_id"], first["building_name"], first["building_year"], first["building_construction"]) == ("B01A", "Office Block", 1965, "Timber")
-    assert (first["room_id"], first["room_name"], first["room_area"], first["area_type"], first["page_number"]) == ("B01A-R001", "Front Office", 42.5, "Exterior", 1)
-    assert first["extent"] == "42m²" and first["risk_status"] == "Low" and first["school_code"] is None
+    assert (first["building_id"], first["building_name"], first["building_year"], first["building_construction"]) == ("H12C", "Annex", 1938, "Timber")
+    assert (first["room_id"], first["room_name"], first["room_area"], first["area_type"], first["page_number"]) == ("H12C-R004", "Porch", 17.5, "Exterior", 1)
+    assert first["extent"] == "6m²" and first["risk_status"] == "Low" and first["school_code"] is None
 
 
 def test_results(spark):
@@ -54,19 +54,19 @@ def test_results(spark):
 
 def test_area_of_an_earlier_room_stays_and_a_building_resets(spark):
     got = extracted(spark, REGISTER)
-    assert (got[3]["room_id"], got[3]["room_area"]) == ("B01A-R002", 42.5)
+    assert (got[3]["room_id"], got[3]["room_area"]) == ("H12C-R007", 17.5)
     last = got[4]
-    assert (last["building_id"], last["building_year"], last["room_id"], last["room_area"], last["area_type"], last["page_number"]) == ("B02", None, None, None, "Interior", 2)
+    assert (last["building_id"], last["building_year"], last["room_id"], last["room_area"], last["area_type"], last["page_number"]) == ("M3", None, None, None, "Interior", 2)
 
 
 def test_unprefixed_room_heading_is_a_building_too(spark):
-    got = extracted(spark, "#### B01-R001 - Storage Room\n| Product | Material Description |\n| A | B |\n")[0]
-    assert (got["building_id"], got["building_name"], got["building_construction"], got["room_id"]) == ("B01", "R001", "Storage Room", "B01-R001")
+    got = extracted(spark, "#### Q5-R3 - Boiler Room\n| Product | Material Description |\n| A | B |\n")[0]
+    assert (got["building_id"], got["building_name"], got["building_construction"], got["room_id"]) == ("Q5", "R3", "Boiler Room", "Q5-R3")
 
 
 def test_building_heading_is_a_room_too(spark):
-    got = extracted(spark, "## B01 - Main\n| Product | Material Description |\n| A | B |\n")[0]
-    assert (got["building_id"], got["room_id"]) == ("B01", "B01")
+    got = extracted(spark, "## Q5 - Main\n| Product | Material Description |\n| A | B |\n")[0]
+    assert (got["building_id"], got["room_id"]) == ("Q5", "Q5")
 
 
 def test_blank_header_cells_shift_columns(spark):
