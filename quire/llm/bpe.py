@@ -8,7 +8,7 @@ pairs are each stable, so a shared token lets the sequences be spliced there. A
 text is the plain encoding, so the result never depends on the cut.
 
 Null texts count as empty and give no tokens and an empty text. Repeated rows are each answered; long texts are keyed
-by their SHA-256, so null or repeated ids do not matter. Other columns are left aside.
+by their SHA-256, so null or repeated ids do not matter. An empty table gives an empty result. Other columns are left aside.
 """
 
 from __future__ import annotations
@@ -194,7 +194,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_pydict({"key": [key] * len(parts), "start": pa.array([s for s, _ in parts], pa.int32()), "part": [text[s:e] for s, e in parts]})
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for b in batches for s in slices(b, "part", 1 << 20)):
             spans = [encoder(path).spans(t).astype("<i8").tobytes() for t in b.column("part").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, pa.binary())], ["key", "start", "part", "spans"])
 
@@ -208,7 +208,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     long = x.where(F.length("text") > leaf_chars).withColumn("key", F.sha2("text", 256))
     leaves = long.dropDuplicates(["key"]).select("key", "text").mapInArrow(cut, "key string, start int, part string")
-    whole = leaves.repartition("key", "start").mapInArrow(leaf, "key string, start int, part string, spans binary").groupBy("key").applyInArrow(tree, f"key string, ids binary{more}")
+    # leaves are few bytes and much work: they are dealt to a fixed number of tasks, which their bytes would not ask for
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = leaves.repartition(parts, "key", "start").mapInArrow(leaf, "key string, start int, part string, spans binary").groupBy("key").applyInArrow(tree, f"key string, ids binary{more}")
     return done.unionByName(long.select("doc_id", "key").join(whole, "key").select("doc_id", "ids", *named))
 
 

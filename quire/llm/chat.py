@@ -7,8 +7,8 @@ whole hash is found at an inner turn of another; what is left is rendered.
 
 Places: rank of the turn in its conversation by (turn, role, text). A null role or text is a value of its own, and is
 rendered as an empty one; rows with a null conv_id are one conversation. Repeated rows are turns. Marks inside a text
-are parted by a space so that they can't open or close a turn. Other columns are left aside. Long conversations come
-in parts of `part_turns` turns, so no row grows without bound.
+are parted by a space so that they can't open or close a turn. Other columns are left aside; an empty table gives an
+empty result. Long conversations come in parts of `part_turns` turns, so no row grows without bound.
 """
 
 from __future__ import annotations

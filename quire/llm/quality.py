@@ -7,8 +7,8 @@ Rules name texts of low quality, in order; a text that none covers is kept. The
 expression over the statistics.
 
 Words: runs of `[^\\x20\\x09-\\x0D]`. Null and empty texts have 0 in every statistic. Repeated rows are each answered.
-Labels that are null, or of no document, do not train; without labels of both kinds the list is empty. Other columns
-are left aside.
+Labels that are null, or of no document, do not train; without labels of both kinds the list is empty. An empty table
+gives an empty result; a text of any length is taken whole, in one task. Other columns are left aside.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ within a budget, tokens of a prefix) are answered from the table without encodin
 
 Special strings inside a text count as the library's default has it: as one token once complete, as ordinary text
 while a prefix ends inside. Null texts count as empty: 0 bytes, 0 tokens, an empty table. Repeated rows are each
-answered; other columns are left aside.
+answered; a table without rows gives none; a text of any length is taken whole; other columns are left aside.
 """
 
 from __future__ import annotations

@@ -19,6 +19,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Text bytes that are worked on at once; a longer text is still taken whole.
 SLICE_BYTES = 1 << 20
+#: Bytes that are hashed at once.
+CHUNK_BYTES = 1 << 16
 
 
 def byte_table(separators: bytes) -> np.ndarray:
@@ -40,7 +42,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=3)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (_BASE, _INVERSE):
@@ -51,10 +53,22 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(1 << 20, 1 << int(n + 2).bit_length())
+    size = max(1 << 17, 1 << int(n + 2).bit_length())
     return _powers(size)
 
 
+def _long_hash(data: np.ndarray) -> np.uint64:
+    """The polynomial of the bytes of one long word, piece by piece."""
+    power, _ = powers(CHUNK_BYTES)
+    total, scale = 0, 1
+    with np.errstate(over="ignore"):
+        for at in range(0, len(data), CHUNK_BYTES):
+            part = data[at : at + CHUNK_BYTES]
+            total += scale * int(((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)]).sum(dtype=np.uint64))
+            scale = scale * pow(_BASE, CHUNK_BYTES, 1 << 64) % (1 << 64)
+    return np.uint64(total % (1 << 64))
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive slices with about `most` bytes of text each (column: texts, or their sizes); one row at least."""
     values = batch.column(column)
@@ -99,13 +113,26 @@ class Texts:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
     def hashes(self) -> np.ndarray:
-        """A hash of each word's bytes."""
-        power, inverse = powers(len(self.data))
+        """A hash of each word's bytes, some words at a time."""
+        out = np.empty(len(self.starts), dtype=np.uint64)
+        sizes = self.ends - self.starts
+        first = 0
+        while first < len(out):
+            last = max(first + 1, int(np.searchsorted(self.ends, self.starts[first] + CHUNK_BYTES, "right")))
+            begin = self.starts[first]
+            if sizes[first] > CHUNK_BYTES:
+                out[first] = _long_hash(self.data[begin : self.ends[first]])
+            else:
+                part = self.data[begin : self.ends[last - 1]]
+                power, inverse = powers(CHUNK_BYTES)
+                with np.errstate(over="ignore"):
+                    sums = np.zeros(len(part) + 1, dtype=np.uint64)
+                    np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=sums[1:])
+                    s = self.starts[first:last] - begin
+                    out[first:last] = (sums[self.ends[first:last] - begin] - sums[s]) * inverse[s]
+            first = last
         with np.errstate(over="ignore"):
-            sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[: len(self.data)], out=sums[1:])
-            h = (sums[self.ends] - sums[self.starts]) * inverse[self.starts]
-            return mix(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            return mix(out + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def grams(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the n words from each word on, and whether they all stand in one row."""

@@ -306,6 +306,17 @@ def test_nearest_of_many(spark):
     assert probes * ann.TABLES / hasher.buckets < 0.3
 
 
+def test_word_hashes_do_not_depend_on_chunks(monkeypatch):
+    import pyarrow as pa
+
+    from quire.llm import words
+
+    column = pa.array(["x" * 300 + " y " + "é" * 90, "", None, "a bb ccc", "z" * 64, "w " * 50])
+    whole = words.Texts(column).hashes()
+    monkeypatch.setattr(words, "CHUNK_BYTES", 16)
+    assert (words.Texts(column).hashes() == whole).all() and len(set(whole.tolist())) == 8
+
+
 def test_hadamard_is_orthogonal():
     x = np.eye(8)
     assert np.allclose(ann.hadamard(x) @ ann.hadamard(x).T, x)
