@@ -41,17 +41,23 @@ LANDMARKS = 300
 ACCEPTED = 0.5
 
 
+_rough = re.compile(r"[\W\d_]+")
+
+
 @lru_cache(maxsize=1)
-def _other() -> re.Pattern:
-    """Runs of what is no letter by str.isalpha(): besides what \\W takes, numbers such as a half or a roman twelve."""
-    odd = [c for c in range(0x110000) if chr(c).isalnum() and not chr(c).isalpha()]
+def _odd() -> re.Pattern:
+    """What \\w takes besides digits and str.isalpha() does not: numbers such as a half or a roman twelve."""
+    odd = [c for c in range(0x110000) if chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal()]
     runs = [list(g) for _, g in itertools.groupby(odd, key=lambda c, n=itertools.count(): c - next(n))]
-    return re.compile(r"[\W_" + "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in runs) + "]+")
+    return re.compile("[" + "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in runs) + "]")
 
 
 def folded(text: str | None) -> str:
-    """The text's letters in lower case; everything else is one space, and none stands at the ends."""
-    return _other().sub(" ", (text or "").lower()).strip()
+    """The text's letters (by str.isalpha()) in lower case; everything else is one space, and none stands at the ends."""
+    letters = _rough.sub(" ", (text or "").lower())
+    if not letters.isascii() and _odd().search(letters):
+        letters = re.sub(" +", " ", _odd().sub(" ", letters))
+    return letters.strip()
 
 
 def presence(texts: list[str | None], buckets: int = BUCKETS) -> np.ndarray:

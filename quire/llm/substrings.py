@@ -275,9 +275,11 @@ def _tree(rows: pa.Table, words: int) -> pa.RecordBatch:
     )
 
 
-def _trees(words: int, most: int = 400_000):
+def _trees(words: int):
     """mapInArrow function over rows that come sorted by key; known repeats (words: null) pass through."""
 
+    most = 2_000_000 // words  # suffixes that are sorted at once, or one group
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # whole groups, but for the last one
         size = 0
@@ -288,13 +290,16 @@ def _trees(words: int, most: int = 400_000):
                 b = b.filter(pa.array(~known))
             if not b.num_rows:
                 continue
-            keys = b.column("key").to_numpy()
-            size += int(b.column("n").to_numpy().sum())
-            end = int(np.searchsorted(keys, keys[-1])) if size >= most else 0
-            if end or held and size >= most and held[-1].column("key")[-1].as_py() != keys[0]:
-                yield _tree(pa.Table.from_batches([*held, b.slice(0, end)]), words)
-                held, size, b = [], 0, b.slice(end)
-            held.append(b)
+            for lo in range(0, b.num_rows, 2048):
+                part = b.slice(lo, 2048)
+                keys = part.column("key").to_numpy()
+                size += int(part.column("n").to_numpy().sum())
+                end = int(np.searchsorted(keys, keys[-1])) if size >= most else 0
+                if end or held and size >= most and held[-1].column("key")[-1].as_py() != keys[0]:
+                    yield _tree(pa.Table.from_batches([*held, part.slice(0, end)]), words)
+                    part = part.slice(end)
+                    held, size = [], int(part.column("n").to_numpy().sum())
+                held.append(part)
         if held:
             yield _tree(pa.Table.from_batches(held), words)
 
