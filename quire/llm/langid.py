@@ -202,15 +202,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs whose text some language takes for its own, all columns kept. No shuffle."""
-    x = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{text_col}`").alias("__text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part in (s for b in batches for s in slices(b, "__text", 1 << 20)):
+        for part in (s for b in batches for s in slices(b, b.schema.names[at], 1 << 20)):
             for i in range(0, part.num_rows, 256):
                 b = part.slice(i, 256)
-                stays = m.accepts(b.column("__text").to_pylist())
-                yield pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1]).filter(pa.array(stays, pa.bool_()))
+                yield b.filter(pa.array(m.accepts(b.column(at).to_pylist()), pa.bool_()))
 
-    return x.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -37,20 +37,33 @@ def shuffle_key(id_col: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("null")))), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
+def _before(df: DataFrame, order: list[Column], **values: str) -> DataFrame:
+    """Adds the sums of the named columns over all rows before a row, in a total order.
+
+    Rows are range-partitioned and partitions summed, so no task gets all of them; which rows a partition holds is written
+    out first. The window without a partition runs over partitions, not rows."""
+    x = checkpointed(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    upto = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = x.groupBy("__part").agg(*[F.sum(c).alias(n) for n, c in values.items()])
+    starts = sums.select("__part", *[F.coalesce(F.sum(n).over(upto), F.lit(0)).alias(f"__{n}") for n in values])
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.join(F.broadcast(starts), "__part")
+    return x.withColumns({n: F.col(f"__{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in values.items()}).drop("__part", *[f"__{n}" for n in values])
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int], most_times: int) -> DataFrame:
     """One row for each source: sid (its rank, nulls last), rows, source_size, target.
 
     Targets are the level at which weights times the level, and no more than most_times the size, use up the total.
-    Windows here run over sources, of which there are few beside documents."""
-    by_source = sizes.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size"))
-    ranked = by_source.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("sid") - 1) % len(weights) + 1).cast("long")
+    Sources may be as many as documents."""
+    by_source = sizes.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size")).withColumn("one", F.lit(1).cast("long"))
+    ranked = _before(by_source, [F.col("source").asc_nulls_last()], rank="one").withColumn("sid", F.col("rank") + 1)
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("long")
     x = ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most_times)
-    ratio = F.col("cap") / F.col("weight")
-    before = Window.orderBy(ratio, "sid").rowsBetween(Window.unboundedPreceding, -1)
-    all_rows = Window.partitionBy()
-    x = x.withColumn("ratio", ratio).withColumn("level", (F.sum("source_size").over(all_rows) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0))))
-    x = x.withColumn("final", F.max("level").over(all_rows))
+    x = _before(x.withColumn("ratio", F.col("cap") / F.col("weight")), [F.col("ratio"), F.col("sid")], caps="cap", weights="weight")
+    totals = x.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("all_weights"))
+    x = x.join(F.broadcast(totals)).withColumn("level", (F.col("words") - F.col("caps")) / (F.col("all_weights") - F.col("weights")))
+    x = x.join(F.broadcast(x.agg(F.max("level").alias("final"))))
     target = F.when(F.col("ratio") <= F.col("level"), F.col("cap").cast("double")).otherwise(F.least(F.col("weight") * F.col("final"), F.col("cap").cast("double")))
     return x.select("source", "sid", "rows", "source_size", target.alias("target"))
 

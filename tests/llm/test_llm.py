@@ -421,6 +421,26 @@ def test_components(spark):
     assert got(components.connected(edges.limit(0))) == []
 
 
+def test_targets_of_many_sources(spark):
+    """As many sources as documents: ranks and the water level by plain loops."""
+    rng = np.random.default_rng(9)
+    sizes = {f"s{i:03}": int(n) for i, n in enumerate(rng.integers(0, 400, 300))}
+    df = spark.createDataFrame([*sizes.items(), (None, 50)], "source string, size long")
+    order = [*sorted(sizes), None]
+    size, weight = {**sizes, None: 50}, {s: 1 + i % 3 for i, s in enumerate(order)}
+    total, open_, fixed = sum(size.values()), set(order), {}
+    while True:  # those beyond three times their size stop there, the rest share what is left
+        level = (total - sum(fixed.values())) / sum(weight[s] for s in open_)
+        full = {s for s in open_ if weight[s] * level >= 3 * size[s]}
+        if not full:
+            break
+        fixed |= {s: 3.0 * size[s] for s in full}
+        open_ -= full
+    out = {r.source: r for r in mixing.source_targets(df.repartition(5), (1, 2, 3), 3).collect()}
+    assert all(out[s].sid == i + 1 for i, s in enumerate(order))
+    assert all(abs(out[s].target - fixed.get(s, weight[s] * level)) < 1e-6 for s in order)
+
+
 def test_mix(same, spark, odd):
     same(entry.op9_weighted_mix, mixing.ORACLE_SQL)
     out = got(mixing.plan_mix(odd))
