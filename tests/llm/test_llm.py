@@ -145,6 +145,22 @@ def test_chats(same, spark):
     assert got(chat.format_chats(df.limit(0))) == []
 
 
+def test_a_long_conversation_over_many_ranges(spark):
+    """One conversation with most of all turns, snapshots of it, and rows in no order: as brute force has it."""
+    import random
+
+    r = random.Random(8)
+    log = [("user" if k % 2 == 0 else "assistant", f"turn {k // 3}") for k in range(700)]
+    convs = {1: log, 2: log[:300], 3: log[:699], 4: log[1:5], 5: log[:1], 6: [*log[:20], ("user", "other")], 7: log}
+    rows = [(c, k, *t) for c, turns in convs.items() for k, t in enumerate(turns)]
+    r.shuffle(rows)
+    out = defaultdict(dict)
+    for x in got(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7))):
+        out[x["conv_id"]][x["part"]] = x["rendered"]
+    assert {c: "".join(parts[k] for k in sorted(parts)) for c, parts in out.items()} == {c: "".join(f"<|im_start|>{a}\n{b}<|im_end|>\n" for a, b in convs[c]) for c in (1, 4, 6)}
+    assert sorted(out[1]) == [0, 1, 2]
+
+
 def removed(rows, n):
     """Brute force over rows in the order of their ids; rows that are equal in id and text are one document."""
     seen, out = set(), {}
