@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import joined_back
+from .durable import checkpointed
 from .words import slices
 
 #: Characters of which Python and the library agree on case, class and normal form.
@@ -35,6 +37,8 @@ SPLITS = {
 }
 LEAF_CHARS = 1 << 15
 CACHED_WORDS = 100_000
+#: Copies of one long text that a task answers about.
+COPIES = 1024
 
 
 def library(path: str):
@@ -211,7 +215,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     # leaves are few bytes and much work: they are dealt to a fixed number of tasks, which their bytes would not ask for
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = leaves.repartition(parts, "key", "start").mapInArrow(leaf, "key string, start int, part string, spans binary").groupBy("key").applyInArrow(tree, f"key string, ids binary{more}")
-    return done.unionByName(long.select("doc_id", "key").join(whole, "key").select("doc_id", "ids", *named))
+    # a text with many copies is answered in as many places as their number asks for
+    named_by = checkpointed(long.select("doc_id", "key"))
+    counts = named_by.groupBy("key").agg(F.count("*").alias("k"))
+    salts = F.ceil(F.col("k") / COPIES).cast("int")
+    asked = joined_back(named_by, counts, "key", "k").select("doc_id", "key", F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"))
+    answers = whole.join(counts, "key").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("k")
+    return done.unionByName(asked.join(answers, ["key", "salt"]).select("doc_id", "ids", *named))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
