@@ -40,6 +40,40 @@ def _tried(call, argument, retries: int, wait: tuple[float, float] = WAIT):
             time.sleep(min(wait[1], wait[0] * 2**n + random.uniform(0, wait[0])))
 
 
+def attempted(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], text_col: str = "content", retries: int = 1, wait: tuple[float, float] = WAIT) -> DataFrame:
+    """Adds `embedding` and `error`: a batch that fails is tried row by row, and a row that fails says why (embedding null).
+
+    Null texts have an empty embedding and no error."""
+    x = rows.drop("embedding", "error")
+
+    def one(text: str | None) -> tuple[list[float] | None, str | None]:
+        if text is None:
+            return [], None
+        try:
+            return list(_tried(embed, [text], retries, wait)[0]), None
+        except Exception as e:  # noqa: BLE001  whatever the call raises is this row's error
+            return None, str(e)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(text_col).to_pylist()
+            asked = [t for t in texts if t is not None]
+            try:
+                made = iter(_tried(embed, asked, retries, wait) if asked else [])
+                got = [([], None) if t is None else (list(next(made)), None) for t in texts]
+            except Exception:  # noqa: BLE001
+                got = [one(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([v for v, _ in got], pa.list_(pa.float64())), pa.array([e for _, e in got], pa.string())], [*b.schema.names, "embedding", "error"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields)
+    return x.mapInArrow(run, f"{fields}, embedding array<double>, error string")
+
+
+def tally(attempts: DataFrame, by: str) -> DataFrame:
+    """by, processed, failed, total."""
+    return attempts.groupBy(by).agg(F.count_if(F.col("error").isNull()).alias("processed"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.count("*").alias("total"))
+
+
 def transformed(docs: DataFrame, transformations: list[tuple[str, str]], answer: Callable[[list[tuple[str, str]]], list[str]], id_col: str = "id", text_col: str = "full_text", retries: int = 5, wait: tuple[float, float] = WAIT) -> DataFrame:
     """source, insight_type, content: each named prompt (title, prompt) applied to each text; null texts give none."""
     each = F.array(*[F.struct(F.lit(t).alias("insight_type"), F.lit(p).alias("prompt")) for t, p in transformations])

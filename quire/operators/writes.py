@@ -40,6 +40,17 @@ def cascade(children: dict[str, tuple[DataFrame, str]], keys: DataFrame) -> dict
     return {name: without(df, keys, on) for name, (df, on) in children.items()}
 
 
+def replaced(table: DataFrame, new: DataFrame, on: str) -> DataFrame:
+    """The table with new rows in the place of all that has one of their keys: doing it twice is doing it once."""
+    return without(table, new.select(F.col(on).alias("key")).distinct(), on).unionByName(new, allowMissingColumns=True)
+
+
+def saved_as_notes(notes: DataFrame, edges: DataFrame, insights: DataFrame, notebook: str) -> tuple[DataFrame, DataFrame]:
+    """notes and edges with a note for each insight (id, insight_type, source_title, content), linked to the notebook."""
+    made = insights.select(F.concat(F.lit("note:"), F.replace("id", F.lit(":"), F.lit("-"))).alias("id"), F.concat("insight_type", F.lit(" from source "), "source_title").alias("title"), "content", F.lit("ai").alias("note_type"))
+    return notes.select("id", "title", "content", "note_type").unionByName(made), linked_once(edges, made.select(F.col("id").alias("in"), F.lit(notebook).alias("out")))
+
+
 def linked_once(edges: DataFrame, new: DataFrame) -> DataFrame:
     """Edges and those of new that are not there yet."""
     fresh = new.select("in", "out").distinct().join(edges.select("in", "out"), ["in", "out"], "left_anti")

@@ -268,3 +268,41 @@ def contents_embedded(t: Tables) -> DataFrame:
     rows = t.raw("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("content"), F.lit(None).cast("array<double>").alias("embedding"))
     x = models.embedded(rows, lambda texts: [[len(s) % 7 + 0.5, 0.0] for s in texts])
     return x.select("doc_id", F.array(F.get("embedding", F.lit(0)), F.get("embedding", F.lit(1)) + F.col("doc_id") % 5).alias("embedding"))
+
+
+# vectors made again, and what became of them
+
+
+@query(sql("source_embedding", """SELECT id, source, "order", content FROM v_source_embedding WHERE source NOT IN ('source:1', 'source:2') UNION ALL SELECT 'fresh ' || source || n, source, n, 'again' FROM (SELECT DISTINCT source FROM v_source_embedding WHERE source IN ('source:1', 'source:2')), (VALUES (0), (1), (2)) v(n)"""))
+def chunks_replaced(t: Tables) -> DataFrame:
+    old = t.source_embedding().select("id", "source", "order", "content")
+    new = old.where("source IN ('source:1', 'source:2')").select("source").distinct().withColumn("order", F.explode(F.array(*[F.lit(n).cast("long") for n in range(3)])))
+    new = new.select(F.concat(F.lit("fresh "), "source", F.col("order").cast("string")).alias("id"), "source", "order", F.lit("again").alias("content"))
+    return writes.replaced(writes.replaced(old, new, "source"), new, "source")
+
+
+@query(sql("source note source_insight", """SELECT type, count(*) FILTER (length(text) % 5 > 0) AS processed, count(*) FILTER (length(text) % 5 = 0) AS failed, count(*) AS total
+  FROM (SELECT 'source' AS type, full_text AS text FROM v_source WHERE full_text <> '' UNION ALL SELECT 'note', content FROM v_note WHERE content <> '' UNION ALL SELECT 'insight', content FROM v_source_insight) GROUP BY type"""))
+def rebuild_attempts(t: Tables) -> DataFrame:
+    def embed(texts: list[str]) -> list[list[float]]:
+        if any(len(x) % 5 == 0 for x in texts):
+            raise ValueError("this one is refused")
+        return [[float(len(x))] for x in texts]
+
+    part = lambda df, kind, text: df.where(F.col(text) != "").select(F.lit(kind).alias("type"), F.col(text).alias("content"))
+    rows = part(t.source(), "source", "full_text").unionByName(part(t.note(), "note", "content")).unionByName(part(t.source_insight(), "insight", "content"))
+    return models.tally(models.attempted(rows, embed), "type")
+
+
+@query(sql("model", "SELECT provider, array_to_string(list_sort(list_distinct(list(type))), ',') AS types, count(*) AS models FROM v_model WHERE provider LIKE '%A%' GROUP BY provider"))
+def provider_types_available(t: Tables) -> DataFrame:
+    available = [r.provider for r in t.model().where("provider LIKE '%A%'").select("provider").distinct().collect()]
+    return relational.types_by_provider(t.model(), available)
+
+
+@query(sql("note artifact source source_insight", """, i AS (SELECT 'note:' || replace(i.id, ':', '-') AS id, insight_type || ' from source ' || s.title AS title FROM v_source_insight i JOIN v_source s ON s.id = i.source WHERE insight_type = 'toxic')
+  SELECT 'note' AS kind, id, title FROM v_note UNION ALL SELECT 'note', id, title FROM i UNION ALL SELECT 'edge', "in", out FROM v_artifact UNION ALL SELECT 'edge', id, 'notebook:src1' FROM i"""))
+def insights_saved(t: Tables) -> DataFrame:
+    found = t.source_insight().where("insight_type = 'toxic'").join(t.source().select(F.col("id").alias("source"), F.col("title").alias("source_title")), "source")
+    notes, edges = writes.saved_as_notes(t.note(), t.artifact(), found.select("id", "insight_type", "source_title", "content"), "notebook:src1")
+    return notes.select(F.lit("note").alias("kind"), "id", "title").unionByName(edges.select(F.lit("edge").alias("kind"), F.col("in").alias("id"), F.col("out").alias("title")))
