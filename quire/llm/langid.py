@@ -142,10 +142,8 @@ class Model:
 
 def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridge: float = 1e-2) -> Model:
     """texts without letters are left out."""
-    x = presence(texts)
-    norms = np.sqrt(x.sum(axis=1))
-    keep = norms > 0
-    x, norms, y = x[keep] / norms[keep][:, None], norms[keep], [v for v, k in zip(languages, keep, strict=True) if k]
+    kept = [(t, v) for t, v in zip(texts, languages, strict=True) if folded(t)]
+    texts, y = [t for t, _ in kept], [v for _, v in kept]
     known = sorted(set(y))
     if not known:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros((1, 0)))
@@ -153,17 +151,21 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
     by = {v: [i for i, w in enumerate(y) if w == v] for v in known}
     while len(chosen) < min(landmarks, len(y)):  # in turn from each language, so that a rare one has landmarks too
         chosen += [rows.pop(0) for rows in by.values() if rows]
-    base = x[chosen[:landmarks]]
+    base = presence([texts[i] for i in chosen[:landmarks]])
+    base /= np.sqrt(base.sum(axis=1))[:, None]
     values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    features = np.hstack([(x @ base.T).astype(np.float64) @ root, np.ones((len(x), 1))])
+    products = []
+    for i in range(0, len(texts), 256):  # a few at a time: n-grams are many, landmarks few
+        x = presence(texts[i : i + 256])
+        products.append(_kernel(x, np.sqrt(x.sum(axis=1)), base))
+    features = np.hstack([np.concatenate(products).astype(np.float64) @ root, np.ones((len(texts), 1))])
     targets = np.where(np.array(y)[:, None] == np.array(known)[None, :], 1.0, -1.0)
-    penalty = ridge * len(x) / 100 * np.eye(features.shape[1])
+    penalty = ridge * len(texts) / 100 * np.eye(features.shape[1])
     penalty[-1, -1] = 0
     solved = np.linalg.solve(features.T @ features + penalty, features.T @ targets)
-    kept = [t for t, k in zip(texts, keep, strict=True) if k]
-    held, floors = zip(*(_known([t for t, w in zip(kept, y, strict=True) if w == v]) for v in known), strict=True)
+    held, floors = zip(*(_known([t for t, w in zip(texts, y, strict=True) if w == v]) for v in known), strict=True)
     return Model(known, base, np.vstack([root @ solved[:-1], solved[-1:]]), list(held), list(floors))
 
 
