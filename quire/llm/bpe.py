@@ -219,7 +219,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     named_by = checkpointed(long.select("doc_id", "key"))
     counts = named_by.groupBy("key").agg(F.count("*").alias("k"))
     salts = F.ceil(F.col("k") / COPIES).cast("int")
-    asked = joined_back(named_by, counts, "key", "k").select("doc_id", "key", F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"))
+    asked = joined_back(named_by, counts, "key").select("doc_id", "key", F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"))
     answers = whole.join(counts, "key").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("k")
     return done.unionByName(asked.join(answers, ["key", "salt"]).select("doc_id", "ids", *named))
 

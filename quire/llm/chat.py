@@ -73,9 +73,9 @@ def format_chats(turns: DataFrame, part_turns: int = 256) -> DataFrame:
     """conv_id, part (from 0), n_turns (of the conversation), rendered."""
     turns = ordered(turns)
     places = checkpointed(placed(turns))
-    keep = checkpointed(maximal(places))
+    keep = maximal(places)
     # the turns of what is kept, without texts; a conversation is known by its struct, so a null id is one too
-    kept = joined_back(places.select("at", "n", F.struct("conv_id").alias("c")), keep.select(F.struct("conv_id").alias("c"), "n_turns"), "c", "n_turns")
+    kept = joined_back(places.select("at", "n", F.struct("conv_id").alias("c")), keep.select(F.struct("conv_id").alias("c"), "n_turns"), "c")
     x = turns.select("conv_id", "at", render_turn(F.col("role"), F.col("text")).alias("rendered")).join(kept.select("at", "n", "n_turns"), "at")
     parts = x.groupBy("conv_id", F.expr(f"cast((n - 1) div {part_turns} as int)").alias("part"), F.col("n_turns").cast("long").alias("n_turns"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "rendered"))), lambda t: t["rendered"]), "")

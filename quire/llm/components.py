@@ -7,34 +7,26 @@ from pyspark.sql import functions as F
 
 from .durable import checkpointed
 
-#: A key with one in so many rows is joined by a broadcast; there are so many of them at most.
-HEAVY = 4096
+def joined_back(rows: DataFrame, summary: DataFrame, key: str) -> DataFrame:
+    """rows inner-joined to summary, which has one row for each key and is usually made of rows.
 
-
-def joined_back(rows: DataFrame, summary: DataFrame, key: str, size: str) -> DataFrame:
-    """rows inner-joined to summary, which has one row for each key and the key's number of rows in `size`.
-
-    Keys with 1/HEAVY of all rows are sent to the rows (HEAVY keys at most), so no task gets such a key whole; rows of the
-    other keys are shuffled. rows and summary are read more than once."""
-    total = summary.agg(F.sum(size).alias("__total"))
-    heavy = summary.join(F.broadcast(total)).where(F.col(size) * HEAVY >= F.col("__total")).drop("__total")
-    light = summary.join(F.broadcast(total)).where(F.col(size) * HEAVY < F.col("__total")).drop("__total")
-    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(light, key))
+    The summary is written out first. So both sides of the join are plain shuffles, and adaptive execution can split a key
+    that holds a large part of the rows over many tasks, which it cannot where the summary is added up in the same stage."""
+    return rows.join(checkpointed(summary), key)
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """edges: columns a, b of one orderable type. node and root (the smallest node of its component) of every node in an edge.
 
-    Nulls link nothing; loops and repeated edges do no harm. A hub's edges stay where they are: its minimum is sent to them."""
+    Nulls link nothing; loops and repeated edges do no harm. No task gathers a hub's edges: minima are partial first, and the joins that send them back may be split."""
     e = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = _state(e)
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")).select("u", F.least("u", "m").alias("m"), "k")
-        large = checkpointed(joined_back(both, least, "u", "k").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
-        small = joined_back(large, least, "u", "k").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = checkpointed(joined_back(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = joined_back(large, least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         e = checkpointed(small.select("e.u", "e.v").where("u <> v").distinct())
         before, state = state, _state(e)
         if before == state:

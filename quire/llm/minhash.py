@@ -194,7 +194,7 @@ def _cells(rows: DataFrame) -> DataFrame:
     most = sizes.groupBy("g").agg(F.max(F.struct("k", "comp", "n")).alias("most"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
     blocks = lambda k, n: F.greatest(F.ceil(k / F.lit(BLOCK)), F.ceil(n / F.lit(BLOCK_SHINGLES))).cast("int")
     most = most.select("g", "k", F.col("n").alias("n_all"), F.col("most.comp").alias("main"), blocks(F.col("most.k"), F.col("most.n")).alias("mains"), blocks(F.col("k") - F.col("most.k"), F.col("n") - F.col("most.n")).alias("others"))
-    x = joined_back(rows, most, "g", "k").withColumn("is_main", F.col("comp") == F.col("main"))
+    x = joined_back(rows, most, "g").withColumn("is_main", F.col("comp") == F.col("main"))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
     x = x.withColumn("block", own)
     cell = lambda r, c: F.struct(r.cast("int").alias("r"), c.cast("int").alias("c"))
@@ -352,11 +352,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = _batches(docs, id_col, text_col)
     sketched = checkpointed(sketch(docs, id_col, text_col, words))
     first = F.min(F.struct("i", "x", "n", "signature", "bands")).alias("first")
-    classes = sketched.where("n > 0").groupBy("set0", "set1").agg(first, F.count("*").alias("docs"))
-    classes = checkpointed(classes.select("set0", "set1", "docs", _node("first.i", "first.x").alias("node"), "first.n", "first.signature", "first.bands"))
+    classes = sketched.where("n > 0").groupBy("set0", "set1").agg(first)
+    classes = checkpointed(classes.select("set0", "set1", _node("first.i", "first.x").alias("node"), "first.n", "first.signature", "first.bands"))
     banded = classes.select("node", "n", F.posexplode("bands").alias("band", "g"))
-    buckets = banded.groupBy("g").agg(F.min("node").alias("rep"), F.count("*").alias("k")).where("k > 1")
-    members = checkpointed(joined_back(banded, buckets, "g", "k").drop("k"))
+    buckets = banded.groupBy("g").agg(F.min("node").alias("rep"), F.count("*").alias("k")).where("k > 1").drop("k")
+    members = checkpointed(joined_back(banded, buckets, "g"))
 
     needed = members.select("node").distinct().select("node.i", "node.x")
     texts = rows.join(needed, ["i", "x"], "left_semi").groupBy("i", "x").agg(F.first("text").alias("text"))
@@ -384,8 +384,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joins = checkpointed(connected(_links(may.join(sets, "node"), percent)))
 
     roots = joins.select(F.col("node").alias("comp"), F.col("root").alias("last"))
-    of_class = component(classes.select("set0", "set1", "docs", "node")).join(roots, "comp", "left").select(F.struct("set0", "set1").alias("s"), "docs", F.coalesce("last.i", "comp.i").alias("c"))
-    filled = joined_back(sketched.where("n > 0").select("i", "n", F.struct("set0", "set1").alias("s")), of_class, "s", "docs").select("i", "n", "c")
+    of_class = component(classes.select("set0", "set1", "node")).join(roots, "comp", "left").select(F.struct("set0", "set1").alias("s"), F.coalesce("last.i", "comp.i").alias("c"))
+    filled = joined_back(sketched.where("n > 0").select("i", "n", F.struct("set0", "set1").alias("s")), of_class, "s").select("i", "n", "c")
     out = filled.unionByName(sketched.where("n = 0").select("i", "n", F.col("i").alias("c")))
     return out.select(F.nullif("i", F.lit(_NULL_ID)).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.nullif("c", F.lit(_NULL_ID)).alias("component_id"), (F.col("i") == F.col("c")).alias("kept"))
 
