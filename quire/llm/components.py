@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .durable import checkpointed
 
-def joined_back(rows: DataFrame, summary: DataFrame, key: str) -> DataFrame:
+
+def joined_back(rows: DataFrame, summary: DataFrame, key: str | list[str]) -> DataFrame:
     """rows inner-joined to summary, which has one row for each key and is usually made of rows.
 
     The summary is written out first. So both sides of the join are plain shuffles, and adaptive execution can split a key

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, langid, licenses, minhash, mixing, quality, substrings, tokencount
+from . import ann, audit, bpe, chat, langid, licenses, linededup, minhash, mixing, phrases, quality, substrings, tokencount
 
 
 def tokenizer(name: str) -> str:
@@ -70,6 +70,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=["doc_id", "held_out"])
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = linededup.without_common_lines(table(spark, sf_dir, "documents"))
+    return x.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,9 +101,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_copies": op8_near_copies,
         "op9_weighted_mix": op9_weighted_mix,
         "op10_language_id": op10_language_id,
+        "op11_collocations": op11_collocations,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_line_dedup": op13_line_dedup,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat.ORACLE_SQL, "op9_weighted_mix": mixing.ORACLE_SQL}
+    return {
+        "op3_chat_format": chat.ORACLE_SQL,
+        "op9_weighted_mix": mixing.ORACLE_SQL,
+        "op11_collocations": phrases.ORACLE_SQL,
+        "op12_filter_audit": audit.ORACLE_SQL,
+        "op13_line_dedup": linededup.ORACLE_SQL,
+    }
