@@ -3,18 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Writes df to the folder in spark.checkpoint.dir, which all machines share, and reads it from there.
+    """Writes df to the folder in spark.checkpoint.dir, which all machines share, and reads it from there."""
+    _checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new place for tables in the folder that all machines share."""
+    return f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    Only a local session that names no such folder gets one of its own."""
-    sc = df.sparkSession.sparkContext
+
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """Only a local session that names no such folder gets one of its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if named is None and not (sc.master or "").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()

@@ -86,10 +86,23 @@ def bm25(docs: DataFrame, text: str, query: str, stemmed: bool = False, keep: li
     return _scored(counted, 0, terms, keep)
 
 
-def highlight(text: Column, query: str) -> Column:
-    """Query words between backticks."""
-    words = "|".join(re.escape(t) for t in query_terms(query))
-    return F.regexp_replace(text, rf"(?iU)\b({words})\b", "`$1`")
+def highlight(docs: DataFrame, text: str, query: str, stemmed: bool = True) -> DataFrame:
+    """Adds `highlight`: the text with the words that the query finds between backticks, all else as it is; null for null.
+
+    Words are those of the search, by the same rules: a text is parted into its words and what lies between them, words that
+    a term stands for are marked, and the parts are put together again."""
+    terms = query_terms(query)
+    parts = F.regexp_extract_all(text, F.lit(rf"{TOKEN}|[^\p{{L}}\p{{N}}]+"), F.lit(0))
+    if not stemmed:
+        forms = F.array(*map(F.lit, terms))
+        return docs.withColumn("highlight", _marked(parts, forms))
+    found = word_forms(docs.select(tokens(F.col(text)).alias("__t")), "__t", list(dict.fromkeys(map(stem, terms))))
+    forms = found.select(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in found.columns]).alias("__forms"))
+    return docs.join(F.broadcast(forms)).withColumn("highlight", _marked(parts, F.col("__forms"))).drop("__forms")  # one row
+
+
+def _marked(parts: Column, forms: Column) -> Column:
+    return F.array_join(F.transform(parts, lambda p: F.when(F.array_contains(forms, F.lower(p)), F.concat(F.lit("`"), p, F.lit("`"))).otherwise(p)), "")
 
 
 def text_branches(query: str, source: DataFrame, embedding: DataFrame, insight: DataFrame, note: DataFrame, sources: bool = True, notes: bool = True, stemmed: bool = True) -> dict[str, DataFrame]:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunks, context, models, register, relational, search, writes
+from ..operators import chunks, context, models, postings, register, relational, search, writes
+from ..operators.durable import shared_folder
 from ..sources import files
 from ..streaming import jobs
 from .registry import ORACLES, QUERIES, query  # noqa: F401
@@ -103,10 +104,42 @@ def text_search_branches(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-@query("SELECT doc_id, sha256(regexp_replace(text, '(?i)\\b(the|of)\\b', '`\\1`', 'g')) AS marked FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+_UNION = _BRANCHES[: _BRANCHES.index("  u AS")] + """
+  u AS (SELECT id, id AS parent_id, title, max(relevance) AS relevance FROM a GROUP BY ALL UNION SELECT b.source, b.source, s.title, max(relevance) FROM b LEFT JOIN v_source s ON s.id = b.source GROUP BY ALL
+    UNION SELECT id, id, title, max(relevance) FROM c GROUP BY ALL UNION SELECT d.id, d.id, insight_type || ' - ' || coalesce(s.title, ''), max(relevance) FROM d LEFT JOIN v_source s ON s.id = d.source GROUP BY ALL
+    UNION SELECT id, id, title, max(relevance) FROM e GROUP BY ALL UNION SELECT id, id, title, max(relevance) FROM g GROUP BY ALL)
+  SELECT id, parent_id, title, round(max(relevance), 6) AS relevance FROM u WHERE id IS NOT NULL GROUP BY id, parent_id, title ORDER BY max(relevance) DESC, id LIMIT 25"""
+
+
+@query(sql("source source_embedding source_insight note", _stemmed(_UNION)))
+def text_search_stored(t: Tables) -> DataFrame:
+    """From postings that are written first: the search reads no text."""
+    folder = shared_folder(t.spark, "postings")
+    postings.add(postings.search_rows(t.source(), t.source_embedding(), t.source_insight(), t.note()), folder, t.spark)
+    return postings.search(t.spark, folder, "Licensing versions", 25).withColumn("relevance", F.round("relevance", 6))
+
+
+@query(sql("source source_embedding source_insight note", _UNION.replace("FROM v_note)", "FROM v_note WHERE note_type = 'ai')")))
+def text_search_changed(t: Tables) -> DataFrame:
+    """From postings of three segments: sources that had other texts first are replaced, notes by people are removed."""
+    folder = shared_folder(t.spark, "postings")
+    rows = postings.search_rows(t.source(), t.source_embedding(), t.source_insight(), t.note())
+    old = rows.withColumn("text", F.when(F.col("field").startswith("source") & F.crc32("id").bitwiseAND(1).cast("boolean"), F.concat(F.lit("the the of "), "title")).otherwise(F.col("text")))
+    postings.add(old, folder, t.spark, stemmed=False)
+    postings.add(rows.where(F.col("field").startswith("source") & F.crc32("id").bitwiseAND(1).cast("boolean")), folder, t.spark)
+    gone = t.note().where("note_type = 'human'").select(F.explode(F.array(F.lit("note title"), F.lit("note text"))).alias("field"), "id")
+    postings.add(None, folder, t.spark, removed=gone)
+    return postings.search(t.spark, folder, TEXT, 25).withColumn("relevance", F.round("relevance", 6))
+
+
+_PARTED = r"regexp_replace(regexp_replace(regexp_replace(text, '(\p{Ll})(\p{Lu})', '\1' || chr(1) || '\2', 'g'), '(\p{L})(\p{N})', '\1' || chr(1) || '\2', 'g'), '(\p{N})(\p{L})', '\1' || chr(1) || '\2', 'g')"
+
+
+@query(f"""WITH p AS (SELECT doc_id, regexp_extract_all({_PARTED}, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+') AS parts FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id, sha256(replace(array_to_string([CASE WHEN list_contains({_FORMS["'the'"]}, lower(p)) OR list_contains({_FORMS["'of'"]}, lower(p)) THEN '`' || p || '`' ELSE p END FOR p IN parts], ''), chr(1), '')) AS marked FROM p""")
 def text_highlight(t: Tables) -> DataFrame:
-    plain = t.raw("documents").where(F.col("text").isNotNull() & ~F.regexp_like("text", F.lit(r"[^\x00-\x7F]")))
-    return plain.select("doc_id", F.sha2(search.highlight(F.col("text"), TEXT).cast("binary"), 256).alias("marked"))
+    x = search.highlight(t.raw("documents").where(F.col("text").isNotNull()), "text", "Licensing versions")
+    return x.select("doc_id", F.sha2(F.col("highlight").cast("binary"), 256).alias("marked"))
 
 
 @query(sql("source_embedding", """, q AS (SELECT 'label ' || vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 3),
