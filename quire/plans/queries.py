@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunks, context, models, postings, register, relational, search, writes
+from ..operators import ask, chunks, context, models, postings, ranges, register, relational, search, vectors, writes
 from ..operators.durable import shared_folder
 from ..sources import files
 from ..streaming import jobs
@@ -151,6 +152,60 @@ def ask_retrieval_batch(t: Tables) -> DataFrame:
     return x.select("query", F.col("rank").cast("long").alias("rank"), "id", F.round("similarity", 6).alias("similarity"))
 
 
+@query(sql("source_embedding", f"SELECT id, source, content, round(similarity, 6) AS similarity FROM ({_NEAR.format('v_source_embedding')}) WHERE similarity >= 0.2 ORDER BY similarity DESC, id LIMIT 10"))
+def vector_search_stored(t: Tables) -> DataFrame:
+    """From vectors that are written by cells first: the search opens the blocks that can hold one of the ten best."""
+    folder, q = shared_folder(t.spark, "vectors"), _vector(t, 0)
+    vectors.write(t.source_embedding().select("id", "source", "content", "embedding"), folder, len(q))
+    x = vectors.nearest(t.spark, folder, q, 10, least=0.2)
+    return x.select("id", "source", "content", F.round("similarity", 6).alias("similarity"))
+
+
+_ASKED = """, vectors AS (SELECT 'topic ' || vec_id AS term, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 4),
+  asked AS (SELECT DISTINCT conv_id AS question_id FROM conversations),
+  strategy AS (SELECT question_id, n, CASE WHEN n = 2 THEN 'nothing' ELSE 'topic ' || ((question_id + n) % 4) END AS term FROM asked, (SELECT unnest([0, 1, 2]) AS n) WHERE question_id % 5 <> 4),
+  a AS (SELECT term, z.source AS id, z.source AS parent_id, z.content, list_cosine_similarity(z.embedding, v) AS similarity FROM v_source_embedding z, vectors WHERE list_cosine_similarity(z.embedding, v) >= 0.2 QUALIFY row_number() OVER (PARTITION BY term ORDER BY similarity DESC, z.id) <= 10),
+  b AS (SELECT term, z.id, z.source AS parent_id, z.insight_type, z.content, list_cosine_similarity(z.embedding, v) AS similarity FROM v_source_insight z, vectors WHERE list_cosine_similarity(z.embedding, v) >= 0.2 QUALIFY row_number() OVER (PARTITION BY term ORDER BY similarity DESC, z.id) <= 10),
+  c AS (SELECT term, z.id, z.id AS parent_id, z.title, z.content, list_cosine_similarity(z.embedding, v) AS similarity FROM v_note z, vectors WHERE list_cosine_similarity(z.embedding, v) >= 0.2 QUALIFY row_number() OVER (PARTITION BY term ORDER BY similarity DESC, z.id) <= 10),
+  u AS (SELECT term, a.id, parent_id, s.title, similarity FROM a LEFT JOIN v_source s ON s.id = a.parent_id UNION SELECT term, b.id, parent_id, insight_type || ' - ' || coalesce(s.title, ''), similarity FROM b LEFT JOIN v_source s ON s.id = b.parent_id UNION SELECT term, id, parent_id, title, similarity FROM c),
+  g AS (SELECT term, id, max(similarity) AS similarity FROM u GROUP BY term, id, parent_id, title QUALIFY row_number() OVER (PARTITION BY term ORDER BY max(similarity) DESC, id) <= 10),
+  found AS (SELECT term, string_agg(id, ',' ORDER BY similarity DESC, id) AS ids FROM g GROUP BY term),
+  answered AS (SELECT question_id, n, sha256('question ' || question_id || '|' || term || '|' || ids) AS answer FROM strategy JOIN found USING (term)),
+  gathered AS (SELECT q.question_id, count(answer) AS answers, coalesce(string_agg(answer, '|' ORDER BY n), '') AS all_answers FROM asked q LEFT JOIN answered USING (question_id) GROUP BY q.question_id)
+  SELECT question_id, (SELECT count(*) FROM strategy s WHERE s.question_id = g.question_id) AS searches, answers, sha256('question ' || question_id || '|' || all_answers) AS final_answer FROM gathered g"""
+
+
+@query(sql("source source_embedding source_insight note", _ASKED))
+def ask_graph(t: Tables) -> DataFrame:
+    """A question for each conversation; the injected models digest what was retrieved."""
+    known = {f"topic {i}": _vector(t, i) for i in range(4)}
+    zero = [0.0] * len(known["topic 0"])
+
+    def plan(questions: list[str]) -> list[str]:
+        out = []
+        for q in questions:
+            i = int(q.split()[-1])
+            searches = [] if i % 5 == 4 else [{"term": x, "instructions": f"say what {x} is"} for x in (f"topic {i % 4}", f"topic {(i + 1) % 4}", "nothing")]
+            out.append("<think>where to look</think>" + json.dumps({"reasoning": "topics", "searches": searches}))
+        return out
+
+    def embed(terms: list[str]) -> list[list[float]]:
+        return [known.get(x, zero) for x in terms]
+
+    def digest(*parts: str) -> str:
+        return "<think>so many</think>" + hashlib.sha256("|".join(parts).encode()).hexdigest()
+
+    def answer(payloads: list[str]) -> list[str]:
+        return [digest(p["question"], p["term"], ",".join(p["ids"])) for p in map(json.loads, payloads)]
+
+    def conclude(payloads: list[str]) -> list[str]:
+        return [digest(p["question"], "|".join(p["answers"])) for p in map(json.loads, payloads)]
+
+    questions = t.raw("conversations").select(F.col("conv_id").alias("question_id")).distinct().withColumn("question", F.concat(F.lit("question "), "question_id"))
+    x = ask.ask(questions, plan, embed, answer, conclude, t.source(), t.source_embedding(), t.source_insight(), t.note())
+    return x.select("question_id", F.size("searches").cast("long").alias("searches"), F.size("answers").cast("long").alias("answers"), "final_answer")
+
+
 # register tables: filters, paging, statistics
 
 _REC = "id, source_id, building_id, room_id, risk_status, product"
@@ -162,6 +217,21 @@ def acm_list_page(t: Tables) -> DataFrame:
     return relational.page(x, ["building_id", "room_id", "id"], 2, 50).select(*_REC.split(", "))
 
 
+@query(sql("acm_record", f"SELECT {_REC} FROM v_acm_record ORDER BY building_id NULLS FIRST, room_id NULLS FIRST, id LIMIT 50 OFFSET (SELECT 50 * (count(*) // 100) FROM v_acm_record)"))
+def acm_list_page_deep(t: Tables) -> DataFrame:
+    """The page in the middle of the whole table, read from the ranges that hold it."""
+    pages = ranges.Pages.write(t.acm_record().select(*_REC.split(", ")), ["building_id", "room_id", "id"], shared_folder(t.spark, "pages"))
+    return pages.page(pages.total // 100 + 1, 50)
+
+
+@query(sql("acm_record", f"SELECT {_REC} FROM v_acm_record WHERE id > (SELECT min(id) FROM v_acm_record WHERE building_id = 'B5') AND building_id = 'B5' OR building_id > 'B5' ORDER BY building_id, id LIMIT 30"))
+def acm_list_after(t: Tables) -> DataFrame:
+    """The next rows behind the first of a building."""
+    records = t.acm_record().select(*_REC.split(", "))
+    first = records.where("building_id = 'B5'").agg(F.min("id").alias("id")).first()
+    return ranges.after(records, [("building_id", "asc"), ("id", "asc")], {"building_id": "B5", "id": first.id}, 30)
+
+
 @query(sql("acm_record", "SELECT count(*) AS total, greatest(ceil(count(*) / 50), 1)::BIGINT AS pages FROM v_acm_record WHERE risk_status = 'High'"))
 def acm_count_pages(t: Tables) -> DataFrame:
     return relational.page_count(relational.equal(t.acm_record(), risk_status="High"), 50)
