@@ -53,14 +53,15 @@ def classed(text: Column) -> list[Column]:
 
 
 def refined(rows: DataFrame) -> DataFrame:
-    """The classes (columns CLASS, and first, the smallest id, nulls last) that are left with two rows or more."""
-    left = rows.select("doc_id", *CLASS)
-    for depth in range(1, len(CLASS) + 1):
+    """The classes (columns CLASS, and first, the smallest id, nulls last) that are left with two rows or more.
+
+    Rows that agree in all of CLASS stay together in each round, so they are one row with a count from the start."""
+    left = rows.groupBy(*CLASS).agg(F.count("*").alias("together"), F.min("doc_id").alias("first"))
+    for depth in range(1, len(CLASS)):
         keys = CLASS[:depth]
-        groups = left.groupBy(*keys).agg(F.count("*").alias("together"), F.min("doc_id").alias("first")).where("together > 1")
-        if depth < len(CLASS):
-            left = joined_back(left, groups.select(*keys), keys)
-    return checkpointed(groups.select(*CLASS, "first"))
+        groups = left.groupBy(*keys).agg(F.sum("together").alias("all")).where("all > 1")
+        left = joined_back(left, groups.select(*keys), keys)
+    return checkpointed(left.where("together > 1").select(*CLASS, "first"))
 
 
 def _copy(first: str) -> Column:
