@@ -136,20 +136,40 @@ def route_model(tokens: Column, explicit: Column, default: Column, large: Column
     return F.when(tokens > limit, large).otherwise(F.coalesce(explicit, default))
 
 
+def _bound(value: Column, f) -> Column:
+    """f(value) with the value worked out once, however often f uses it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+#: Neighbours that are added up one by one; before them whole groups are.
+_GROUP = 64
+
+
+def _sums_before(sizes: Column) -> Column:
+    """For each number of an array the sum of those before it, in two steps: over groups, then inside a group."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda s, n: s + n)
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _GROUP).cast("int")), lambda g: total(F.slice(sizes, g * _GROUP + 1, _GROUP)))
+    starts = F.aggregate(groups, F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+    group = lambda i: F.floor(i / _GROUP).cast("int")
+    return _bound(starts, lambda s: F.transform(sizes, lambda _, i: F.get(s, group(i)) + total(F.slice(sizes, group(i) * _GROUP + 1, i % _GROUP))))
+
+
 def citations(text: Column) -> Column:
     """Array of (type, id, key, start, end) of the references in a text, in order; places count from 0."""
-    keys = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
-    gaps = F.split(text, REFERENCE, -1)
-    steps = F.transform(F.sequence(F.lit(0), F.size(keys) - 1), lambda i: F.struct(F.get(gaps, i).alias("gap"), F.get(keys, i).alias("key")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<type:string,id:string,key:string,start:int,end:int>>").alias("out"))
+    keys, gaps = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), F.split(text, REFERENCE, -1)
+    none = F.array().cast("array<struct<type:string,id:string,key:string,start:int,end:int>>")
+
+    def placed(keys: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(gaps, 1, F.size(keys)).alias("gap"), keys.alias("key"))
+        sized = F.transform(pairs, lambda p: F.struct(F.length(p["gap"]).alias("gap"), p["key"].alias("key"), (F.length(p["gap"]) + F.length(p["key"])).alias("all")))
 
-    def add(s, x):
-        first = s["at"] + F.length(x["gap"])
-        last = first + F.length(x["key"])
-        ref = F.struct(F.substring_index(x["key"], ":", 1).alias("type"), F.substring_index(x["key"], ":", -1).alias("id"), x["key"].alias("key"), first.cast("int").alias("start"), last.cast("int").alias("end"))
-        return F.struct(last.cast("int").alias("at"), F.concat(s["out"], F.array(ref)).alias("out"))
+        def reference(p: Column, before: Column) -> Column:
+            first = before + p["gap"]
+            return F.struct(F.substring_index(p["key"], ":", 1).alias("type"), F.substring_index(p["key"], ":", -1).alias("id"), p["key"].alias("key"), first.cast("int").alias("start"), (first + F.length(p["key"])).cast("int").alias("end"))
 
-    return F.when(F.size(keys) > 0, F.aggregate(steps, start, add, lambda s: s["out"])).otherwise(F.array().cast("array<struct<type:string,id:string,key:string,start:int,end:int>>"))
+        return _bound(sized, lambda x: F.zip_with(x, _bound(F.transform(x, lambda p: p["all"]), _sums_before), reference))
+
+    return _bound(keys, lambda k: F.when(F.size(k) > 0, placed(k)).otherwise(none))
 
 
 def _rewritten(text: Column, pattern: str, link) -> Column:
@@ -165,16 +185,19 @@ _KEY = f"({_ANY})"
 
 def numbered_citations(text: Column) -> Column:
     """References become [n](#ref-type-id), numbered by first use, brackets around them taken in; the list follows."""
-    order = F.array_distinct(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)))
     href = lambda key: F.concat(F.lit("(#ref-"), F.replace(key, F.lit(":"), F.lit("-")), F.lit(")"))
 
-    def link(m):
-        key = F.regexp_extract(m, _KEY, 1)
-        return F.concat(F.lit("["), F.array_position(order, key).cast("string"), F.lit("]"), href(key))
+    def numbered(order: Column) -> Column:
+        def link(m):
+            key = F.regexp_extract(m, _KEY, 1)
+            return F.concat(F.lit("["), F.array_position(order, key).cast("string"), F.lit("]"), href(key))
+
+        body = _rewritten(text, rf"\[\[{_ANY}\]\]|\[{_ANY}\]|{_ANY}", link)
+        listed = F.transform(order, lambda key, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] - ["), key, F.lit("]"), href(key)))
+        return F.when(F.size(order) > 0, F.concat(body, F.lit("\n\nReferences:\n"), F.array_join(listed, "\n"))).otherwise(text)
 
-    body = _rewritten(text, rf"\[\[{_ANY}\]\]|\[{_ANY}\]|{_ANY}", link)
-    listed = F.transform(order, lambda key, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] - ["), key, F.lit("]"), href(key)))
-    return F.when(F.size(order) > 0, F.concat(body, F.lit("\n\nReferences:\n"), F.array_join(listed, "\n"))).otherwise(text)
+    return _bound(found, numbered)
 
 
 def linked_citations(text: Column) -> Column:
