@@ -1,11 +1,13 @@
 """Phrase collocation mining: phrases whose words meet more often than their parts let expect, for each language.
 
-n-grams of 1, 2, ... words are exploded into rows, one length after the other, and hash-aggregated per language. A phrase
-that occurs `least` times has parts that do, so a length explodes only n-grams whose two parts of one word less may have come
-that far. A Bloom filter of the frequent phrases of the length before tells; its size is bounded. What it lets through by
-mistake costs a row and is left out by its own count, so counts are whole and exact for every phrase that reaches `least`,
-however full the filter is. Frequent phrases then meet the counts of their prefixes and suffixes by joins, are scored in
-decimals, lose those that a phrase of one word more accounts for by an anti-join, and are ranked.
+n-grams of 1, 2, ... words are exploded into rows, and hash-aggregated per language. A phrase that occurs `least` times has
+parts that do, so longer n-grams are exploded only where all their parts of a shorter length may have come that far. First
+they are exploded as 64-bit keys of language and words, length after length; a Bloom filter of the keys that come `least` times
+tells for the next length. A last pass explodes those that may be frequent as texts, of all lengths, and counts them by text.
+Keys that collide and what a filter lets through by mistake cost a row and are left out by that count, so counts are whole and
+exact for every phrase that reaches `least`, however full a filter of bounded size is. Frequent phrases then meet the counts
+of their prefixes and suffixes by joins, are scored in decimals, lose those that a phrase of one word more accounts for by an
+anti-join, and are ranked.
 
 Pieces and words: A-Z in lower case; texts end at `[.,;:!?\\x0A-\\x0D]`, words at space and tab. A null text has no words,
 a null language is `und`. Rows that are repeated count again. A very long text is taken in blocks of about a megabyte that
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +39,10 @@ _END = re.compile(rb"[ \t.,;:!?\n-\r]")
 BLOCK_BYTES = 1 << 20
 #: Bits of the filter for each frequent phrase, about, and log2 of the most it can have (32 MiB).
 BITS_EACH, MOST_BITS = 24, 28
+#: Keys that are counted together in a task before they are put out, and lengths that have a pass of their own.
+KEYS_HELD, ALONE = 1 << 20, 3
+#: Groups in which a language's phrases are ranked first.
+GROUPS = 32
 
 
 def blocks(text: bytes, words: int, size: int = BLOCK_BYTES) -> Iterator[tuple[bytes, int]]:
@@ -114,67 +121,104 @@ def _lang_key(lang: str) -> int:
     return int(Texts(pa.array([lang + "."]), np.ones(256, dtype=bool)).hashes()[0])
 
 
-def counted(texts: DataFrame, n: int, least: int, words: int, known: tuple[bytes, int] | None) -> DataFrame:
-    """lang, phrase, f of the n-grams that occur `least` times; those with a part that the filter does not know aren't looked at.
+def _maybe(g: Grams, k: int, known: tuple[bytes, int]) -> np.ndarray:
+    """Which k words in a row the filter takes for frequent."""
+    keys, whole = g.keys(k)
+    bits = np.frombuffer(known[0], dtype=np.uint8)
+    for p in _places(keys, known[1]):
+        whole = whole & ((bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1)
+    return whole
+
+
+def _all_parts(g: Grams, n: int, k: int, known: tuple[bytes, int]) -> np.ndarray:
+    """Which n-grams have parts of k words that are all taken for frequent."""
+    maybe = _maybe(g, k, known)
+    out = maybe.copy()
+    for i in range(1, n - k + 1):
+        out[: len(out) - i] &= maybe[i:]
+    return out
+
+
+def keyed(texts: DataFrame, lengths: range, least: int, words: int, known: tuple[bytes, int] | None) -> DataFrame:
+    """n, key of the n-grams of these lengths whose key comes `least` times; of those whose parts of one word less than the
+    first length the filter knows.
 
     texts: lang (not null), text."""
     # a large value goes to the executors once, by a broadcast of at most 2^MOST_BITS bits
     sent = texts.sparkSession.sparkContext.broadcast(known) if known else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, log_bits = (np.frombuffer(sent.value[0], dtype=np.uint8), sent.value[1]) if sent else (None, 0)
+        held: dict[int, list[np.ndarray]] = {n: [] for n in lengths}
+
+        def combined(n: int) -> pa.RecordBatch:
+            x = pc.value_counts(pa.array(np.concatenate(held[n]).view(np.int64)))
+            held[n] = []
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), n, dtype=np.int8)), x.field("values"), x.field("counts")], ["n", "key", "f"])
+
         for b in batches:
-            for g, langs in _parts_of(b, words):
-                _, which = g.keys(n)
-                which &= g.starts_here
-                if bits is not None:
-                    keys, _ = g.keys(n - 1)
-                    maybe = np.ones(len(keys), dtype=bool)
-                    for p in _places(keys, log_bits):
-                        maybe &= (bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                    which &= maybe
-                    which[:-1] &= maybe[1:]
-                at = np.flatnonzero(which)
-                if len(at):
-                    x = pa.table({"lang": langs.take(pa.array(at)), "phrase": g.phrases(n, at)})
-                    x = x.group_by(["lang", "phrase"], use_threads=False).aggregate([([], "count_all")])
-                    yield from pa.table({"lang": x["lang"], "phrase": x["phrase"].cast(pa.string()), "f": x["count_all"]}).combine_chunks().to_batches()
-
-    rows = texts.mapInArrow(run, "lang string, phrase string, f long")
-    return rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-
-
-def bloom(phrases: DataFrame, n: int) -> tuple[bytes, int]:
-    """The filter of phrases (lang, phrase) of n words, and log2 of its bits: BITS_EACH a phrase, 2^MOST_BITS at most."""
-    log_bits = int(np.clip(np.ceil(np.log2(phrases.count() * BITS_EACH + 1)), 16, MOST_BITS))
+            for g, _ in _parts_of(b, words):
+                for n in lengths:
+                    keys, which = g.keys(n)
+                    which &= g.starts_here
+                    if sent:
+                        which &= _all_parts(g, n, lengths[0] - 1, sent.value)
+                    held[n].append(keys[which])
+                    if sum(map(len, held[n])) >= KEYS_HELD:
+                        yield combined(n)
+        for n in lengths:
+            if sum(map(len, held[n])):
+                yield combined(n)
+
+    rows = texts.mapInArrow(run, "n byte, key long, f long")
+    return rows.groupBy("n", "key").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("n", "key")
+
+
+def bloom(keys: DataFrame) -> tuple[bytes, int]:
+    """The filter of a column of keys, and log2 of its bits: BITS_EACH a key, 2^MOST_BITS at most."""
+    log_bits = int(np.clip(np.ceil(np.log2(keys.count() * BITS_EACH + 1)), 16, MOST_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs = np.array([_lang_key(x) for x in b.column("lang").to_pylist()], dtype=np.uint64)
-            g = Grams(b.column("phrase"), np.full(b.num_rows, 1 << 60), langs)
-            keys, whole = g.keys(n)
-            p = np.concatenate(_places(keys[whole], log_bits))
+            p = np.concatenate(_places(b.column("key").to_numpy().view(np.uint64), log_bits))
             word, order = np.unique(p >> np.uint64(6), return_inverse=True)
             set_bits = np.zeros(len(word), dtype=np.uint64)
             np.bitwise_or.at(set_bits, order, np.uint64(1) << (p & np.uint64(63)))
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(set_bits.view(np.int64))], ["word", "bits"])
 
     # at most 2^(MOST_BITS - 6) rows of two numbers
-    got = phrases.select("lang", "phrase").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    got = keys.select("key").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(1 << (log_bits - 6), dtype=np.int64)
     out[got["word"].to_numpy()] = got["bits"].to_numpy()
     return out.tobytes(), log_bits
 
 
 def frequent(texts: DataFrame, least: int, most_words: int) -> DataFrame:
-    """lang, phrase, words, f of all phrases of up to most_words words that occur `least` times, written out by length."""
-    out, known = None, None
-    for n in range(1, most_words + 1):
-        x = checkpointed(counted(texts, n, least, most_words, known))
-        out = x.withColumn("words", F.lit(n)) if out is None else out.unionByName(x.withColumn("words", F.lit(n)))
-        if n < most_words:
-            known = bloom(x, n)
-    return out
+    """lang, phrase, words, f of all phrases of up to most_words words that occur `least` times, written out."""
+    filters: dict[int, tuple[bytes, int]] = {}
+    for lengths in [range(n, n + 1) for n in range(1, min(most_words, ALONE) + 1)] + [range(ALONE + 1, most_words + 1)]:
+        if len(lengths):
+            x = checkpointed(keyed(texts, lengths, least, most_words, filters.get(lengths[0] - 1)))
+            filters |= {n: bloom(x.where(F.col("n") == n)) for n in lengths}
+    sent = texts.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for g, langs in _parts_of(b, most_words):
+                shorter = None
+                for n, known in sent.value.items():
+                    maybe = _maybe(g, n, known)
+                    if shorter is not None:
+                        maybe[:-1] &= shorter[:-1] & shorter[1:]
+                    shorter = maybe
+                    at = np.flatnonzero(maybe & g.starts_here)
+                    if len(at):
+                        x = pa.table({"lang": langs.take(pa.array(at)), "phrase": g.phrases(n, at)})
+                        x = x.group_by(["lang", "phrase"], use_threads=False).aggregate([([], "count_all")])
+                        words = pa.array(np.full(len(x), n, dtype=np.int32))
+                        yield from pa.table({"lang": x["lang"], "phrase": x["phrase"].cast(pa.string()), "words": words, "f": x["count_all"]}).combine_chunks().to_batches()
+
+    rows = texts.mapInArrow(run, "lang string, phrase string, words int, f long")
+    return checkpointed(rows.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
 
 
 def _first(k: Column) -> Column:
@@ -212,8 +256,11 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     words = F.regexp_count("text", F.lit("[^ \\t.,;:!?\\n-\\r]+")).cast("long")
     totals = texts.groupBy("lang").agg(F.coalesce(F.sum(words), F.lit(0).cast("long")).alias("n"))
     found = checkpointed(scored(frequent(texts, least, most_words), totals))
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc())
-    x = unexplained(found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # a language's first phrases are among the first of its groups: what one task ranks is bounded
+    group, x = (F.crc32("phrase") % GROUPS).alias("group"), unexplained(found)
+    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
+    for keys in (["lang", group], ["lang"]):
+        x = x.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= top)
     return x.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
