@@ -349,6 +349,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, n_shingles, component_id (smallest id that links reach) and kept (whether that is its own id) of each row.
 
     Documents are linked if 100 * shared shingles >= percent * shingles of both; ids are integers."""
+    out = _judged(docs, id_col, text_col, words, percent)
+    return out.select(F.nullif("i", F.lit(_NULL_ID)).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.nullif("c.i", F.lit(_NULL_ID)).alias("component_id"), (F.col("i") == F.col("c.i")).alias("kept"))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """i, x, n (shingles) and c (i and x of the first row of its component) of each row."""
     rows = _batches(docs, id_col, text_col)
     sketched = checkpointed(sketch(docs, id_col, text_col, words))
     first = F.min(F.struct("i", "x", "n", "signature", "bands")).alias("first")
@@ -384,13 +390,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joins = checkpointed(connected(_links(may.join(sets, "node"), percent)))
 
     roots = joins.select(F.col("node").alias("comp"), F.col("root").alias("last"))
-    of_class = component(classes.select("set0", "set1", "node")).join(roots, "comp", "left").select(F.struct("set0", "set1").alias("s"), F.coalesce("last.i", "comp.i").alias("c"))
-    filled = joined_back(sketched.where("n > 0").select("i", "n", F.struct("set0", "set1").alias("s")), of_class, "s").select("i", "n", "c")
-    out = filled.unionByName(sketched.where("n = 0").select("i", "n", F.col("i").alias("c")))
-    return out.select(F.nullif("i", F.lit(_NULL_ID)).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.nullif("c", F.lit(_NULL_ID)).alias("component_id"), (F.col("i") == F.col("c")).alias("kept"))
+    of_class = component(classes.select("set0", "set1", "node")).join(roots, "comp", "left").select(F.struct("set0", "set1").alias("s"), F.coalesce("last", "comp").alias("c"))
+    filled = joined_back(sketched.where("n > 0").select("i", "x", "n", F.struct("set0", "set1").alias("s")), of_class, "s").select("i", "x", "n", "c")
+    return filled.unionByName(sketched.where("n = 0").select("i", "x", "n", _node().alias("c")))
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that are kept, all columns; repeated rows of one id and text stay together."""
-    kept = near_copies(docs, id_col, text_col, words, percent).where("kept").select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("__id")).distinct()
-    return docs.join(kept, F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)) == F.col("__id"), "left_semi")
+    """The rows of docs that are kept, all columns, whatever their names: of each group those with its smallest id, null last,
+    and of different texts with that id one. Rows that are repeated in id and text stay together."""
+    x = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    id_, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    first = _judged(x, id_, text, words, percent).where((F.col("i") == F.col("c.i")) & (F.col("x") == F.col("c.x"))).select("i", "x").distinct()
+    kept = x.join(first, (F.coalesce(F.col(id_).cast("long"), F.lit(_NULL_ID)) == F.col("i")) & (F.xxhash64(text) == F.col("x")), "left_semi")
+    return kept.toDF(*docs.columns)

@@ -10,8 +10,9 @@ thousand rows each, are summed and the sums of the buckets added up; then rows a
 gets all rows of a source.
 
 Sizes: number of `[^\\x20\\x09-\\x0D]+` in the text, 0 for null. A null source is a source, the last one. Rows with
-equal id are shuffled by their size after that; rows that are equal in id and size are alike, and which of them is
-sent first makes no difference. Sources without words have target 0. An empty table gives an empty result. Other
+equal id are shuffled by their size after that; for `plan_mix`, rows that are equal in id and size are alike, and which
+of them is sent first makes no difference; `mixed` tells them apart by source and text too. A very long text is one row of
+its size, and only `mixed` moves it. Sources without words have target 0. An empty table gives an empty result. Other
 columns are kept in `mixed`, left aside in `plan_mix`.
 """
 
@@ -79,53 +80,65 @@ def running(df: DataFrame, group: list[str], bucket: str, order: list[str], valu
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (1, 2, 3), most_times: int = 3, seed: str = "mix") -> DataFrame:
     """doc_id, size, source_size, target, taken (words sent, repeats counted) of each row."""
-    sized = checkpointed(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size")))
+    return _planned(docs, id_col, text_col, source_col, weights, most_times, seed, [])
+
+
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], most_times: int, seed: str, more: list[Column]) -> DataFrame:
+    """plan_mix() with further columns, numbers by which rows of one id and size are told apart and put in order."""
+    extra = [f"more{k}" for k in range(len(more))]
+    sized = checkpointed(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), *[c.alias(n) for c, n in zip(more, extra, strict=True)]))
     targets = checkpointed(source_targets(sized, weights, most_times))
     total = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("words"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
     bits = F.least(F.greatest(F.ceil(F.log2(F.col("rows") / BUCKET_ROWS)), F.lit(0)), F.lit(40)).cast("int")
     joined = sized.join(targets.withColumn("bits", bits), sized["source"].eqNullSafe(targets["source"]))
-    keyed = joined.select("doc_id", "size", "sid", "source_size", "target", "bits", shuffle_key(F.col("doc_id"), seed).alias("key")).withColumn("bucket", F.expr(f"shiftright(key, {KEY_BITS} - bits)"))
-    queue = checkpointed(running(keyed, ["sid"], "bucket", ["key", "doc_id", "size"], "size", "sent").drop("bucket", "bits"))
+    keyed = joined.select("doc_id", "size", *extra, "sid", "source_size", "target", "bits", shuffle_key(F.col("doc_id"), seed).alias("key")).withColumn("bucket", F.expr(f"shiftright(key, {KEY_BITS} - bits)"))
+    queue = checkpointed(running(keyed, ["sid"], "bucket", ["key", "doc_id", "size", *extra], "size", "sent").drop("bucket", "bits"))
     times = [F.when(F.col("target") > 0, (F.col("sent") + n * F.col("source_size")) / F.col("target")) for n in range(most_times)]
-    cut = _cut(queue, times, total.words, total.rows)
+    cut = _cut(queue, times, total.words, total.rows, extra)
     last = [F.coalesce(cut(t), F.lit(False)) for t in times]
-    return queue.select("doc_id", "size", "source_size", "target", (F.col("size") * sum(x.cast("long") for x in last)).alias("taken"))
+    return queue.select("doc_id", *extra, "size", "source_size", "target", (F.col("size") * sum(x.cast("long") for x in last)).alias("taken"))
 
 
-def _cut(queue: DataFrame, times: list[Column], words: int, rows: int):
+def _cut(queue: DataFrame, times: list[Column], words: int, rows: int, extra: list[str]):
     """Which finish times are sent before the budget is used up: a function of such a column.
 
     The budget ends in one bucket of virtual time; only that bucket's rows are put in order."""
     parts = max(1, rows // BUCKET_ROWS)
     # a document that starts before time 1 is all that can be sent within the budget
-    sent = queue.select("sid", "key", "doc_id", "size", F.explode(F.array(*times)).alias("time"), "target").where((F.col("size") > 0) & (F.col("time") - F.col("size") / F.col("target") < 1))
+    sent = queue.select("sid", "key", "doc_id", "size", *extra, F.explode(F.array(*times)).alias("time"), "target").where((F.col("size") > 0) & (F.col("time") - F.col("size") / F.col("target") < 1))
     sent = sent.withColumn("slot", F.floor(F.col("time") * parts).cast("long"))
     sums = sent.groupBy("slot").agg(F.sum("size").alias("words"))
     after = sums.select("slot", "words", F.sum("words").over(Window.orderBy("slot")).alias("upto"))
     end = after.where(F.col("upto") > words).orderBy("slot").limit(1).first()
     if end is None:
         return lambda time: (time - F.col("size") / F.col("target") < 1) & (F.col("size") > 0)
-    order = ["time", "sid", "key", "doc_id", "size"]
+    order = ["time", "sid", "key", "doc_id", "size", *extra]
     inside = sent.where(F.col("slot") == end.slot).select(*order, F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
     last = inside.where(F.col("upto") <= words - (end.upto - end.words)).orderBy(*[F.col(c).desc() for c in order]).first()
     if last is None:  # the slot's first document is already too long
         return lambda time: (F.floor(time * parts) < end.slot) & (time - F.col("size") / F.col("target") < 1)
 
     def taken(time: Column) -> Column:
-        here = F.struct(time.alias("time"), "sid", "key", F.col("doc_id").alias("doc_id"), "size")
+        here = F.struct(time.alias("time"), "sid", "key", F.col("doc_id").alias("doc_id"), "size", *extra)
         there = F.struct(*[F.lit(last[c]).cast(queue.schema[c].dataType if c != "time" else "double").alias(c) for c in order])
         return (here <= there) & (time - F.col("size") / F.col("target") < 1)
 
     return taken
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: each row of docs as many times as it is sent, all columns kept."""
-    plan = plan_mix(docs, id_col, text_col, source_col, **options)
-    times = plan.where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.expr("taken div size").alias("__times")).groupBy("__id", "__size").agg(F.max("__times").alias("__times"))
-    sized = docs.withColumn("__size_of", words_in(F.col(text_col)))
-    out = sized.join(times, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__size_of") == F.col("__size")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*[f"`{c}`" for c in docs.columns])
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (1, 2, 3), most_times: int = 3, seed: str = "mix") -> DataFrame:
+    """The mix itself: each row of docs as many times as it is sent, all columns kept, whatever their names.
+
+    Rows are known by id, size, source and text, the last two by a hash; of rows that are equal in all of these each is sent
+    as often as the one that is sent most, as none can be told from another."""
+    x = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    id_, text, source = (f"c{docs.columns.index(c)}" for c in (id_col, text_col, source_col))
+    said = F.xxhash64(F.col(source).isNull(), F.col(source), F.col(text))
+    plan = _planned(x, id_, text, source, weights, most_times, seed, [said]).where("taken > 0")
+    times = plan.groupBy("doc_id", "size", "more0").agg(F.max(F.expr("taken div size")).alias("times"))
+    sized = x.withColumn("said", said)
+    out = sized.join(times, F.col(id_).eqNullSafe(F.col("doc_id")) & (F.col("said") == F.col("more0")) & (words_in(F.col(text)) == F.col("size")))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*x.columns).toDF(*docs.columns)
 
 
 ORACLE_SQL = """

@@ -317,7 +317,7 @@ def _dictionary(sample: DataFrame, text_col: str) -> Dictionary:
 
 
 def _cut(docs: DataFrame, id_col: str, text_col: str, words: int, group_rows: int = GROUP_ROWS, share: int = HEAVY) -> DataFrame:
-    """docs and __kept_text, __n_words, __n_removed (whatever other names docs has)."""
+    """docs and __kept_text, __n_words, __n_removed; the names of docs don't begin with __."""
     if words < PREFIX_WORDS:
         raise ValueError(f"a window has {PREFIX_WORDS} words at least")
     spark, names = docs.sparkSession, docs.columns
@@ -403,14 +403,23 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The columns of docs, and kept_text (words that stay, joined by one space), n_words, n_removed; columns of these
     three names are replaced."""
     new = ("kept_text", "n_words", "n_removed")
-    return _cut(docs, id_col, text_col, words).select(*[F.col(f"`{c}`") for c in docs.columns if c not in new], *[F.col(f"__{c}").alias(c) for c in new])
+    x, id_, text = _plainly(docs, id_col, text_col)
+    stay = [(k, c) for k, c in enumerate(docs.columns) if c not in new]
+    return _cut(x, id_, text, words).select(*[f"c{k}" for k, _ in stay], *[f"__{c}" for c in new]).toDF(*[c for _, c in stay], *new)
 
 
 def with_repeats_cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 50, length_col: str | None = None) -> DataFrame:
     """The columns of docs alone: a text that loses words is its remaining words, joined by one space, and length_col
     their characters; a text that loses none stays as it is."""
+    x, id_, text = _plainly(docs, id_col, text_col)
     hit = F.col("__n_removed") > 0
-    new = {text_col: F.when(hit, F.col("__kept_text")).otherwise(F.col(f"`{text_col}`"))}
+    new = {text: F.when(hit, F.col("__kept_text")).otherwise(F.col(text))}
     if length_col:
-        new[length_col] = F.when(hit, F.length("__kept_text").cast(docs.schema[length_col].dataType)).otherwise(F.col(f"`{length_col}`"))
-    return _cut(docs, id_col, text_col, words).select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+        size = f"c{docs.columns.index(length_col)}"
+        new[size] = F.when(hit, F.length("__kept_text").cast(docs.schema[length_col].dataType)).otherwise(F.col(size))
+    return _cut(x, id_, text, words).select(*[new.get(c, F.col(c)) for c in x.columns]).toDF(*docs.columns)
+
+
+def _plainly(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
+    """docs with columns c0, c1, ..., so that none clashes with a name of ours, and those of the id and the text."""
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]), f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
