@@ -3,8 +3,8 @@
 The kernel of two texts is the blended spectrum of presence: the number of character n-grams (n = 1 to 4, over folded
 letters) that both texts hold, n-grams taken as buckets of a fixed hash, divided by the norms. A set of landmark texts
 gives the Nystroem feature map K(x, landmarks) K(landmarks, landmarks)^-1/2, and one ridge regression for each language
-against the rest is solved in it. Fitting works on a bounded sample, the `train_rows` rows with the smallest hash of
-their text, and is small linear algebra on the driver; scoring is two matrix products for each Arrow batch.
+against the rest is solved in it. Fitting works on a bounded sample of whole texts, those with the smallest hash in
+each language (`training_rows`), and is small linear algebra on the driver; scoring is two matrix products for each Arrow batch.
 
 Letters are taken as str.isalpha() has them, lower-cased; everything else is one space. Texts that are null or have no
 letter give `und` and score 0. The score says how a classifier's value stands to the others, not that it is high: of the
@@ -26,16 +26,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import checkpointed
 from .words import mix, slices
 
 #: Hash buckets of the n-grams, and lengths of the n-grams.
 BUCKETS = 1 << 13
 LENGTHS = (1, 2, 3, 4)
-#: The sample that is learned from: so many texts at most, of so many characters at most (whole texts; longer ones do not train).
-TRAIN_ROWS, TRAIN_CHARS = 3000, 5000
+#: The sample that is learned from: so many texts at most, taken whole, in turn from all languages; a language's texts are taken
+#: until they have its share of so many characters, two texts at least.
+TRAIN_ROWS, TRAIN_CHARS = 3000, 15_000_000
 LANDMARKS = 300
 #: A text is a language's own if its share of known sequences is at least so much of the median training text's.
 ACCEPTED = 0.5
@@ -170,11 +172,19 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
 
 
 def training_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> DataFrame:
-    """The bounded sample that is learned from: of the different texts (of up to `chars` characters) and languages, the
-    `rows` with the smallest hash. Hashes are ranked first, so texts are fetched for those alone."""
-    x = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL").where(F.length("text") <= chars).withColumn("h", F.xxhash64("text"))
-    last = x.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    return x.where(F.col("h") <= F.lit(last)).groupBy("h", "lang").agg(F.first("text").alias("text")).orderBy("h", "lang").limit(rows).select("text", "lang")
+    """The bounded sample that is learned from: text and lang of different texts, in order of a hash of each, the first of every
+    language, then the second, and so on, up to `rows`. A text of any length may be among them; a language stops when its
+    texts have its share of `chars`, but not before the second. Hashes are ranked first, so texts are fetched for those alone."""
+    x = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.xxhash64("text"))
+    each = x.groupBy("lang", "h").agg(F.max(F.length("text")).alias("size"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    first = each.withColumn("turn", turn).where(F.col("turn") <= rows)  # limited in each task before the shuffle
+    # languages with a text among the first `rows`: no more than that many
+    first = checkpointed(first.orderBy("turn", "h", "lang").limit(rows))
+    share = chars / max(1, first.select("lang").distinct().count())
+    upto = F.sum("size").over(Window.partitionBy("lang").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    kept = first.withColumn("upto", F.coalesce(upto, F.lit(0))).where((F.col("upto") < share) | (F.col("turn") <= 2)).select("lang", "h")
+    return x.join(F.broadcast(kept), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).orderBy("h", "lang").select("text", "lang")  # at most `rows` are broadcast
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
