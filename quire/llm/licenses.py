@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import bisect
 import math
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -49,6 +50,13 @@ TEMPLATES = [
     ("cc-by-sa", "Licensed under CC BY-SA", ["cc by sa"]),
     ("cc-by-nd", "Licensed under CC BY-ND", ["cc by nd"]),
     ("cc0", "Dedicated to the public domain under CC0", ["cc0"]),
+    ("cc0", "Available under CC0", ["under cc0"]),
+    ("mit", "MIT License Copyright (c)", ["mit license copyright c"]),
+    ("gpl-3.0", "General Public License v3", ["general public license v3"]),
+    ("gpl-2.0", "General Public License v2", ["general public license v2"]),
+    ("lgpl-2.1", "GNU Lesser General Public License, version 2.1", ["lesser general public license version 2 1"]),
+    ("lgpl-3.0", "GNU Lesser General Public License, version 3", ["lesser general public license version 3"]),
+    ("agpl-3.0", "GNU Affero General Public License, version 3", ["affero general public license version 3"]),
     ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to
 use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom
@@ -99,6 +107,9 @@ not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0
 publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
 commercial or non-commercial, and by any means.""", ["free and unencumbered software"]),
 ]
+#: Identifiers of which a tag `SPDX-License-Identifier: ...` makes a notice of its own; the label is in lower case.
+TAGS = ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "AGPL-3.0-only", "CC0-1.0", "Unlicense"]
+TEMPLATES += [(tag.lower(), f"SPDX-License-Identifier: {tag}", [re.sub("[^a-z0-9]+", " ", f"spdx license identifier {tag}".lower())]) for tag in TAGS]
 #: Words of a template that are indexed, the share of them that must agree on a start, and the share of its IDF that must stand there.
 RARE, VOTES, COVERAGE = 12, 0.6, 0.6
 
@@ -214,8 +225,13 @@ class Index:
             if covered >= COVERAGE:
                 matches.append((s, s + t.slack + len(t.words), len(t.words), t.label, covered))
         labels, score = set(base), 0.5 if base else 0.0
-        for lo, hi, size, label, covered in matches:
-            if not any(a <= lo and hi <= z and size < n for a, z, n, _, _ in matches):
+        # a longer template's match spans more, so what lies inside one shows in a sweep over spans, the longer first
+        reach, span, before = -1, (-1, -1), -1
+        for lo, hi, _, label, covered in sorted(matches, key=lambda m: (m[0], -m[1])):
+            if (lo, hi) != span:
+                span, before = (lo, hi), reach
+                reach = max(reach, hi)
+            if hi > before:
                 labels.add(label)
                 score = max(score, covered)
         return len(starts), min(starts, default=None), max(starts, default=None), base, labels, score
