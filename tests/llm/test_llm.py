@@ -643,4 +643,4 @@ def test_verdict_of_learned_rules(spark, docs, data):
 
 def test_all_are_registered():
     known = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in known) for k in range(1, 11)) and "pipeline" in known
+    assert all(any(n.startswith(f"op{k}_") for n in known) for k in range(1, 14)) and "pipeline" in known
