@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .durable import checkpointed
+from .durable import checkpointed, read_by, write_by
 
 
 def _ranged(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
@@ -38,10 +38,8 @@ class Pages:
 
     @classmethod
     def write(cls, df: DataFrame, order: Sequence[str | Column], folder: str) -> Pages:
-        x = _ranged(df, order)
-        x.write.mode("overwrite").partitionBy("__part").parquet(f"{folder}/rows")
-        written = df.sparkSession.read.parquet(f"{folder}/rows")
-        written.groupBy(F.col("__part").alias("part")).agg(F.count("*").alias("rows")).write.mode("overwrite").parquet(f"{folder}/counts")
+        write_by(_ranged(df, order), f"{folder}/rows", "__part")
+        read_by(df.sparkSession, f"{folder}/rows").groupBy(F.col("__part").alias("part")).agg(F.count("*").alias("rows")).write.mode("overwrite").parquet(f"{folder}/counts")
         return cls(df.sparkSession, folder)
 
     @property
@@ -58,7 +56,7 @@ class Pages:
             if low < high:
                 wanted.append((part, low, high))
             start += self.counts[part]
-        x = self.spark.read.parquet(f"{self.folder}/rows")
+        x = read_by(self.spark, f"{self.folder}/rows")
         inside = [(F.col("__part") == p) & (F.col("__at") >= low) & (F.col("__at") < high) for p, low, high in wanted]
         x = x.where(F.col("__part").isin([p for p, _, _ in wanted]))
         if not inside:

@@ -93,9 +93,9 @@ def basic_stats(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count(c).alias("count"), F.sum(c).alias("sum"), F.avg(c).alias("average"), F.min(c).alias("min"), F.max(c).alias("max"))
 
 
-def types_by_provider(models: DataFrame, available: list[str] | None = None) -> DataFrame:
-    """provider and its sorted distinct model types, of available providers."""
-    x = models if available is None else models.where(F.col("provider").isin(available))
+def types_by_provider(models: DataFrame, available: DataFrame | None = None) -> DataFrame:
+    """provider and its sorted distinct model types, of the available providers (provider)."""
+    x = models if available is None else models.join(available.select("provider"), "provider", "left_semi")
     return x.groupBy("provider").agg(F.array_join(F.sort_array(F.collect_set("type")), ",").alias("types"), F.count("*").alias("models"))
 
 

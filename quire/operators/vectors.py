@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .durable import checkpointed
+from .durable import checkpointed, read_by, write_by
 from .ranges import numbered
 from .search import cosine, insight_title
 
@@ -88,8 +88,8 @@ def write(rows: DataFrame, folder: str, dims: int, vector: str = "embedding", ce
     dealt = checkpointed(dealt.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
     dealt = dealt.withColumn("block", F.expr(f"place div {BLOCK}"))
     dealt.groupBy("cell", "block").agg(F.count("*").cast("int").alias("n"), F.min("away").alias("near"), F.max("away").alias("far")).write.mode("overwrite").parquet(f"{folder}/blocks")
-    dealt.select("cell", "block", "id", "scale", "err", "code").write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/codes")
-    dealt.drop("place", "away", "scale", "err", "code").write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/vectors")
+    write_by(dealt.select("cell", "block", "id", "scale", "err", "code"), f"{folder}/codes", "cell")
+    write_by(dealt.drop("place", "away", "scale", "err", "code"), f"{folder}/vectors", "cell")
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -110,7 +110,7 @@ def bounds(spark: SparkSession, folder: str, q: list[float]) -> DataFrame:
 def _opened(spark: SparkSession, folder: str, name: str, worth: DataFrame) -> DataFrame:
     """Rows of the blocks; other cells' folders are not listed, at most CELLS are."""
     cells = [r.cell for r in worth.select("cell").distinct().collect()]
-    return _read(spark, folder, name).where(F.col("cell").isin(cells)).join(worth.select("cell", "block"), ["cell", "block"], "left_semi")
+    return read_by(spark, f"{folder}/{name}").where(F.col("cell").isin(cells)).join(worth.select("cell", "block"), ["cell", "block"], "left_semi")
 
 
 def _coded(q: list[float], spark: SparkSession, folder: str) -> tuple[DataFrame, Column]:

@@ -61,15 +61,16 @@ def unlinked(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges.join(gone.select("in", "out"), ["in", "out"], "left_anti")
 
 
-def free_names(taken: DataFrame, new: DataFrame) -> DataFrame:
+def free_names(taken: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
     """Adds `free_name` to new (file_name): the name itself, or `stem (n).ext` with the first number that is free.
 
     Of new rows with one name the first takes it if nobody has it; names that are taken as they are count as taken for the
-    numbered ones, so no two rows get one name. The extension begins at the last dot, if that is not the first character."""
+    numbered ones, so no two rows get one name. The extension begins at the last dot, if that is not the first character.
+    First is the smallest by the column `order`; without one, rows of one name are first as they come to be read."""
     split = r"^(.+)(\.[^.]+)$"
     stem = lambda c: F.coalesce(F.nullif(F.regexp_extract(c, split, 1), F.lit("")), c)
-    order = Window.partitionBy("file_name").orderBy(F.monotonically_increasing_id())
-    x = new.withColumn("__nth", F.row_number().over(order))
+    first = Window.partitionBy("file_name").orderBy(F.col(order) if order else F.monotonically_increasing_id())
+    x = new.withColumn("__nth", F.row_number().over(first))
     have = taken.select(F.col("file_name").alias("__have")).distinct()
     x = x.join(have, F.col("file_name") == F.col("__have"), "left")
     x = x.withColumn("__as_is", (F.col("__nth") == 1) & F.col("__have").isNull())

@@ -14,6 +14,7 @@ from ..operators import ask, chunks, context, models, postings, ranges, register
 from ..operators.durable import shared_folder
 from ..sources import files
 from ..streaming import jobs
+from . import sqlfunctions
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 from .views import Tables, sql
 
@@ -133,6 +134,15 @@ def text_search_changed(t: Tables) -> DataFrame:
     return postings.search(t.spark, folder, TEXT, 25).withColumn("relevance", F.round("relevance", 6))
 
 
+@query(sql("source source_embedding source_insight note", _stemmed(_UNION)))
+def text_search_in_sql(t: Tables) -> DataFrame:
+    """The search as a table function of SQL, beside other tables."""
+    folder = shared_folder(t.spark, "postings")
+    postings.add(postings.search_rows(t.source(), t.source_embedding(), t.source_insight(), t.note()), folder, t.spark)
+    sqlfunctions.register_text_search(t.spark, folder)
+    return t.spark.sql("SELECT id, parent_id, title, round(relevance, 6) AS relevance FROM text_search('Licensing versions', 25)")
+
+
 _PARTED = r"regexp_replace(regexp_replace(regexp_replace(text, '(\p{Ll})(\p{Lu})', '\1' || chr(1) || '\2', 'g'), '(\p{L})(\p{N})', '\1' || chr(1) || '\2', 'g'), '(\p{N})(\p{L})', '\1' || chr(1) || '\2', 'g')"
 
 
@@ -161,6 +171,19 @@ def vector_search_stored(t: Tables) -> DataFrame:
     return x.select("id", "source", "content", F.round("similarity", 6).alias("similarity"))
 
 
+@query(sql("source source_embedding source_insight note", f"""
+  , a AS (SELECT source AS id, source AS parent_id, content, similarity FROM ({_NEAR.format('v_source_embedding')}) z WHERE similarity >= 0.3 ORDER BY similarity DESC, z.id LIMIT 15),
+  b AS (SELECT id, source AS parent_id, insight_type, content, similarity FROM ({_NEAR.format('v_source_insight')}) WHERE similarity >= 0.3 ORDER BY similarity DESC, id LIMIT 15),
+  c AS (SELECT id, id AS parent_id, title, content, similarity FROM ({_NEAR.format('v_note')}) WHERE similarity >= 0.3 ORDER BY similarity DESC, id LIMIT 15),
+  u AS (SELECT a.id, parent_id, s.title, content, similarity FROM a LEFT JOIN v_source s ON s.id = a.parent_id
+    UNION SELECT b.id, parent_id, insight_type || ' - ' || coalesce(s.title, ''), content, similarity FROM b LEFT JOIN v_source s ON s.id = b.parent_id UNION SELECT * FROM c)
+  SELECT id, parent_id, title, round(max(similarity), 6) AS similarity, string_agg(content, '|' ORDER BY similarity DESC, content) AS matches FROM u GROUP BY id, parent_id, title ORDER BY max(similarity) DESC, id LIMIT 15"""))
+def vector_search_in_sql(t: Tables) -> DataFrame:
+    sqlfunctions.register_vector_search(t.spark, t.source(), t.source_embedding(), t.source_insight(), t.note())
+    q = ", ".join(f"{x!r}D" for x in _vector(t, 0))
+    return t.spark.sql(f"SELECT id, parent_id, title, round(similarity, 6) AS similarity, array_join(matches, '|') AS matches FROM vector_search(array({q}), 15, 0.3D)")
+
+
 _ASKED = """, vectors AS (SELECT 'topic ' || vec_id AS term, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 4),
   asked AS (SELECT DISTINCT conv_id AS question_id FROM conversations),
   strategy AS (SELECT question_id, n, CASE WHEN n = 2 THEN 'nothing' ELSE 'topic ' || ((question_id + n) % 4) END AS term FROM asked, (SELECT unnest([0, 1, 2]) AS n) WHERE question_id % 5 <> 4),

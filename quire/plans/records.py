@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import context, models, relational, search, writes
+from ..operators import context, models, providers, register, relational, search, validation, writes
 from ..sources import files
+from ..sources.markdown import page_markdown
 from ..streaming import jobs
 from .registry import query
 from .views import MODEL_TYPES, Tables, sql
@@ -296,8 +297,7 @@ def rebuild_attempts(t: Tables) -> DataFrame:
 
 @query(sql("model", "SELECT provider, array_to_string(list_sort(list_distinct(list(type))), ',') AS types, count(*) AS models FROM v_model WHERE provider LIKE '%A%' GROUP BY provider"))
 def provider_types_available(t: Tables) -> DataFrame:
-    available = [r.provider for r in t.model().where("provider LIKE '%A%'").select("provider").distinct().collect()]
-    return relational.types_by_provider(t.model(), available)
+    return relational.types_by_provider(t.model(), t.model().where("provider LIKE '%A%'"))
 
 
 @query(sql("note artifact source source_insight", """, i AS (SELECT 'note:' || replace(i.id, ':', '-') AS id, insight_type || ' from source ' || s.title AS title FROM v_source_insight i JOIN v_source s ON s.id = i.source WHERE insight_type = 'toxic')
@@ -306,3 +306,69 @@ def insights_saved(t: Tables) -> DataFrame:
     found = t.source_insight().where("insight_type = 'toxic'").join(t.source().select(F.col("id").alias("source"), F.col("title").alias("source_title")), "source")
     notes, edges = writes.saved_as_notes(t.note(), t.artifact(), found.select("id", "insight_type", "source_title", "content"), "notebook:src1")
     return notes.select(F.lit("note").alias("kind"), "id", "title").unionByName(edges.select(F.lit("edge").alias("kind"), F.col("in").alias("id"), F.col("out").alias("title")))
+
+
+# what is checked before it is taken in
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, CASE WHEN p_size % 11 = 0 THEN ' ' ELSE p_name END AS name, p_size % 25 AS n FROM part), f AS (SELECT name, min(id) AS first FROM p GROUP BY name)
+  SELECT id, reason IS NULL AS valid, reason AS reject_reason FROM (SELECT p.id, CASE WHEN trim(p.name) = '' THEN 'name is required' WHEN n NOT BETWEEN 3 AND 20 THEN 'Number of segments must be between 3 and 20' WHEN p.id <> f.first THEN 'name is taken' END AS reason FROM p JOIN f USING (name))""")
+def episode_profiles_checked(t: Tables) -> DataFrame:
+    x = t.raw("part").selectExpr("p_partkey AS id", "CASE WHEN p_size % 11 = 0 THEN ' ' ELSE p_name END AS name", "p_size % 25 AS num_segments")
+    return validation.episode_profiles(x).select("id", "valid", "reject_reason")
+
+
+@query("""SELECT id, reason IS NULL AS valid, reason AS reject_reason FROM (SELECT s_suppkey AS id,
+  CASE WHEN s_suppkey % 6 IN (0, 5) THEN 'Must have between 1 and 4 speakers' WHEN s_nationkey % 3 = 0 THEN 'Speaker missing required field: backstory' WHEN s_nationkey % 5 = 1 THEN 'Speaker missing required field: voice_id' END AS reason FROM supplier)""")
+def speaker_profiles_checked(t: Tables) -> DataFrame:
+    speaker = """map_filter(map('name', 'n', 'voice_id', 'v', 'backstory', CAST(NULL AS STRING), 'personality', ''), (k, v) -> NOT (k = 'backstory' AND s_nationkey % 3 = 0) AND NOT (k = 'voice_id' AND s_nationkey % 3 > 0 AND s_nationkey % 5 = 1))"""
+    x = t.raw("supplier").selectExpr("s_suppkey AS id", "s_name AS name", f"array_repeat({speaker}, s_suppkey % 6) AS speakers".replace("s_suppkey % 6", "cast(s_suppkey % 6 AS int)"))
+    return validation.speaker_profiles(x).select("id", "valid", "reject_reason")
+
+
+@query("""WITH r AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'link' WHEN 1 THEN 'upload' WHEN 2 THEN 'text' ELSE 'fax' END AS type, page_id % 3 = 0 AS u, page_id % 5 = 1 AS f, page_id % 7 = 2 AS c FROM pages)
+  SELECT page_id, reason IS NULL AS valid, reason AS reject_reason FROM (SELECT page_id, CASE WHEN type = 'fax' THEN 'type must be link, upload or text' WHEN type = 'link' AND NOT u THEN 'url is required for type link' WHEN type = 'upload' AND NOT f THEN 'file_path is required for type upload'
+    WHEN type = 'text' AND NOT c THEN 'content is required for type text' WHEN u::INT + f::INT + c::INT > 1 THEN 'only one of url, file_path and content may be given' END AS reason FROM r)""")
+def source_requests_checked(t: Tables) -> DataFrame:
+    kind = "CASE page_id % 4 WHEN 0 THEN 'link' WHEN 1 THEN 'upload' WHEN 2 THEN 'text' ELSE 'fax' END AS type"
+    x = t.raw("pages").selectExpr("page_id", kind, "CASE WHEN page_id % 3 = 0 THEN url END AS url", "CASE WHEN page_id % 5 = 1 THEN concat('/up/', page_id) ELSE '' END AS file_path", "CASE WHEN page_id % 7 = 2 THEN html ELSE '  ' END AS content")
+    return validation.source_requests(x).select("page_id", "valid", "reject_reason")
+
+
+#: Settings that a few rows of a table stand for.
+_SETTINGS = ["OPENAI_API_KEY", "VERTEX_PROJECT", "VERTEX_LOCATION", "GEMINI_API_KEY", "AZURE_OPENAI_API_KEY_LLM", "AZURE_OPENAI_ENDPOINT_LLM", "AZURE_OPENAI_API_VERSION_LLM", "AZURE_OPENAI_API_KEY", "OPENAI_COMPATIBLE_BASE_URL_TTS", "OPENAI_COMPATIBLE_BASE_URL_EMBEDDING", "MISTRAL_API_KEY", "UNKNOWN"]
+
+
+@query("""WITH can AS (SELECT DISTINCT CASE p_size % 4 WHEN 0 THEN 'language' WHEN 1 THEN 'embedding' WHEN 2 THEN 'text_to_speech' ELSE 'speech_to_text' END AS type, (['openai', 'azure', 'openai-compatible', 'mistral', 'google', 'vertex', 'none'])[p_partkey % 7 + 1] AS provider FROM part),
+  types AS (SELECT provider, string_agg(type, ',' ORDER BY type) AS types FROM can WHERE provider IN ('openai', 'google', 'mistral') OR provider = 'azure' AND type = 'language' OR provider = 'openai-compatible' AND type IN ('text_to_speech', 'embedding') GROUP BY provider)
+  SELECT p.provider, p.provider IN ('openai', 'google', 'azure', 'openai-compatible', 'mistral') AS available, coalesce(types, '') AS types
+  FROM (SELECT unnest(['ollama', 'openai', 'groq', 'xai', 'vertex', 'google', 'openrouter', 'anthropic', 'elevenlabs', 'voyage', 'azure', 'mistral', 'deepseek', 'openai-compatible']) AS provider) p LEFT JOIN types USING (provider)""")
+def providers_available(t: Tables) -> DataFrame:
+    names = F.array(*map(F.lit, _SETTINGS))
+    settings = t.raw("part").select(F.get(names, (F.col("p_partkey") % len(_SETTINGS)).cast("int")).alias("name"))
+    kinds = F.array(*map(F.lit, ["language", "embedding", "text_to_speech", "speech_to_text"]))
+    who = F.array(*map(F.lit, ["openai", "azure", "openai-compatible", "mistral", "google", "vertex", "none"]))
+    supported = t.raw("part").select(F.get(kinds, (F.col("p_size") % 4).cast("int")).alias("type"), F.get(who, (F.col("p_partkey") % 7).cast("int")).alias("provider"))
+    return providers.availability(settings, supported)
+
+
+# pages
+
+
+@query("SELECT 'source:page' || page_id AS id, nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '') AS title, url FROM pages")
+def link_sources_markdown(t: Tables) -> DataFrame:
+    """Titles and addresses as SQL has them; that the markdown is right is tested against a second parser."""
+    return files.link_sources(t.raw("pages"), markdown=True).where(F.length("full_text") >= 0).select("id", "title", "url")
+
+
+@query(sql("acm_record", """SELECT source_id, building_id, product || ' & ' || id AS product, '<' || material_description || '>' AS material_description, risk_status, result, 'Interior' AS area_type, 'School ' || source_id AS school_name FROM v_acm_record"""))
+def register_from_pages(t: Tables) -> DataFrame:
+    """A page of headings and tables for each source, read as markdown and then as a register."""
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    tell = F.concat(F.lit("<tr>"), cell(F.concat("product", F.lit(" &amp; "), "id")), cell(F.concat(F.lit("&lt;"), "material_description", F.lit("&#62;"))), cell(F.coalesce("risk_status", F.lit(""))), cell(F.col("result")), F.lit("</tr>\n"))
+    rows = t.acm_record().select("source_id", "building_id", tell.alias("tr"))
+    table = F.concat(F.lit("<h2>Building: "), "building_id", F.lit(" &ndash; Block</h2><table class=\"a>b\"><thead><tr><th>Product<th>Material<br>Description<th>Risk<th>Result</tr></thead><tbody>"), F.array_join(F.collect_list("tr"), ""), F.lit("</tbody></table>"))
+    tables = rows.groupBy("source_id", "building_id").agg(table.alias("html"))
+    page = F.concat(F.lit("<html><head><title>x</title></head><body><h1>School "), "source_id", F.lit(" &#45; Asbestos Register</h1>"), F.array_join(F.collect_list("html"), "\n"), F.lit("<p>End of it</body></html>"))
+    pages = tables.groupBy("source_id").agg(page.alias("html")).select("source_id", page_markdown("html").alias("full_text"))
+    return register.extract_records(pages, "source_id").select("source_id", "building_id", "product", "material_description", "risk_status", "result", "area_type", "school_name")

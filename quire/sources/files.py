@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.relational import equal
+from .markdown import page_markdown
 
 #: The export's columns and their headers.
 EXPORT = {
@@ -25,9 +26,10 @@ def page_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r" ?\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
-def link_sources(pages: DataFrame) -> DataFrame:
+def link_sources(pages: DataFrame, markdown: bool = False) -> DataFrame:
+    """id, title, url, full_text of web pages (page_id, url, html); the text with its structure as markdown, or plain."""
     title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return pages.select(F.concat(F.lit("source:page"), F.col("page_id").cast("string")).alias("id"), F.nullif(title, F.lit("")).alias("title"), F.col("url"), page_text(F.col("html")).alias("full_text"))
+    return pages.select(F.concat(F.lit("source:page"), F.col("page_id").cast("string")).alias("id"), F.nullif(title, F.lit("")).alias("title"), F.col("url"), (page_markdown("html") if markdown else page_text(F.col("html"))).alias("full_text"))
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:

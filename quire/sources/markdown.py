@@ -34,8 +34,8 @@ MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
 FRAMES = {*MARKS, *HEADINGS, "a", "pre", "ul", "ol", "li", "blockquote", "table", "tr", "td", "th", "caption"}
 INLINE = {*MARKS, "a"}
-#: Two spaces that no later step takes away, until the page is done.
-IN = "\1\1"
+#: A space that no later step takes away, until the page is done, and what a list's lines stand in by.
+ONE, IN = "\1", "\1\1"
 #: What a tag that opens ends before it: the open elements, up to the one that holds them.
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "tr": ({"tr", "td", "th", "caption"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"})}
 
@@ -48,15 +48,15 @@ class _Frame:
 
 
 def _tidy(parts: list[str]) -> str:
-    """Parts as blocks: no space at line ends, one empty line between blocks; lines of a fence stay as they are."""
+    """Parts as blocks: one space between words, none at line ends, one empty line between blocks; lines of a fence stay as they are."""
     pieces = re.split(r"(\0[^\0]*\0)", "".join(parts))
     for i in range(0, len(pieces), 2):
-        pieces[i] = re.sub(r"\n{3,}", "\n\n", re.sub(r" *\n *", "\n", pieces[i]))
+        pieces[i] = re.sub(r"\n{3,}", "\n\n", re.sub(r" *\n *", "\n", re.sub(" +", " ", pieces[i])))
     return "".join(pieces).strip("\n ")
 
 
 def _row(cells: list[str], width: int) -> str:
-    return "| " + " | ".join(cells + [""] * (width - len(cells))) + " |"
+    return f"|{ONE}" + f"{ONE}|{ONE}".join(cells + [""] * (width - len(cells))) + f"{ONE}|"
 
 
 def _rendered(f: _Frame, depth: int) -> str:
