@@ -3,7 +3,7 @@
 A page is a fold over its tags with a stack of open elements; Spark hands pages out in Arrow batches. Rules:
 
 - Comments and script, style, title, template, noscript and svg go with all that they hold. All entities are read.
-- Runs of white space are one space, but in pre. Blocks are parted by an empty line, list items and table rows by a line end.
+- Runs of white space are one space, but in pre; a space that does not break (&nbsp;) is a character. Blocks are parted by an empty line, list items and table rows by a line end.
 - h1 to h6 become # marks, li becomes "- " or its number, two spaces further in for each list around it, a becomes [text](href),
   img ![alt](src), b and strong **, i and em *, code `, pre a fence, blockquote "> ", hr ---.
 - A table is a row of pipes for each tr, a line of dashes behind the first; | in a cell is \\|, a cell of several columns is
@@ -25,7 +25,8 @@ from pyspark.sql.types import StringType
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
-_SPACE = re.compile(r"[ \t\n\f\r]+")
+WHITE = " \t\n\f\r"
+_SPACE = re.compile(f"[{WHITE}]+")
 #: Elements that go with all they hold, that have no end, that stand alone as blocks, and marks of emphasis.
 DROPPED = {"script", "style", "title", "template", "noscript", "svg"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -63,13 +64,13 @@ def _rendered(f: _Frame, depth: int) -> str:
     """The markdown of an element that ends; depth: lists around it."""
     text = "".join(f.parts)
     if f.tag in MARKS:
-        inner = text.strip()
+        inner = text.strip(WHITE)
         return text if not inner else " " * text.startswith(" ") + MARKS[f.tag] + inner + MARKS[f.tag] + " " * text.endswith(" ")
     if f.tag == "a":
-        inner, href = text.strip(), f.attributes.get("href")
+        inner, href = text.strip(WHITE), f.attributes.get("href")
         return text if not inner or not href else " " * text.startswith(" ") + f"[{inner}]({href})" + " " * text.endswith(" ")
     if f.tag in HEADINGS:
-        inner = _SPACE.sub(" ", text).strip()
+        inner = _SPACE.sub(" ", text).strip(WHITE)
         return f"\n\n{'#' * HEADINGS[f.tag]} {inner}\n\n" if inner else "\n\n"
     if f.tag == "pre":
         return f"\n\n\0```\n{text.strip(chr(10))}\n```\0\n\n"
@@ -89,9 +90,9 @@ def _rendered(f: _Frame, depth: int) -> str:
         width = max(map(len, rows), default=0)
         lines = [_row(r, width) for r in rows]
         lines[1:1] = [_row(["---"] * width, width)] if rows else []
-        caption = _SPACE.sub(" ", text).strip()
+        caption = _SPACE.sub(" ", text).strip(WHITE)
         return "\n\n" + caption + "\n\n" * bool(caption) + "\n".join(lines) + "\n\n"
-    return _SPACE.sub(" ", text).strip()  # td, th, caption
+    return _SPACE.sub(" ", text).strip(WHITE)  # td, th, caption
 
 
 def to_markdown(page: str) -> str:
@@ -130,7 +131,7 @@ def to_markdown(page: str) -> str:
         top = stack[-1]
         if open_tags.get("pre", 0):
             top.parts.append(raw)
-        elif top.tag not in ("table", "tr", "ul", "ol") or raw.strip():
+        elif top.tag not in ("table", "tr", "ul", "ol") or raw.strip(WHITE):
             top.parts.append(_SPACE.sub(" ", raw))
 
     at = 0

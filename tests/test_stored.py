@@ -276,7 +276,7 @@ class Second(HTMLParser):
     def flush(self, mark=""):
         while self.marks:
             self.handle_endtag(self.marks[-1][0])
-        lines = [x.strip() for x in re.sub("[ \t\n\f\r]*\x01[ \t\n\f\r]*", "\x01", re.sub("[ \t\n\f\r]+", " ", self.now)).split("\x01")]
+        lines = [x.strip(" \t\n\f\r") for x in re.sub("[ \t\n\f\r]*\x01[ \t\n\f\r]*", "\x01", re.sub("[ \t\n\f\r]+", " ", self.now)).split("\x01")]
         while lines and not lines[0]:
             lines.pop(0)
         while lines and not lines[-1]:
@@ -312,8 +312,9 @@ class Second(HTMLParser):
         elif self.skip:
             return
         elif re.fullmatch("h[1-6]", tag):
+            before = len(self.blocks)
             self.flush()
-            if self.blocks:
+            if len(self.blocks) > before:
                 self.blocks[-1] = "#" * int(tag[1]) + " " + self.blocks[-1].replace("\n", " ")
         elif tag in self.BLOCK:
             self.flush()
@@ -328,12 +329,12 @@ class Second(HTMLParser):
         elif tag == "li" and self.lists:
             kind = self.lists[-1]
             kind[1] += 1
-            kind[2].append(("- " if kind[0] == "ul" else f"{kind[1]}. ") + re.sub("[ \t\n\f\r]+", " ", self.now).strip())
+            kind[2].append((("- " if kind[0] == "ul" else f"{kind[1]}. ") + re.sub("[ \t\n\f\r]+", " ", self.now).strip(" \t\n\f\r")).rstrip(" "))
             self.now = ""
         elif tag in ("ul", "ol"):
             self.blocks.append("\n".join(self.lists.pop()[2]))
         elif tag in ("td", "th"):
-            self.rows[-1].append(re.sub("[ \t\n\f\r\x01]+", " ", self.now).strip().replace("|", "\\|"))
+            self.rows[-1].append(re.sub("[ \t\n\f\r\x01]+", " ", self.now).strip(" \t\n\f\r").replace("|", "\\|"))
             self.now = ""
         elif tag == "table":
             width = max(map(len, self.rows))
