@@ -3,6 +3,7 @@
 A suffix of the corpus starts at each word; what counts of it are its first `words` words. Equal ones are to be found,
 and all but the earliest are repeats. Consecutive repeats make a longer one, so the runs that come out are maximal.
 
+0. A suffix whose words its own text has earlier, in the same megabyte, is a repeat already and goes no further.
 1. Anchors. Of the 6-word sequences inside a suffix's words, the one with the smallest hash is its anchor. Suffixes with
    equal words have equal anchors, and neighbours mostly share one, so there is one row for each run of suffixes with a
    common anchor. Anchors that stand once in the corpus drop out: their suffixes cannot repeat. (A hash that two
@@ -22,11 +23,12 @@ shuffled once, compressed; the joins with anchors and with repeats read the same
 "Earlier" means a smaller id (null last), or the same document and an earlier start; rows with equal id count by a hash
 of their text after that, and rows that are equal in both are one document and get the same answer. Texts that are null,
 empty or shorter than the window lose nothing. An empty table gives an empty result. Ids are integers. A text of any
-length is taken whole, in one task, with about 15 bytes of memory for each of its bytes.
+length is worked on in ranges of a megabyte, in one task.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -45,6 +47,7 @@ GROUP_ROWS, HEAVY = 8192, 4096
 #: Documents that are sampled about, words of the dictionary (the most frequent of the sample), and their bytes at most.
 SAMPLE_DOCS, CODES, CODE_BYTES = 5000, 65_535, 16
 _SLICE = 1 << 20
+_GAP = re.compile(rb"\s")
 _HEAVY_BIT = np.int64(1 << 31)
 _ROWS = "key long, id long, h long, start int, n int, words binary"
 
@@ -168,29 +171,86 @@ def _decoded(column: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes, np.cumsum(sizes) - sizes, rare
 
 
-def _places(t: Texts, h: np.ndarray, words: int, heavy: np.ndarray) -> pa.RecordBatch:
-    """One row for each anchor of each text: what it is counted by, and its document and place."""
-    s, at, grams = _anchors(t, t.hashes(), words)
+def _ranges(text: bytes, words: int, size: int) -> Iterator[tuple[bytes, int, int]]:
+    """Ranges of a long text: each one's bytes, with the words - 1 words behind it, its first word's place, and how many words
+    start in it."""
+    ahead = re.compile(rb"(?:\s*\S+){0,%d}" % (words - 1))  # \s of bytes: the six characters between words
+    at = place = 0
+    while at < len(text):
+        cut = _GAP.search(text, at + size)
+        end = cut.start() if cut else len(text)
+        n = len(text[at:end].split())
+        yield text[at : ahead.match(text, end).end()], place, n
+        at, place = end, place + n
+
+
+def _texts(column: list[str | None], words: int) -> Iterator[tuple[Texts, int, int]]:
+    """The texts of a slice with 0 and a number that no place reaches; a long text, which is alone in its slice, in ranges."""
+    if len(column) == 1 and len(column[0] or "") > 2 * _SLICE:
+        for part, first, n in _ranges(column[0].encode(), words, _SLICE):
+            yield Texts(pa.array([part], pa.binary())), first, n
+    else:
+        yield Texts(pa.array(column, pa.string())), 0, 1 << 40
+
+
+def _places(t: Texts, h: np.ndarray, words: int, heavy: np.ndarray, first_place: int = 0, starts: int = 1 << 40) -> pa.RecordBatch:
+    """One row for each anchor of each text: what it is counted by, and its document and place.
+
+    A range of a text (see _ranges) begins at first_place and has so many starts; an anchor that two ranges share counts twice."""
+    hashes = t.hashes()
+    s, at, grams = _anchors(t, hashes, words)
+    s, at = s[s < starts], at[s < starts]
+    at = at[~_own_repeats(t, s, t.rows()[s], t.grams(hashes, words)[0], words)]
     a = at[_changes(at)]
     row = np.searchsorted(t.ptr, a, "right") - 1
-    spot = (h[row] >> 32 << 32) | (a - t.ptr[row])
+    spot = (h[row] >> 32 << 32) | (a - t.ptr[row] + first_place)
     key = grams[a]
     known = np.isin(key, heavy)
     spot = np.where(known, spot | _HEAVY_BIT, spot)
     return pa.RecordBatch.from_arrays([pa.array(np.where(known, mix(spot.view(np.uint64)), key).view(np.int64)), pa.array(spot)], ["key", "spot"])
 
 
-def _suffixes(t: Texts, ids: pa.Array, h: np.ndarray, spots: list[np.ndarray], words: int, heavy: tuple[np.ndarray, np.ndarray], codes: Dictionary, group_rows: int) -> pa.RecordBatch:
-    """The rows that travel to the groups. spots: of each text, anchors that repeat, and 2^32 times their count if it is large."""
+def _own_repeats(t: Texts, s: np.ndarray, row: np.ndarray, path: np.ndarray, words: int) -> np.ndarray:
+    """Which of the suffixes s have words that an earlier one of the same text here has; words are compared, not only hashes."""
+    with np.errstate(over="ignore"):
+        _, first, of = np.unique(mix(path[s] + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_inverse=True)
+    first = first[of]
+    out = np.zeros(len(s), dtype=bool)
+    later = np.flatnonzero(first != np.arange(len(s)))
+    if len(later):
+        there = np.zeros(len(t.starts) + 1, dtype=np.int64)  # which words are compared: those of these suffixes and of their first ones
+        for x in (s[later], s[np.unique(first[later])]):
+            np.add.at(there, x, 1)
+            np.add.at(there, x + words, -1)
+        used = np.flatnonzero(np.cumsum(there)[:-1])
+        word = np.zeros(len(t.starts), dtype=np.int32)
+        word[used] = pa.array([t.word(i) for i in used], pa.binary()).dictionary_encode().indices.to_numpy()
+        for lo in range(0, len(later), 1 << 16):
+            i = later[lo : lo + (1 << 16)]
+            a, b = s[i][:, None] + np.arange(words), s[first[i]][:, None] + np.arange(words)
+            out[i] = (word[a] == word[b]).all(axis=1) & (row[i] == row[first[i]])
+    return out
+
+
+def _suffixes(t: Texts, ids: pa.Array, h: np.ndarray, spots: list[np.ndarray], words: int, heavy: tuple[np.ndarray, np.ndarray], codes: Dictionary, group_rows: int, first_place: int = 0, starts: int = 1 << 40) -> pa.RecordBatch:
+    """The rows that travel to the groups, and repeats inside a text (words: null), which need no group.
+
+    spots: of each text, anchors that repeat, and 2^32 times their count if it is large. first_place, starts: as in _places."""
     hashes = t.hashes()
     s, at, grams = _anchors(t, hashes, words)
+    s, at = s[s < starts], at[s < starts]
     row = t.rows()[s]
+    path, _ = t.grams(hashes, words)
+    again = _own_repeats(t, s, row, path, words)
+    r_begin, r_n = _runs(row[again], s[again])
+    r_row, r_start = row[again][r_begin], s[again][r_begin] - t.ptr[row[again][r_begin]] + first_place
+    s, at, row = s[~again], at[~again], row[~again]
     sizes = np.array([len(x) for x in spots], dtype=np.int64)
     flat = np.concatenate([np.zeros(0, np.int64), *spots])
     wanted = (np.repeat(np.arange(len(sizes)), sizes) << 32) | (flat & 0x7FFFFFFF)
     order = np.argsort(wanted, kind="stable")
     wanted, count = wanted[order], (flat >> 32)[order]
-    own = (row << 32) | (at - t.ptr[row])
+    own = (row << 32) | (at - t.ptr[row] + first_place)
     near = np.minimum(np.searchsorted(wanted, own), max(len(wanted) - 1, 0))
     stays = np.flatnonzero(wanted[near] == own) if len(wanted) else np.zeros(0, np.int64)
     s, at, row, count = s[stays], at[stays], row[stays], count[near[stays]] if len(wanted) else np.zeros(0, np.int64)
@@ -202,7 +262,6 @@ def _suffixes(t: Texts, ids: pa.Array, h: np.ndarray, spots: list[np.ndarray], w
     begin, n = _runs(row, at, np.where(large, np.arange(len(s)), -1), s)  # a lengthened prefix is one suffix's own
     large, first = large[begin], s[begin]
     if large.any():
-        path, _ = t.grams(hashes, words)
         parts = -(-count[begin] // group_rows)
         part = mix(h[row[begin]].view(np.uint64)) % np.maximum(parts, 1).astype(np.uint64)
         with np.errstate(over="ignore"):
@@ -210,9 +269,13 @@ def _suffixes(t: Texts, ids: pa.Array, h: np.ndarray, spots: list[np.ndarray], w
         key = np.where(large, own | np.uint64(1), key[begin] & ~np.uint64(1))
     else:
         key = key[begin] & ~np.uint64(1)
-    r = pa.array(row[begin])
+    r = pa.array(np.concatenate([row[begin], r_row]))
+    start = np.concatenate([first - t.ptr[row[begin]] + first_place, r_start])
+    with np.errstate(over="ignore"):
+        key = np.concatenate([key, mix((h[r_row] + r_start).view(np.uint64)) & ~np.uint64(1)])
+    texts = pa.concat_arrays([_coded(t, hashes, first, n + words - 1, codes), pa.nulls(len(r_n), pa.binary())])
     return pa.RecordBatch.from_arrays(
-        [pa.array(key.view(np.int64)), ids.take(r), pa.array(h).take(r), pa.array((first - t.ptr[row[begin]]).astype(np.int32)), pa.array(n.astype(np.int32)), _coded(t, hashes, first, n + words - 1, codes)],
+        [pa.array(key.view(np.int64)), ids.take(r), pa.array(h).take(r), pa.array(start.astype(np.int32)), pa.array(np.concatenate([n, r_n]).astype(np.int32)), texts],
         ["key", "id", "h", "start", "n", "words"],
     )
 
@@ -306,6 +369,21 @@ def _trees(words: int):
     return run
 
 
+def _kept(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
+    """The words outside the spans of places, joined by one space, how many words there are, and how many stay."""
+    starts, ends = (np.sort(np.array([s[k] for s in spans], dtype=np.int64)) for k in (0, 1))
+    out, n, stay = [], 0, 0
+    for part, first, size in _ranges(text, 1, _SLICE):
+        w = part.split()
+        place = np.arange(first, first + size)
+        # a place is inside as many spans as have begun but not ended
+        free = np.flatnonzero(np.searchsorted(starts, place, "right") == np.searchsorted(ends, place, "right"))
+        if len(free):
+            out.append(part if len(free) == size and part == b" ".join(w) else b" ".join([w[k] for k in free] if len(free) < size else w))
+        n, stay = n + size, stay + len(free)
+    return b" ".join(out), n, stay
+
+
 def _dictionary(sample: DataFrame, text_col: str) -> Dictionary:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for b in batches for s in slices(b, "text", _SLICE)):
@@ -330,7 +408,8 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, words: int, group_rows: in
     def places(heavy):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in (s for b in batches for s in slices(b, "__text", _SLICE)):
-                yield _places(Texts(b.column("__text")), b.column("__h").to_numpy(), words, heavy.value[0] if heavy else np.zeros(0, np.uint64))
+                for t, first, starts in _texts(b.column("__text").to_pylist(), words):
+                    yield _places(t, b.column("__h").to_numpy(), words, heavy.value[0] if heavy else np.zeros(0, np.uint64), first, starts)
 
         return run
 
@@ -370,7 +449,8 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, words: int, group_rows: in
             lists = b.column("__spots")
             flat, ends = lists.flatten().to_numpy(), np.cumsum([0, *(pa.compute.list_value_length(lists).to_numpy())])
             each = [flat[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)]
-            yield _suffixes(Texts(pa.array(unpacked(b.column(text_col)), pa.string())), b.column("__id"), b.column("__h").to_numpy(), each, words, heavy.value, codes.value, group_rows)
+            for t, first, starts in _texts(unpacked(b.column(text_col)), words):
+                yield _suffixes(t, b.column("__id"), b.column("__h").to_numpy(), each, words, heavy.value, codes.value, group_rows, first, starts)
 
     rows = base.join(spots, "__k").mapInArrow(suffixes, _ROWS)
     for _ in range(2):  # groups, then the earliest leaves that split groups hand on
@@ -381,16 +461,10 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, words: int, group_rows: in
         for b in (s for b in batches for s in slices(b, "__size", _SLICE)):
             text, kept, sizes, lost = unpacked(b.column(text_col)), [], [], []
             for t, i, h, runs in zip(text, b.column("__id").to_pylist(), b.column("__h").to_pylist(), b.column("__runs").to_pylist(), strict=True):
-                w = left = (t or "").encode().split()
-                own = [r for r in runs or [] if r["id"] == i and r["h"] == h]
-                if own:
-                    stays = np.ones(len(w), dtype=bool)
-                    for r in own:
-                        stays[r["start"] : r["start"] + r["n"] + words - 1] = False
-                    left = [w[k] for k in np.flatnonzero(stays)]
-                kept.append(b" ".join(left).decode())
-                sizes.append(len(w))
-                lost.append(len(w) - len(left))
+                left, n, stay = _kept((t or "").encode(), [(r["start"], r["start"] + r["n"] + words - 1) for r in runs or [] if r["id"] == i and r["h"] == h])
+                kept.append(left.decode())
+                sizes.append(n)
+                lost.append(n - stay)
             old = [pa.array(text, pa.string()) if c == text_col else b.column(k) for k, c in enumerate(b.schema.names) if c not in ("__k", "__id", "__h", "__size", "__runs")]
             yield pa.RecordBatch.from_arrays([*old, pa.array(kept, pa.string()), pa.array(sizes, pa.int64()), pa.array(lost, pa.int64())], [*names, "__kept_text", "__n_words", "__n_removed"])
 

@@ -270,3 +270,54 @@ def test_licence_headers_and_repeats():
     for text, found in expected.items():
         assert labels(text) == found, text
     assert labels("Released under the MIT License. " * 3000) == {"mit"}
+
+
+# passages inside long and repetitive texts
+
+def kept_words(table, n):
+    first, out = {}, {}
+    order = sorted((i is None, i or 0, t) for i, t in table)
+    for null, i, t in order:
+        w = t.split()
+        gone = bytearray(len(w))
+        for k in range(len(w) - n + 1):
+            key = hash(tuple(w[k : k + n]))
+            if first.setdefault(key, (null, i, t, k)) != (null, i, t, k):
+                gone[k : k + n] = b"\1" * n
+        out[None if null else i, t] = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+    return out
+
+
+def test_passages_in_texts_that_repeat_themselves(spark):
+    """A word and a period of seven words all through texts of over two megabytes, and passages that cross ranges of a long one."""
+    import random
+
+    from quire.llm import substrings
+
+    r = random.Random(6)
+    passage = " ".join(f"pass{k}" for k in range(60))
+    long = [f"x{r.randrange(10**9)}" for _ in range(230_000)]
+    for at in (100, 104_800, 104_857, 150_000, 229_000):
+        long[at : at + 1] = passage.split()
+    table = [
+        (1, "a " * 1_200_000 + "end"), (2, "a  a\n" * 300), (3, " ".join(f"w{k % 7}" for k in range(760_000))), (4, " ".join(f"w{k % 7}" for k in range(3, 90))), (5, " ".join(long)), (6, f"before {passage} behind"),
+        (7, " ".join(["u v w"] * 50)), (8, " ".join(["u v w"] * 9 + ["x"] + ["u v w"] * 9)), (None, passage), (9, "one two " * 9), (9, "one two " * 9), (10, ""), (11, " ".join(long[:40_000])),
+    ]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    expected = kept_words(table, 20)
+    got = [(x.doc_id, x.text, x.n_words, x.n_removed, x.kept_text) for x in substrings.without_repeats(df, words=20).collect()]
+    assert len(got) == len(table)
+    for i, t, n, lost, kept in got:
+        assert kept == expected[i, t] and n == len(t.split()) and lost == n - len(kept.split()), i
+
+
+def test_ranges_of_a_text():
+    from quire.llm import substrings
+
+    text = ("ab  c\n\tdddd " * 50 + "e" * 300 + " f").encode()
+    for size in (1, 5, 64, 10**6):
+        parts = list(substrings._ranges(text, 4, size))
+        assert sum(n for _, _, n in parts) == len(text.split()) and [p for _, p, _ in parts] == [sum(n for _, _, n in parts[:k]) for k in range(len(parts))]
+        for part, first, n in parts:
+            assert part.split() == text.split()[first : first + n + 3]
+    assert substrings._kept(b" a b  c ", [(1, 2)]) == (b"a c", 3, 2) and substrings._kept(b"", []) == (b"", 0, 0) and substrings._kept(b" \n", []) == (b"", 0, 0)
