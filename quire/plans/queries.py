@@ -736,6 +736,33 @@ def versions_compared(t: Tables) -> DataFrame:
     return t.raw("part").select("p_partkey", T.compare_versions(pick(0), pick(1)).alias("sign"))
 
 
+#: Parts of a version that a row's numbers give, smaller ones first; a version is written from them, so SQL compares the parts themselves.
+_PARTS = {"e": "{0} % 7 // 6", "a": "{0} % 3", "b": "{0} * 7 % 11", "c": "{0} // 5 % 2", "stage": "{0} * 5 % 6", "k": "CASE WHEN {0} * 5 % 6 = 4 THEN 0 ELSE {0} % 12 + 1 END"}
+
+
+def _parts(key: str) -> str:
+    return "(" + ", ".join(f"({v.format(f'({key})')})::BIGINT" for v in _PARTS.values()) + ")"
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN x < y THEN -1 WHEN x > y THEN 1 ELSE 0 END AS sign FROM (SELECT o_orderkey, row{_parts('o_orderkey')} AS x, row{_parts('o_orderkey * 3 + o_custkey')} AS y FROM orders)""")
+def versions_generated(t: Tables) -> DataFrame:
+    """Versions of all stages and spellings: 1!2.0.3rc4, V2.3.a1, 2.3.0-beta.2, 2.post3, 2.0.dev1."""
+
+    def written(key: str) -> F.Column:
+        part = {n: F.expr(f"cast({v.format(f'({key})').replace('//', 'div')} AS bigint)") for n, v in _PARTS.items()}
+        text = {n: c.cast("string") for n, c in part.items()}
+        head = F.when(F.expr(f"({key}) % 4 = 0"), "v").when(F.expr(f"({key}) % 4 = 1"), " V").otherwise("")
+        release = F.concat(text["a"], F.when((part["b"] > 0) | (part["c"] > 0), F.concat(F.lit("."), text["b"])).otherwise(""), F.when(part["c"] > 0, F.concat(F.lit("."), text["c"])).otherwise(F.when(F.expr(f"({key}) % 5 = 0") & (part["b"] > 0), ".0").otherwise("")))
+        names = [[".dev"], ["a", "-alpha.", ".a", "alpha"], ["b", "-beta.", "_b", "BETA"], ["rc", "-rc.", "c", ".pre"], [""], [".post"]]
+        stage = None
+        for k, spelt in enumerate(names):
+            name = F.get(F.array(*map(F.lit, spelt)), F.expr(f"cast(({key}) % {len(spelt)} AS int)"))
+            stage = F.when(part["stage"] == k, name) if stage is None else stage.when(part["stage"] == k, name)
+        return F.concat(head, F.when(part["e"] > 0, F.concat(text["e"], F.lit("!"))).otherwise(""), release, stage, F.when(part["stage"] != 4, text["k"]).otherwise(""))
+
+    return t.raw("orders").select("o_orderkey", T.compare_versions(written("o_orderkey"), written("o_orderkey * 3 + o_custkey")).alias("sign"))
+
+
 @query("""SELECT (doc_id // 20)::VARCHAR AS folder, sha256(string_agg('## ' || doc_id || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id::VARCHAR)) AS digest FROM documents GROUP BY ALL HAVING count(text) > 0""")
 def docs_consolidated(t: Tables) -> DataFrame:
     x = t.raw("documents").where("text IS NOT NULL").selectExpr("concat('docs/', doc_id div 20, '/', doc_id, '.md') AS path", "text AS full_text")

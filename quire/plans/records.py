@@ -177,19 +177,20 @@ def _config(t: Tables) -> DataFrame:
     return sources.unionByName(notes).unionByName(t.spark.createDataFrame([("source", "absent", "insights"), ("note", "absent", "full content")], "type string, id string, setting string"))
 
 
-# the stand-in titles and texts are compared without characters that JSON writers escape in different ways
 @query(sql("source source_insight note", f""", k AS (SELECT *, {_CONFIG} AS setting FROM v_source), x AS (SELECT id, {_JSON} || CASE WHEN setting = 'full content' THEN coalesce(',"full_text":' || to_json(full_text), '') ELSE '' END || '}}' AS context FROM k s WHERE setting NOT IN ('not in', 'other')),
   y AS (SELECT id, '{{"id":"' || id || '","title":"' || title || '"' || coalesce(',"content":' || to_json(content), '') || '}}' AS context FROM v_note WHERE updated % 3 = 0)
-  SELECT 'source' AS type, id, len(regexp_extract_all(context, '\\S+')) AS words, length(regexp_replace(context, '\\\\.|[^\\x00-\\x7F]', '', 'g')) AS chars FROM x UNION ALL SELECT 'note', id, len(regexp_extract_all(context, '\\S+')), length(regexp_replace(context, '\\\\.|[^\\x00-\\x7F]', '', 'g')) FROM y"""))
+  SELECT 'source' AS type, id, len(regexp_extract_all(context, '\\S+')) AS words, length(context) AS chars, sha256(context) AS digest FROM x UNION ALL SELECT 'note', id, len(regexp_extract_all(context, '\\S+')), length(context), sha256(context) FROM y"""))
 def context_of_request(t: Tables) -> DataFrame:
     x = context.endpoint_context(_config(t), t.source(), t.source_insight(), t.note())
-    return x.select("type", "id", F.regexp_count("context", F.lit(r"\S+")).cast("long").alias("words"), F.length(F.regexp_replace("context", r"\\.|[^\x00-\x7F]", "")).cast("long").alias("chars"))
+    return x.select("type", "id", F.regexp_count("context", F.lit(r"\S+")).cast("long").alias("words"), F.length("context").cast("long").alias("chars"), F.sha2(F.col("context").cast("binary"), 256).alias("digest"))
 
 
-@query(sql("reference source note", """SELECT (SELECT count(*) FROM v_reference WHERE out = 'notebook:src1') AS sources, (SELECT count(*) FROM v_note WHERE notebook = 'notebook:src1') AS notes"""))
+@query(sql("reference source source_insight note", f""", x AS (SELECT 'source' AS type, {_JSON} || '}}' AS context FROM v_source s JOIN v_reference r ON r."in" = s.id WHERE r.out = 'notebook:src1'
+    UNION ALL SELECT 'note', '{{"id":"' || id || '","title":"' || title || '"' || coalesce(',"content":' || to_json(left(content, 100)), '') || '}}' FROM v_note WHERE notebook = 'notebook:src1')
+  SELECT count(*) FILTER (type = 'source') AS sources, count(*) FILTER (type = 'note') AS notes, floor(sum(len(regexp_extract_all(context, '\\S+'))) * 1.3::DOUBLE)::BIGINT AS token_count, sum(length(context))::BIGINT AS char_count FROM x"""))
 def context_of_notebook(t: Tables) -> DataFrame:
     x = context.endpoint_context(None, t.source(), t.source_insight(), t.note(), t.reference(), "notebook:src1")
-    return context.context_totals(x).select("sources", "notes")
+    return context.context_totals(x)
 
 
 @query(sql("source source_insight", """, i AS (SELECT source, count(*) AS n, string_agg('**Insight ID:** ' || id || chr(10) || '**Type:** ' || insight_type || chr(10) || '**Content:** ' || content || chr(10) || chr(10), '' ORDER BY id) AS listed FROM v_source_insight GROUP BY source)
@@ -202,15 +203,18 @@ def source_chat_prompts(t: Tables) -> DataFrame:
     return x.select("id", F.sha2(F.col("prompt").cast("binary"), 256).alias("prompt"))
 
 
-@query(sql("source source_insight reference note", """SELECT 'mixed' AS kind, s.id FROM v_source s JOIN v_reference r ON r."in" = s.id WHERE r.out = 'notebook:src1' AND s.id IN ('source:1', 'source:2', 'source:3', 'source:5', 'source:8')
-  UNION ALL SELECT 'mixed', i.id FROM v_source_insight i JOIN v_reference r ON r."in" = i.source WHERE r.out = 'notebook:src1' AND i.source IN ('source:1', 'source:2', 'source:3', 'source:5', 'source:8')
-  UNION ALL SELECT 'mixed', id FROM v_note WHERE notebook = 'notebook:src1' AND id IN ('note:1-0', 'note:1-1', 'note:2-0')
-  UNION ALL SELECT 'source', id FROM v_source WHERE id = 'source:4' UNION ALL SELECT 'source', id FROM v_source_insight WHERE source = 'source:4'"""))
+@query(sql("source source_insight reference note", """, w AS (
+    SELECT 'mixed' AS kind, s.id, 'source' AS type, 100 AS priority, title AS content FROM v_source s JOIN v_reference r ON r."in" = s.id WHERE r.out = 'notebook:src1' AND s.id IN ('source:1', 'source:2', 'source:3', 'source:5', 'source:8')
+    UNION ALL SELECT 'mixed', i.id, 'insight', 75, insight_type || ': ' || content FROM v_source_insight i JOIN v_reference r ON r."in" = i.source WHERE r.out = 'notebook:src1' AND i.source IN ('source:1', 'source:2', 'source:3', 'source:5', 'source:8')
+    UNION ALL SELECT 'mixed', id, 'note', 50, concat_ws(chr(10), title, content) FROM v_note WHERE notebook = 'notebook:src1' AND id IN ('note:1-0', 'note:1-1', 'note:2-0')
+    UNION ALL SELECT 'source', id, 'source', 100, title FROM v_source WHERE id = 'source:4' UNION ALL SELECT 'source', id, 'insight', 75, insight_type || ': ' || content FROM v_source_insight WHERE source = 'source:4')
+  SELECT kind, id, type, priority, sha256(content) AS digest, floor(len(regexp_extract_all(content, '\\S+')) * 1.3::DOUBLE)::BIGINT AS tokens FROM w"""))
 def context_wrappers(t: Tables) -> DataFrame:
     mixed = context.mixed_items([f"source:{k}" for k in (1, 2, 3, 5, 8)], ["note:1-0", "note:1-1", "note:2-0"], "notebook:src1", t.reference(), t.source(), t.source_insight(), t.note())
     nothing = context.mixed_items(["source:1"], [], None, t.reference(), t.source(), t.source_insight(), t.note())
     own = context.source_items("source:4", t.source(), t.source_insight())
-    return mixed.unionByName(nothing).select(F.lit("mixed").alias("kind"), "id").unionByName(own.select(F.lit("source").alias("kind"), "id"))
+    tell = lambda x, kind: x.select(F.lit(kind).alias("kind"), "id", "type", "priority", F.sha2(F.col("content").cast("binary"), 256).alias("digest"), F.col("tokens").cast("long").alias("tokens"))
+    return tell(mixed.unionByName(nothing), "mixed").unionByName(tell(own, "source"))
 
 
 # conversations, inserts, frames and names
