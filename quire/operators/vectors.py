@@ -196,12 +196,16 @@ def _scan(rows: DataFrame, names: list, vectors: list[list[float]], k: int, leas
                 q = np.array([vectors[i] for i in which])
                 with np.errstate(invalid="ignore", divide="ignore"):
                     s = (x @ q.T) / (np.sqrt((x * x).sum(1))[:, None] * np.sqrt((q * q).sum(1))[None, :])
+                norms = np.sqrt((x * x).sum(axis=1))
                 for j, i in enumerate(which):
-                    at = np.flatnonzero(s[:, j] >= least)
+                    at = np.flatnonzero(s[:, j] >= least - SLACK)
                     if len(at) > k:
                         low = np.partition(s[at, j], len(at) - k)[len(at) - k]
-                        at = at[s[at, j] >= low]  # ties stay
+                        at = at[s[at, j] >= low - SLACK]  # ties stay
+                    # of a matrix product equal rows may differ in the last bit; row by row they do not
+                    exact = (x[at] * q[j]).sum(axis=1) / (norms[at] * np.sqrt((q[j] * q[j]).sum()))
+                    at, exact = at[exact >= least], exact[exact >= least]
                     if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array([names[i]] * len(at)), part.column("id").take(pa.array(at)), pa.array(s[at, j])], ["query", "id", "similarity"])
+                        yield pa.RecordBatch.from_arrays([pa.array([names[i]] * len(at)), part.column("id").take(pa.array(at)), pa.array(exact)], ["query", "id", "similarity"])
 
     return rows.select("id", "embedding").mapInArrow(run, f"query {kind}, id {rows.schema['id'].dataType.simpleString()}, similarity double")
