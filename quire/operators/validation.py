@@ -14,7 +14,7 @@ KINDS = {"link": "url", "upload": "file_path", "text": "content"}
 
 def checked(rows: DataFrame, rules: list[tuple[str | Column, Column]]) -> DataFrame:
     """rules: reason and what must be true; null counts as false."""
-    broken = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(reason) if isinstance(reason, str) else reason) for reason, ok in rules])
+    broken = F.coalesce(F.lit(None).cast("string"), *[F.when(~F.coalesce(ok, F.lit(False)), F.lit(reason) if isinstance(reason, str) else reason) for reason, ok in rules])
     return rows.withColumn("reject_reason", broken).withColumn("valid", F.col("reject_reason").isNull())
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import context, models, providers, register, relational, search, validation, writes
+from ..operators import commands, context, models, providers, register, relational, search, validation, writes
 from ..sources import files
 from ..sources.markdown import page_markdown
 from ..streaming import jobs
@@ -356,6 +356,23 @@ def providers_available(t: Tables) -> DataFrame:
     return providers.availability(settings, supported)
 
 
+@query("""SELECT doc_id, reason IS NULL AS success, reason AS error, CASE WHEN reason IS NULL THEN 'source:' || doc_id END AS source_id, CASE WHEN reason IS NULL THEN (doc_id % 9)::INTEGER END AS chunk_index, CASE WHEN reason IS NULL THEN length(text)::DOUBLE END AS size
+  FROM (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'chunk_index is required' WHEN text IS NULL THEN 'chunk_text is required' WHEN contains(text, '#') THEN 'refused: ' || length(text) END AS reason FROM documents)""")
+def commands_called(t: Tables) -> DataFrame:
+    """A typed command over all documents: some indexes are no numbers, some texts are refused."""
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        refused = [x for x in texts if "#" in x]
+        if refused:
+            raise ValueError(f"refused: {len(refused[0])}")
+        return [[float(len(x))] for x in texts]
+
+    index = F.when(F.col("doc_id") % 11 == 0, "none").otherwise((F.col("doc_id") % 9).cast("string"))
+    rows = t.raw("documents").select("doc_id", F.concat(F.lit("source:"), "doc_id").alias("source_id"), index.alias("chunk_index"), F.col("text").alias("chunk_text"))
+    x = commands.call(commands.EMBED_CHUNK, rows, "doc_id", embed=embed)
+    return x.select("doc_id", "success", "error", F.when(F.col("success"), F.col("source_id")).alias("source_id"), F.when(F.col("success"), F.col("chunk_index")).alias("chunk_index"), F.get("embedding", F.lit(0)).alias("size"))
+
+
 # pages
 
 

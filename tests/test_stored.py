@@ -425,3 +425,19 @@ def test_first_name_by_an_order(spark):
     new = spark.createDataFrame([("a.txt", 9, "late"), ("a.txt", 1, "early"), ("a.txt", 5, "middle")], "file_name string, at int, who string").repartition(3)
     taken = spark.createDataFrame([("b.txt",)], "file_name string")
     assert {r.who: r.free_name for r in writes.free_names(taken, new, "at").collect()} == {"early": "a.txt", "middle": "a (1).txt", "late": "a (2).txt"}
+
+
+def test_commands_are_typed(spark):
+    from quire.operators import commands
+
+    with pytest.raises(ValueError, match="lacks chunk_text"):
+        commands.call(commands.EMBED_CHUNK, spark.createDataFrame([(1, "s", 0)], "k int, source_id string, chunk_index int"), "k", embed=len)
+    short = commands.Command("app", "short", "t STRING", "n INT NOT NULL, missing STRING", lambda rows: rows.select("k", F.length("t").alias("n")))
+    with pytest.raises(ValueError, match="output of short lacks missing"):
+        commands.call(short, spark.createDataFrame([(1, "x")], "k int, t string"), "k")
+    fine = commands.Command("app", "size", "t STRING", "n BIGINT", lambda rows: rows.select("k", F.length("t").alias("n")))
+    out = commands.call(fine, spark.createDataFrame([(1, "xx"), (2, None)], "k int, t string").withColumn("more", F.lit(1)), "k")
+    assert out.schema["n"].dataType.simpleString() == "bigint" and sorted(map(tuple, out.collect())) == [(1, True, None, 2), (2, True, None, None)]
+    assert [tuple(r) for r in commands.listing(spark, [fine, commands.EMBED_CHUNK]).orderBy("name").collect()] == [("quire", "embed_chunk", "struct<source_id:string,chunk_index:int,chunk_text:string>", "struct<source_id:string,chunk_index:int,embedding:array<double>>"), ("app", "size", "struct<t:string>", "struct<n:bigint>")]
+    with pytest.raises(ValueError, match="two commands"):
+        commands.listing(spark, [fine, fine])
