@@ -2,7 +2,7 @@
 
 An index is a folder of Parquet tables that every machine sees, made of segments:
 
-    docs      doc, field, id, parent, title, words     one row for each text, numbered by (field, length, id)
+    docs      doc, field, id, parent, title, words     one row for each text, numbered by (field, length, id), in folders of ranges
     postings  field, term, block, n, most, shortest, offsets, counts, lengths     by bucket of the term, in order of term
     gone      segment, field, doc, words     texts of earlier segments that this one replaces or removes
     segments  field, docs, words, buckets, stemmed     written last: a segment that is not in here does not exist
@@ -34,7 +34,7 @@ from .search import B, K1, insight_title, query_terms, tokens
 #: Numbers that a block spans, and texts in the first blocks that are scored.
 BLOCK, FIRST = 1024, 4
 SCHEMAS = {
-    "docs": "segment int, doc long, field string, id string, parent string, title string, words int",
+    "docs": "segment int, part int, doc long, field string, id string, parent string, title string, words int",
     "postings": "segment int, bucket int, field string, term string, block long, n int, most int, shortest int, offsets array<int>, counts array<int>, lengths array<int>",
     "gone": "by_segment int, segment int, field string, doc long, words int",
     "segments": "segment int, field string, docs long, words long, buckets int, stemmed boolean",
@@ -86,6 +86,11 @@ def _write(df: DataFrame, folder: str, name: str, segment: int, by: str | None =
     (writer.partitionBy(by) if by else writer).parquet(f"{folder}/{name}/{column}={segment}")
 
 
+def _part(doc: str = "doc") -> Column:
+    """The range that a number is from; ranges begin at multiples of BLOCK."""
+    return F.expr(f"cast(shiftright({doc}, 33) AS int)").alias("part")
+
+
 def add(rows: DataFrame | None, folder: str, spark: SparkSession, removed: DataFrame | None = None, stemmed: bool = True, buckets: int = 64) -> int:
     """Writes a segment: rows (field, id, parent, title, text) are new or replace the text with their field and id; removed
     (field, id) go. Gives its number. A segment counts from when its row in `segments` is there; what an attempt that died
@@ -108,7 +113,7 @@ def add(rows: DataFrame | None, folder: str, spark: SparkSession, removed: DataF
     order = ["field", "words", "id"]
     docs = counted.where("term IS NULL").select("field", "id", "words", "about.parent", "about.title")
     docs = checkpointed(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("doc", F.monotonically_increasing_id()))
-    _write(docs.select("doc", "field", "id", "parent", "title", "words"), folder, "docs", number)
+    _write(docs.select("doc", "field", "id", "parent", "title", "words", _part()), folder, "docs", number, "part")
 
     found = counted.where("term IS NOT NULL").select("field", "id", "term", "count")
     if stemmed:
@@ -134,7 +139,7 @@ def merged(folder: str, into: str, spark: SparkSession) -> None:
     docs = index.alive()
     order = ["field", "words", "id"]
     fresh = checkpointed(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("new", F.monotonically_increasing_id()))
-    _write(fresh.select(F.col("new").alias("doc"), "field", "id", "parent", "title", "words"), into, "docs", 0)
+    _write(fresh.select(F.col("new").alias("doc"), "field", "id", "parent", "title", "words", _part("new")), into, "docs", 0, "part")
     entries = _entries(index.table("postings")).join(fresh.select("segment", "doc", "new"), ["segment", "doc"])
     entries = entries.withColumn("block", F.expr(f"new div {BLOCK}"))
     packed = F.struct((F.col("new") - F.col("block") * BLOCK).cast("int").alias("o"), F.col("count").alias("c"), F.col("words").alias("w"))
@@ -194,9 +199,13 @@ def _hits(blocks: DataFrame, index: Index, stats: dict, terms: list[str]) -> Dat
     return x.select("segment", "field", "doc", reduce(lambda a, b: a + b, [F.col("scores")[t] for t in terms]).alias("relevance"))
 
 
-def _grouped(hits: DataFrame, index: Index) -> DataFrame:
-    """field, id (what the text is found for, its parent), parent_id, title and best relevance; none without a parent."""
-    x = hits.join(index.table("docs").select("segment", "doc", "parent", "title"), ["segment", "doc"]).where("parent IS NOT NULL")
+def _grouped(hits: DataFrame, blocks: DataFrame, index: Index) -> DataFrame:
+    """field, id (what the text is found for, its parent), parent_id, title and best relevance; none without a parent.
+
+    Of the texts only those ranges are read that the blocks are from: there are as many as the index has files."""
+    ranges = blocks.select("segment", _part(f"block * {BLOCK}")).distinct().collect()
+    docs = index.table("docs").where(F.col("segment").isin([r.segment for r in ranges]) & F.col("part").isin([r.part for r in ranges]))
+    x = hits.join(docs.select("segment", "doc", "parent", "title"), ["segment", "doc"]).where("parent IS NOT NULL")
     return x.groupBy("field", F.col("parent").alias("id"), "title").agg(F.max("relevance").alias("relevance")).select("field", "id", F.col("id").alias("parent_id"), "title", "relevance")
 
 
@@ -211,8 +220,8 @@ def candidates(index: Index, query: str, k: int, fields: list[str] | None = None
     bound = _score(stats, terms, F.col("most"), F.col("shortest"))
     heads = blocks.select("segment", "field", "term", "block", bound.alias("bound"))
     heads = checkpointed(heads.groupBy("segment", "field", "block").agg(F.count("*").alias("held"), F.sum("bound").alias("bound")).where(F.col("held") == len(terms)).drop("held"))
-    first = heads.orderBy(F.col("bound").desc(), "segment", "field", "block").limit(FIRST)
-    best = _grouped(_hits(blocks.join(F.broadcast(first.drop("bound")), ["segment", "field", "block"], "left_semi"), index, stats, terms), index)
+    first = checkpointed(heads.orderBy(F.col("bound").desc(), "segment", "field", "block").limit(FIRST))
+    best = _grouped(_hits(blocks.join(F.broadcast(first.drop("bound")), ["segment", "field", "block"], "left_semi"), index, stats, terms), first, index)
     # of one id in two fields the better counts, once
     kth = best.groupBy("id", "parent_id", "title").agg(F.max("relevance").alias("relevance")).orderBy(F.col("relevance").desc()).limit(k).agg(F.count("*").alias("n"), F.min("relevance").alias("low")).first()
     least = kth.low if kth.n == k else 0.0
@@ -228,7 +237,7 @@ def search(spark: SparkSession, folder: str, query: str, k: int, fields: list[st
     if worth is None:
         return spark.createDataFrame([], "id string, parent_id string, title string, relevance double")
     blocks = index.postings(terms, fields).join(worth.drop("bound"), ["segment", "field", "block"], "left_semi")
-    x = _grouped(_hits(blocks, index, stats, terms), index)
+    x = _grouped(_hits(blocks, index, stats, terms), worth, index)
     return x.groupBy("id", "parent_id", "title").agg(F.max("relevance").alias("relevance")).orderBy(F.col("relevance").desc(), "id").limit(k)
 
 
