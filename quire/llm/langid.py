@@ -9,7 +9,7 @@ each language (`training_rows`), and is small linear algebra on the driver; scor
 Letters are taken as str.isalpha() has them, lower-cased; everything else is one space. Texts that are null or have no
 letter give `und` and score 0. The score says how a classifier's value stands to the others, not that it is high: of the
 values of L languages the largest is 2/L - 1 at least, whatever the text. So a filter asks something else (`accepted`):
-what share of the text's 4-letter sequences, repeats counted, two training texts of a language hold, against half of what
+what share of the text's 4-letter sequences, repeats counted, two training texts of a language usually hold, against half of what
 the median training text of that language has in common with the others. Both are shares, so neither the length of a
 text nor the number of languages matters. Repeated rows are each answered; rows without a language do not train; with no
 training rows at all every text is `und`; an empty table gives an empty result; a text of any length is taken whole, in
@@ -37,10 +37,12 @@ BUCKETS = 1 << 13
 LENGTHS = (1, 2, 3, 4)
 #: The sample that is learned from: so many texts at most, taken whole, in turn from all languages; a language's texts are taken
 #: until they have its share of so many characters, two texts at least.
-TRAIN_ROWS, TRAIN_CHARS = 3000, 15_000_000
+TRAIN_ROWS, TRAIN_CHARS = 3000, 4_000_000
 LANDMARKS = 300
 #: A text is a language's own if its share of known sequences is at least so much of the median training text's.
 ACCEPTED = 0.5
+#: A training text holds a sequence that is one in so many of its sequences, or more.
+EVERY = 5000
 
 
 _rough = re.compile(r"[\W\d_]+")
@@ -100,10 +102,12 @@ def _share(own: np.ndarray, held: np.ndarray) -> float:
 def _known(texts: list[str]) -> tuple[np.ndarray, float]:
     """Sequences that two of a language's texts hold, sorted, and the share that accepts a text.
 
-    A sequence of two texts is known without either, so no training text vouches for itself. Of a language with a
+    A text holds those that it has once in EVERY at least, so that a long one, which has most sequences somewhere, vouches for
+    no more than its usual ones. A sequence of two texts is known without either, so no training text vouches for itself. Of a language with a
     single text nothing is known, and all its texts are accepted."""
     each = [sequences(t) for t in texts]
-    found, count = np.unique(np.concatenate([np.unique(s) for s in each]), return_counts=True)
+    own = [v[n * EVERY >= len(s)] for s in each for v, n in [np.unique(s, return_counts=True)]]
+    found, count = np.unique(np.concatenate(own), return_counts=True)
     held = found[count > 1]
     return held, ACCEPTED * float(np.median([_share(s, held) for s in each]))
 
@@ -177,8 +181,10 @@ def training_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     texts have its share of `chars`, but not before the second. Hashes are ranked first, so texts are fetched for those alone."""
     x = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.xxhash64("text"))
     each = x.groupBy("lang", "h").agg(F.max(F.length("text")).alias("size"))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    first = each.withColumn("turn", turn).where(F.col("turn") <= rows)  # limited in each task before the shuffle
+    # a language's first texts are among the first of its groups, so what one task ranks is bounded
+    first = each
+    for keys in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
+        first = first.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("turn") <= rows)
     # languages with a text among the first `rows`: no more than that many
     first = checkpointed(first.orderBy("turn", "h", "lang").limit(rows))
     share = chars / max(1, first.select("lang").distinct().count())

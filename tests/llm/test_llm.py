@@ -584,7 +584,8 @@ def test_language_stage_by_brute_force(spark, docs, data):
     for r in langid.training_rows(more).collect():
         if langid.folded(r.text):
             by[r.lang].append(grams(r.text))
-    held = {v: {g for g, n in Counter(g for t in each for g in set(t)).items() if n > 1} for v, each in by.items()}
+    usual = lambda t: {g for g, n in Counter(t).items() if n * langid.EVERY >= len(t)}
+    held = {v: {g for g, n in Counter(g for t in each for g in usual(t)).items() if n > 1} for v, each in by.items()}
     share = lambda t, v: sum(g in held[v] for g in t) / len(t) if t else 0.0
     floor = {v: langid.ACCEPTED * np.median([share(t, v) for t in each]) for v, each in by.items()}
     expected = {i for i, t in texts(more) if grams(t) and any(share(grams(t), v) >= floor[v] for v in by)}
