@@ -49,6 +49,8 @@ SAMPLE_DOCS, CODES, CODE_BYTES = 5000, 65_535, 16
 _SLICE = 1 << 20
 _GAP = re.compile(rb"\s")
 _HEAVY_BIT = np.int64(1 << 31)
+#: A place that no anchor has, heavy bit set: says that a text has repeats of its own, whatever becomes of its anchors.
+_OWN = np.int64((1 << 32) - 1)
 _ROWS = "key long, id long, h long, start int, n int, words binary"
 
 
@@ -194,20 +196,24 @@ def _texts(column: list[str | None], words: int) -> Iterator[tuple[Texts, int, i
 
 
 def _places(t: Texts, h: np.ndarray, words: int, heavy: np.ndarray, first_place: int = 0, starts: int = 1 << 40) -> pa.RecordBatch:
-    """One row for each anchor of each text: what it is counted by, and its document and place.
+    """One row for each anchor of each text: what it is counted by, and its document and place; and one for each text that
+    repeats itself, which has to be read again even if no anchor of it stands elsewhere.
 
     A range of a text (see _ranges) begins at first_place and has so many starts; an anchor that two ranges share counts twice."""
     hashes = t.hashes()
     s, at, grams = _anchors(t, hashes, words)
     s, at = s[s < starts], at[s < starts]
-    at = at[~_own_repeats(t, s, t.rows()[s], t.grams(hashes, words)[0], words)]
+    again = _own_repeats(t, s, t.rows()[s], t.grams(hashes, words)[0], words)
+    own = h[np.unique(t.rows()[s[again]])] >> 32 << 32 | _OWN
+    at = at[~again]
     a = at[_changes(at)]
     row = np.searchsorted(t.ptr, a, "right") - 1
     spot = (h[row] >> 32 << 32) | (a - t.ptr[row] + first_place)
     key = grams[a]
     known = np.isin(key, heavy)
     spot = np.where(known, spot | _HEAVY_BIT, spot)
-    return pa.RecordBatch.from_arrays([pa.array(np.where(known, mix(spot.view(np.uint64)), key).view(np.int64)), pa.array(spot)], ["key", "spot"])
+    key = np.where(known, mix(spot.view(np.uint64)), key)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([key, mix(own.view(np.uint64))]).view(np.int64)), pa.array(np.concatenate([spot, own]))], ["key", "spot"])
 
 
 def _own_repeats(t: Texts, s: np.ndarray, row: np.ndarray, path: np.ndarray, words: int) -> np.ndarray:

@@ -311,6 +311,16 @@ def test_passages_in_texts_that_repeat_themselves(spark):
         assert kept == expected[i, t] and n == len(t.split()) and lost == n - len(kept.split()), i
 
 
+def test_texts_that_repeat_only_themselves(spark):
+    """No anchor of these texts stands anywhere else, in them or in another text."""
+    from quire.llm import substrings
+
+    table = [(1, "y " * 30), (2, "a b c " * 12), (None, "z " * 21), (4, " ".join(f"own{k}" for k in range(40))), (5, "q " * 20)]
+    expected = kept_words(table, 20)
+    for r in substrings.without_repeats(spark.createDataFrame(table, "doc_id long, text string"), words=20).collect():
+        assert r.kept_text == expected[r.doc_id, r.text] and r.n_removed == len(r.text.split()) - len(r.kept_text.split()), r.doc_id
+
+
 def test_ranges_of_a_text():
     from quire.llm import substrings
 
