@@ -225,6 +225,17 @@ def briefing(default: Column, suffix: Column) -> Column:
     return F.concat(default, F.coalesce(more, F.lit("")))
 
 
+#: Letters whose capital is more than one character in Unicode's full mapping, each with the one that its simple mapping gives.
+_SIMPLE_UPPER = {c: "ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x10000)) if len(c.upper()) > 1}
+
+
+def upper_each(c: Column) -> Column:
+    """Each character in upper case by itself, as SQL has it: a text stays as long as it is (F.upper makes SS of one letter)."""
+    simple = F.create_map(*[F.lit(x) for pair in _SIMPLE_UPPER.items() for x in pair])
+    each = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(simple[x], F.upper(x))), "")
+    return F.when(F.regexp_like(c, F.lit(f"[{''.join(_SIMPLE_UPPER)}]")), each).otherwise(F.upper(c))
+
+
 def rendered(template: str, **values: Column) -> Column:
     """The template with each {{name}} replaced by its value, null as ''; what a value holds is not read again."""
     parts, at = [], 0

@@ -136,7 +136,7 @@ _PROMPT = "# QUESTION\n\n{{question}}\n\n# SEARCH\n\n{{ term }}\n\n# RESULTS\n\n
 
 @query("SELECT item_id, '# QUESTION' || chr(10) || chr(10) || text || chr(10) || chr(10) || '# SEARCH' || chr(10) || chr(10) || upper(left(text, 5)) || chr(10) || chr(10) || '# RESULTS' || chr(10) || chr(10) || '{{ids}}' || chr(10) || chr(10) || 'Ids: ' || item_id || chr(10) AS prompt FROM benchmark")
 def prompts_rendered(t: Tables) -> DataFrame:
-    prompt = T.rendered(_PROMPT, question=F.col("text"), term=F.upper(F.substring("text", 1, 5)), results=F.lit("{{ids}}"), ids=F.col("item_id"))
+    prompt = T.rendered(_PROMPT, question=F.col("text"), term=T.upper_each(F.substring("text", 1, 5)), results=F.lit("{{ids}}"), ids=F.col("item_id"))
     return t.raw("benchmark").select("item_id", prompt.alias("prompt"))
 
 

@@ -28,6 +28,14 @@ def test_cleaning(spark):
     assert value(spark, "Yes", T.truthy) is True
 
 
+def test_upper_case_of_each_character(spark, duck):
+    """Letters whose capitals are several characters, alone and among others, as DuckDB's upper() has them."""
+    odd = [c for c in map(chr, range(0x10000)) if len(c.upper()) > 1]
+    texts = [*odd, "Erßie", "ßß aﬁx ŉ", "straße 😀ß", "plain é", "", None]
+    got = [r.v for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).select("i", T.upper_each(F.col("t")).alias("v")).orderBy("i").collect()]
+    assert got == [duck.execute("SELECT upper(?::VARCHAR)", [t]).fetchone()[0] for t in texts] and got[len(odd)] == "ERẞIE"
+
+
 @pytest.mark.parametrize(("a", "b", "sign"), [("1.0", "1.0.0", 0), ("1.2", "1.10", -1), ("v2.0", "1.9.9", 1), ("1.0a1", "1.0", -1), ("1.0rc1", "1.0b2", 1), ("1.0.post1", "1.0", 1), ("1.0.dev1", "1.0a1", -1), ("2!1.0", "3.0", 1), ("1.0+a", "1.0", 1), ("1.0+1", "1.0+a", 1), (".".join(["1"] * 20), ".".join(["1"] * 19 + ["2"]), -1)])
 def test_versions(spark, a, b, sign):
     assert spark.createDataFrame([(a, b)], "a string, b string").select(T.compare_versions(F.col("a"), F.col("b"))).first()[0] == sign
