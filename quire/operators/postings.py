@@ -22,12 +22,16 @@ statistics of its own, share an index.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stem import stem, stems
+from ..functions.stem import stem
 from .durable import checkpointed
 from .search import B, K1, insight_title, query_terms, tokens
 
@@ -91,6 +95,28 @@ def _part(doc: str = "doc") -> Column:
     return F.expr(f"cast(shiftright({doc}, 33) AS int)").alias("part")
 
 
+def _tallied(stemmed: bool):
+    """mapInArrow function: of each text's words (the last column, t) how many there are, its distinct terms, joined by spaces,
+    and how often it has each. A batch's distinct words are stemmed once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (batch.slice(i, 1024) for batch in batches for i in range(0, batch.num_rows, 1024)):
+            lists = b.column("t")
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            term: dict[str, int] = {}
+            of = np.array([term.setdefault(stem(w) if stemmed else w, len(term)) for w in words], dtype=np.int64)
+            key, n = np.unique(np.repeat(np.arange(len(sizes)), sizes) << 32 | of[coded.indices.to_numpy()], return_counts=True)
+            ends = np.searchsorted(key >> 32, np.arange(len(sizes) + 1)).astype(np.int32)
+            names = pa.array(list(term), pa.string()).take(pa.array(key & 0xFFFFFFFF))
+            joined = pc.binary_join(pa.ListArray.from_arrays(ends, names), " ")
+            counts = pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sizes.astype(np.int32)), joined, counts], [*b.schema.names[:-1], "words", "terms", "counts"])
+
+    return run
+
+
 def add(rows: DataFrame | None, folder: str, spark: SparkSession, removed: DataFrame | None = None, stemmed: bool = True, buckets: int = 64) -> int:
     """Writes a segment: rows (field, id, parent, title, text) are new or replace the text with their field and id; removed
     (field, id) go. Gives its number. A segment counts from when its row in `segments` is there; what an attempt that died
@@ -104,23 +130,17 @@ def add(rows: DataFrame | None, folder: str, spark: SparkSession, removed: DataF
         _write(index.alive().join(changed, ["field", "id"], "left_semi").select("segment", "field", "doc", "words"), folder, "gone", number)
     if rows is None:
         rows = spark.createDataFrame([], "field string, id string, parent string, title string, text string")
-    x = rows.where("text IS NOT NULL AND id IS NOT NULL").select("field", F.col("id").cast("string").alias("id"), "parent", "title", tokens(F.col("text")).alias("t"))
-    # the one pass over the texts: a row for each text and word of it, and one without a word that says what it is
-    about = F.struct(F.lit(None).cast("string").alias("term"), F.struct(F.col("parent").cast("string").alias("parent"), "title").alias("about"))
-    each = F.explode(F.concat(F.array(about), F.transform("t", lambda w: F.struct(w.alias("term"), F.lit(None).cast("struct<parent:string,title:string>").alias("about")))))
-    counted = x.select("field", "id", F.size("t").alias("words"), each.alias("e")).groupBy("field", "id", "words", "e.term", "e.about").agg(F.count("*").cast("int").alias("count"))
-    counted = checkpointed(counted)
+    x = rows.where("text IS NOT NULL AND id IS NOT NULL").select("field", F.col("id").cast("string").alias("id"), F.col("parent").cast("string").alias("parent"), F.col("title").cast("string").alias("title"), tokens(F.col("text")).alias("t"))
+    # the one pass over the texts: a row for each text with its terms, which stays whole until texts are in order
+    counted = checkpointed(x.mapInArrow(_tallied(stemmed), "field string, id string, parent string, title string, words int, terms string, counts array<int>"))
     order = ["field", "words", "id"]
-    docs = counted.where("term IS NULL").select("field", "id", "words", "about.parent", "about.title")
-    docs = checkpointed(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("doc", F.monotonically_increasing_id()))
+    docs = checkpointed(counted.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("doc", F.monotonically_increasing_id()))
     _write(docs.select("doc", "field", "id", "parent", "title", "words", _part()), folder, "docs", number, "part")
 
-    found = counted.where("term IS NOT NULL").select("field", "id", "term", "count")
-    if stemmed:
-        found = found.withColumn("term", stems("term")).groupBy("field", "id", "term").agg(F.sum("count").cast("int").alias("count"))
-    found = found.join(docs.select("field", "id", "doc", "words"), ["field", "id"]).withColumn("block", F.expr(f"doc div {BLOCK}"))
-    entry = F.struct((F.col("doc") - F.col("block") * BLOCK).cast("int").alias("o"), F.col("count").alias("c"), F.col("words").alias("w"))
-    blocks = found.groupBy("field", "term", "block").agg(F.array_sort(F.collect_list(entry)).alias("p"))  # at most BLOCK
+    # a block's texts stand in one partition, so its postings are together before anything is shuffled
+    found = docs.where("terms <> ''").select("field", "doc", "words", F.expr(f"doc div {BLOCK}").alias("block"), F.explode(F.arrays_zip(F.split("terms", " ").alias("term"), "counts")).alias("e"))
+    entry = F.struct((F.col("doc") - F.col("block") * BLOCK).cast("int").alias("o"), F.col("e.counts").alias("c"), F.col("words").alias("w"))
+    blocks = found.groupBy("field", F.col("e.term").alias("term"), "block").agg(F.array_sort(F.collect_list(entry)).alias("p"))  # at most BLOCK
     part = lambda f: F.transform("p", lambda x: x[f])
     blocks = blocks.select("field", "term", "block", F.size("p").alias("n"), F.array_max(part("c")).alias("most"), F.array_min(part("w")).alias("shortest"), part("o").alias("offsets"), part("c").alias("counts"), part("w").alias("lengths"), (F.crc32("term") % buckets).cast("int").alias("bucket"))
     _write(blocks.repartitionByRange("bucket", "term", "field", "block").sortWithinPartitions("bucket", "term", "field", "block"), folder, "postings", number, "bucket")

@@ -13,18 +13,21 @@ from ..operators.search import TOKEN, B, K1
 def register_text_search(spark: SparkSession, folder: str, name: str = "text_search") -> None:
     """Makes `name`(query, k) a temporary function over a postings index: id, parent_id, title, relevance of the k best.
 
-    The query may be any expression; its terms find their buckets by a join, so that only those folders are read."""
+    The query may be any expression; its terms, a few, find their buckets by a join, so that only those folders are read and
+    only those terms' blocks are opened."""
     index = postings.Index(spark, folder)
-    gone = index.table("gone").select("segment", "doc")
+    index.table("gone").select("segment", "doc").createOrReplaceTempView(f"{name}_gone")
     docs = index.alive()
     docs.createOrReplaceTempView(f"{name}_docs")
-    postings._entries(index.table("postings")).join(gone, ["segment", "doc"], "left_anti").createOrReplaceTempView(f"{name}_entries")
+    index.table("postings").createOrReplaceTempView(f"{name}_blocks")
     docs.groupBy("field").agg(F.count("*").alias("docs"), F.avg("words").alias("mean")).createOrReplaceTempView(f"{name}_fields")
     spark.udf.register(f"{name}_stem", stem if index.stemmed else lambda w: w, "string")
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(query STRING, k INT) RETURNS TABLE (id STRING, parent_id STRING, title STRING, relevance DOUBLE) RETURN
       WITH words AS (SELECT explode(regexp_extract_all(query, r'{TOKEN}', 0)) AS word),
       asked AS (SELECT DISTINCT {name}_stem(lower(word)) AS term FROM words),
-      hits AS (SELECT e.* FROM {name}_entries e JOIN (SELECT term, CAST(crc32(term) % {max(index.buckets, 1)} AS INT) AS bucket FROM asked) a ON e.bucket = a.bucket AND e.term = a.term),
+      blocks AS (SELECT /*+ BROADCAST(a) */ b.* FROM {name}_blocks b JOIN (SELECT term, CAST(crc32(term) % {max(index.buckets, 1)} AS INT) AS bucket FROM asked) a ON b.bucket = a.bucket AND b.term = a.term),
+      entries AS (SELECT segment, field, term, block * {postings.BLOCK} + e.offsets AS doc, e.counts AS count, e.lengths AS words FROM (SELECT *, explode(arrays_zip(offsets, counts, lengths)) AS e FROM blocks)),
+      hits AS (SELECT e.* FROM entries e LEFT ANTI JOIN {name}_gone g ON e.segment = g.segment AND e.doc = g.doc),
       held AS (SELECT field, term, count(*) AS df FROM hits GROUP BY field, term),
       parts AS (SELECT h.segment, h.doc, ln(1 + (f.docs - t.df + 0.5D) / (t.df + 0.5D)) * h.count * {K1 + 1}D / (h.count + {K1}D * ({1 - B}D + {B}D * h.words / f.mean)) AS part
         FROM hits h JOIN held t ON h.field = t.field AND h.term = t.term JOIN {name}_fields f ON f.field = h.field),

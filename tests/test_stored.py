@@ -451,3 +451,21 @@ def test_commands_are_typed(spark):
     assert [tuple(r) for r in commands.listing(spark, [fine, commands.EMBED_CHUNK]).orderBy("name").collect()] == [("quire", "embed_chunk", "struct<source_id:string,chunk_index:int,chunk_text:string>", "struct<source_id:string,chunk_index:int,embedding:array<double>>"), ("app", "size", "struct<t:string>", "struct<n:bigint>")]
     with pytest.raises(ValueError, match="two commands"):
         commands.listing(spark, [fine, fine])
+
+
+def test_terms_of_a_text_are_counted_in_its_row(spark):
+    """One row goes out for each text, whatever it holds; words of one stem count together."""
+    from collections import Counter
+
+    from quire.functions.stem import stem
+    from quire.operators import postings
+    from quire.operators.search import tokens
+
+    texts = ["running runs run", "", "¿?", "versions Version licenceX2 x", "a " * 3000 + "b"] + [f"w{k} the w{k % 7}" for k in range(2000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").coalesce(2).select("id", tokens(F.col("text")).alias("t"))
+    words = {r.id: r.t for r in df.collect()}
+    for stemmed in (False, True):
+        out = df.mapInArrow(postings._tallied(stemmed), "id int, words int, terms string, counts array<int>").collect()
+        assert len(out) == len(texts)
+        for r in out:
+            assert r.words == len(words[r.id]) and dict(zip(r.terms.split(), r.counts, strict=True)) == Counter(map(stem, words[r.id]) if stemmed else words[r.id])
