@@ -19,7 +19,7 @@ K1, B = 1.2, 0.75
 
 
 #: A number, or letters up to where a capital follows a small letter.
-TOKEN = r"\p{N}+|\p{L}(?:[\p{L}&&[^\p{Lu}]]|(?<!\p{Ll})\p{Lu})*"
+TOKEN = r"\p{N}++|\p{L}[a-z[\p{L}&&[^\p{Lu}]]]*+(?:(?<!\p{Ll})\p{Lu}[a-z[\p{L}&&[^\p{Lu}]]]*+)*+"
 
 
 def tokens(text: Column) -> Column:
@@ -44,11 +44,27 @@ def _among(forms: str):
     return lambda t: F.array_contains(forms, t)
 
 
-def word_forms(x: DataFrame, words: str, stemmed: list[str]) -> DataFrame:
+def begins(stemmed: str) -> str:
+    """What every word with this stem begins with: the rules change the last three letters of a stem at most, and no first one."""
+    return stemmed[: max(1, len(stemmed) - 3)]
+
+
+def may_hold(text: Column, beginnings: list[str]) -> Column:
+    """Whether a text can have a word that begins with one of these; true where that takes its words to tell. Null for null."""
+    if not all(b.isascii() for b in beginnings):
+        return text.isNotNull()
+    return reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(b)) for b in beginnings])
+
+
+def word_forms(docs: DataFrame, texts: list[str], stemmed: list[str]) -> DataFrame:
     """One row: arrays __form0, __form1, ... of the distinct words with each stem.
 
-    Each distinct word is stemmed once. The rules take finitely many suffixes off, so only so many words share a stem."""
-    vocabulary = x.select(F.explode(F.array_distinct(words)).alias("__w")).distinct().withColumn("__s", stems("__w"))
+    Only texts that may hold such words are read for them, and each distinct word that begins like a stem is stemmed once. The
+    rules take finitely many suffixes off, so only so many words share a stem."""
+    start = [begins(s) for s in stemmed]
+    alike = lambda w: reduce(lambda a, b: a | b, [F.startswith(w, F.lit(b)) for b in start])
+    each = reduce(DataFrame.unionByName, [docs.where(may_hold(F.col(t), start)).select(F.explode(F.array_distinct(F.filter(tokens(F.col(t)), alike))).alias("__w")) for t in texts])
+    vocabulary = each.distinct().withColumn("__s", stems("__w"))
     return vocabulary.where(F.col("__s").isin(stemmed)).agg(*[F.collect_set(F.when(F.col("__s") == s, F.col("__w"))).alias(f"__form{i}") for i, s in enumerate(stemmed)])
 
 
@@ -60,8 +76,7 @@ def _counted(docs: DataFrame, texts: list[str], query: str, stemmed: bool, keep:
     x = docs.select(*keep, *[tokens(F.col(t)).alias(f"__t{j}") for j, t in enumerate(texts)])
     if stemmed:
         terms = list(dict.fromkeys(map(stem, terms)))
-        words = x.select(F.array_union(*[F.coalesce(f"__t{j}", F.array().cast("array<string>")) for j in range(len(texts))]).alias("__t")) if len(texts) == 2 else x.select("__t0").toDF("__t")
-        x = x.join(F.broadcast(word_forms(words, "__t", terms)))  # one row
+        x = x.join(F.broadcast(word_forms(docs, texts, terms)))  # one row
     count = lambda j, i: F.size(F.filter(f"__t{j}", _among(f"__form{i}") if stemmed else _equals(terms[i])))
     numbers = [c for j in range(len(texts)) for c in (F.when(F.col(f"__t{j}").isNotNull(), F.size(f"__t{j}")).alias(f"__dl{j}"), *[count(j, i).alias(f"__tf{j}_{i}") for i in range(len(terms))])]
     return checkpointed(x.select(*keep, *numbers)), len(terms)
@@ -90,15 +105,17 @@ def highlight(docs: DataFrame, text: str, query: str, stemmed: bool = True) -> D
     """Adds `highlight`: the text with the words that the query finds between backticks, all else as it is; null for null.
 
     Words are those of the search, by the same rules: a text is parted into its words and what lies between them, words that
-    a term stands for are marked, and the parts are put together again."""
+    a term stands for are marked, and the parts are put together again. A text that can't hold such a word stays as it is."""
     terms = query_terms(query)
     parts = F.regexp_extract_all(text, F.lit(rf"{TOKEN}|[^\p{{L}}\p{{N}}]+"), F.lit(0))
     if not stemmed:
         forms = F.array(*map(F.lit, terms))
-        return docs.withColumn("highlight", _marked(parts, forms))
-    found = word_forms(docs.select(tokens(F.col(text)).alias("__t")), "__t", list(dict.fromkeys(map(stem, terms))))
+        return docs.withColumn("highlight", F.when(may_hold(F.col(text), terms), _marked(parts, forms)).otherwise(F.col(text)))
+    stemmed_terms = list(dict.fromkeys(map(stem, terms)))
+    found = word_forms(docs, [text], stemmed_terms)
     forms = found.select(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in found.columns]).alias("__forms"))
-    return docs.join(F.broadcast(forms)).withColumn("highlight", _marked(parts, F.col("__forms"))).drop("__forms")  # one row
+    marked = F.when(may_hold(F.col(text), [begins(s) for s in stemmed_terms]), _marked(parts, F.col("__forms"))).otherwise(F.col(text))
+    return docs.join(F.broadcast(forms)).withColumn("highlight", marked).drop("__forms")  # one row
 
 
 def _marked(parts: Column, forms: Column) -> Column:

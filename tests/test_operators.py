@@ -271,6 +271,29 @@ def test_stems():
     assert {w: stem(w) for w in STEMS} == STEMS
 
 
+def test_what_words_of_a_stem_begin_with():
+    """Words of every suffix of the rules, alone and two in a row, begin as their stems say."""
+    import random
+
+    from quire.functions import stem as S
+
+    r = random.Random(3)
+    ends = ["", "s", "es", "ies", "ied", "sses", "us", "eed", "eedly", "ed", "edly", "ing", "ingly", "y", "e", "ll", "ility", "ogy", *S.STEP_2, *S.STEP_3, *S.STEP_4, *(e.replace("i", "y") for e in S.STEP_2)]
+    words = [*S.IRREGULAR, *S.KEPT]
+    for _ in range(60_000):
+        words.append("".join(r.choice("bcdglmnrstvy") * r.randint(0, 2) + r.choice("aeiouy") for _ in range(r.randint(0, 3))) + r.choice(ends) + r.choice(ends))
+    for w in filter(None, words):
+        assert w.startswith(search.begins(S.stem(w))), w
+
+
+def test_texts_without_a_form_are_read_once(spark):
+    """Only texts with a word that begins like a stem are parted; results are those of plain parting."""
+    docs = spark.createDataFrame([(0, "A Licensed text, of VERSIONS"), (1, "nothing here"), (2, None), (3, ""), (4, "xlicense subversion"), (5, "licence licens")], "id int, t string")
+    out = {x.id: x.highlight for x in search.highlight(docs, "t", "Licensing versions").collect()}
+    assert out == {0: "A `Licensed` text, of `VERSIONS`", 1: "nothing here", 2: None, 3: "", 4: "xlicense subversion", 5: "licence licens"}
+    assert [sorted(c) for c in search.word_forms(docs, ["t"], ["licens", "version"]).first()] == [["licensed"], ["versions"]]
+
+
 def test_stemmed_search_counts_every_form(spark):
     from quire.operators.search import bm25
 
