@@ -31,8 +31,12 @@ def _found(line: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(line, pattern, group), F.lit(""))
 
 
+#: Every character of Unicode's white space.
+WHITE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -58,12 +62,14 @@ def _marked(lines: DataFrame) -> DataFrame:
 
 def _context(x: DataFrame) -> DataFrame:
     """Adds the context that holds at each line."""
-    line = F.when(~F.col("in_table"), F.col("line"))
+    outside = F.when(~F.col("in_table"), F.col("line"))
+    # a heading begins with #, a page's mark with a dash: no other line is matched against patterns
+    line, mark = F.when(F.startswith(outside, F.lit("#")), outside), F.when(F.left(outside, F.lit(1)).isin("-", "—"), outside)
     doc = Window.partitionBy("source_id", "doc").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     building = F.when(F.regexp_like(line, F.lit(BUILDING)), F.struct(_strip(_found(line, BUILDING, 1)).alias("id"), _strip(_found(line, BUILDING, 2)).alias("name"), _found(line, BUILDING, 3).cast("int").alias("year"), _strip(_found(line, BUILDING, 4)).alias("construction")))
     room = F.when(F.regexp_like(line, F.lit(ROOM)), F.struct(_strip(_found(line, ROOM, 1)).alias("id"), _strip(_found(line, ROOM, 2)).alias("name")))
     area = F.when(building.isNotNull(), "Interior").otherwise(F.initcap(_found(line, AREA, 1)))
-    x = x.withColumns({"building": building, "room": room, "room_area": _found(line, ROOM, 3).try_cast("double"), "area_type": area, "page_number": _found(line, PAGE, 1).cast("int")})
+    x = x.withColumns({"building": building, "room": room, "room_area": _found(line, ROOM, 3).try_cast("double"), "area_type": area, "page_number": _found(mark, PAGE, 1).cast("int")})
     x = x.withColumn("building_no", F.count("building").over(doc))
     here = Window.partitionBy("source_id", "doc", "building_no").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     last = lambda c, w: F.last(c, ignorenulls=True).over(w)

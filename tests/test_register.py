@@ -90,3 +90,13 @@ def test_validation_and_tally(spark):
     docs = spark.createDataFrame([("source:1", REGISTER), ("source:2", "")], "id string, full_text string")
     old = spark.createDataFrame([("source:1",), ("source:1",), ("source:2",)], "source_id string")
     assert register.extraction_tally(docs, old).first().asDict() == {"created": 4, "deleted": 2, "failed": 1}
+
+
+def test_strip_takes_unicode_white_space(spark):
+    """btrim() over the listed characters takes what the pattern of Unicode's white space takes, for every character."""
+    from pyspark.sql import functions as F
+
+    from quire.operators import register
+
+    x = spark.range(1, 0xD800).select(F.concat(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')"), F.lit(" x "), F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')")).alias("t"))
+    assert x.where(register._strip(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+\z", "")).count() == 0
