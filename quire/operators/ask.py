@@ -1,6 +1,6 @@
 """Answering questions over the sources: a strategy of searches, an answer from each search's results, and one answer of all.
 
-The model calls are functions that the user gives; they run on whole Arrow batches inside tasks and get JSON texts:
+The model calls are functions that the user gives; they run inside tasks on slices of Arrow batches and get JSON texts:
 
     plan(questions) -> JSON texts with reasoning and searches (term, instructions)
     embed(terms) -> vectors
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .chunks import slices
 from .durable import checkpointed
 from .models import WAIT, _tried, embedded
 from .vectors import search_of_many
@@ -30,7 +31,7 @@ Answer = Callable[[list[str]], list[str]]
 def _asked(rows: DataFrame, call: Answer, keep: list[str], retries: int = 5, wait: tuple[float, float] = WAIT) -> DataFrame:
     """keep, and `said`: the call's answer to the column payload without what it thinks aloud."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, "payload")):
             payloads = b.column("payload").to_pylist()
             said = _tried(call, payloads, retries, wait) if payloads else []
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(said, pa.string())], [*keep, "said"])

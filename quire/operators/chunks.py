@@ -55,9 +55,9 @@ def split_text(text: str, size: int = 500, overlap: int | None = None, length: C
     return chunks
 
 
-def _slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive rows with about `most` bytes of text; one row at least."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     first = 0
     while first < batch.num_rows:
         last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, "right")))
@@ -71,7 +71,7 @@ def chunked(docs: DataFrame, id_col: str = "id", text_col: str = "full_text", si
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in _slices(b):
+            for part in slices(b, "text"):
                 cut = [split_text(t, size) if t else [] for t in part.column("text").to_pylist()]
                 index = pa.array([i for i, c in enumerate(cut) for _ in c], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("id").take(index), pa.array([k for c in cut for k in range(len(c))], pa.int32()), pa.array([t for c in cut for t in c], pa.string())], ["id", "order", "content"])

@@ -1,4 +1,5 @@
-"""Operators that call a model: the call is a function that the user gives, run on whole Arrow batches inside tasks."""
+"""Operators that call a model: the call is a function that the user gives, run inside tasks on slices of Arrow batches, about a
+megabyte of text or one row each, so that a task holds no batch as Python texts."""
 
 from __future__ import annotations
 
@@ -10,17 +11,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import slices
 
 #: Seconds between tries: from the first to the longest, doubled each time, with up to the first added by chance.
 WAIT = (1.0, 30.0)
 
 
 def embedded(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], text_col: str = "content", retries: int = 5, wait: tuple[float, float] = WAIT) -> DataFrame:
-    """Adds `embedding` (empty for null texts). A batch is asked again up to `retries` times if the call fails."""
+    """Adds `embedding` (empty for null texts). A slice is asked again up to `retries` times if the call fails."""
     x = rows.drop("embedding")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, text_col)):
             texts = b.column(text_col).to_pylist()
             asked = [t for t in texts if t is not None]
             got = iter(_tried(embed, asked, retries, wait) if asked else [])
@@ -41,7 +43,7 @@ def _tried(call, argument, retries: int, wait: tuple[float, float] = WAIT):
 
 
 def attempted(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], text_col: str = "content", retries: int = 1, wait: tuple[float, float] = WAIT) -> DataFrame:
-    """Adds `embedding` and `error`: a batch that fails is tried row by row, and a row that fails says why (embedding null).
+    """Adds `embedding` and `error`: a slice that fails is tried row by row, and a row that fails says why (embedding null).
 
     Null texts have an empty embedding and no error."""
     x = rows.drop("embedding", "error")
@@ -55,7 +57,7 @@ def attempted(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]],
             return None, str(e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, text_col)):
             texts = b.column(text_col).to_pylist()
             asked = [t for t in texts if t is not None]
             try:
@@ -80,7 +82,7 @@ def transformed(docs: DataFrame, transformations: list[tuple[str, str]], answer:
     x = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("source"), F.col(text_col).alias("text"), F.explode(each).alias("t")).select("source", "t.insight_type", "t.prompt", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, "text")):
             asked = list(zip(b.column("prompt").to_pylist(), b.column("text").to_pylist(), strict=True))
             yield pa.RecordBatch.from_arrays([b.column("source"), b.column("insight_type"), pa.array(_tried(answer, asked, retries, wait) if asked else [], pa.string())], ["source", "insight_type", "content"])
 

@@ -241,6 +241,32 @@ def test_models(spark):
     assert got == {"a": [2.0], "b": []}
 
 
+def test_a_call_gets_a_megabyte_of_text(spark):
+    """However many rows a batch has; a text that is longer goes alone."""
+    from quire.operators import ask, commands
+
+    sizes = [300_000] * 10 + [3_000_000, 1, 0]
+    df = spark.createDataFrame([(i, "x" * n) for i, n in enumerate(sizes)] + [(13, None)], "id int, content string").coalesce(1)
+    told = lambda texts: [[float(sum(map(len, texts)))] for _ in texts]
+    refused = lambda texts: told(texts) if len(texts) == 1 else [][1]
+
+    def right(got):
+        assert set(got) == set(range(13)) and all(sizes[i] <= n <= max(1 << 20, sizes[i]) for i, n in got.items())
+
+    right({r.id: r.embedding[0] for r in models.embedded(df, told).collect() if r.embedding})
+    right({r.id: r.embedding[0] for r in models.attempted(df, told).collect() if r.embedding})
+    assert {r.id: (r.embedding, r.error) for r in models.attempted(df, refused).collect()} == {13: ([], None)} | {i: ([float(n)], None) for i, n in enumerate(sizes)}
+    each = models.transformed(df, [("A", "a"), ("B", "b")], lambda asked: [str(sum(len(t) for _, t in asked)) for _ in asked], "id", "content").collect()
+    for kind in "AB":
+        right({r.source: int(r.content) for r in each if r.insight_type == kind})
+    said = ask._asked(df.where("id < 13").withColumnRenamed("content", "payload"), lambda texts: [str(sum(map(len, texts))) for _ in texts], ["id"])
+    right({r.id: int(r.said) for r in said.collect()})
+    rows = df.selectExpr("id", "'s' AS source_id", "id AS chunk_index", "content AS chunk_text")
+    made = {r.id: r for r in commands.call(commands.EMBED_CHUNK, rows, "id", embed=told).collect()}
+    assert made[13].error == "chunk_text is required" and len(made) == 14
+    right({i: r.embedding[0] for i, r in made.items() if r.success})
+
+
 def test_event_frames(spark):
     df = spark.createDataFrame([("strategy", "x"), ("complete", None)], "type string, content string")
     frames = files.event_frames(df).unionByName(spark.createDataFrame([("data: {broken\n\nnoise",)], "frame string"))
