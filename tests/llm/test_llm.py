@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import ann, bpe, chat, components, entry, langid, licenses, minhash, mixing, quality, substrings, tokencount
+from quire.llm.durable import checkpointed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -592,6 +593,30 @@ def test_language_stage_by_brute_force(spark, docs, data):
     assert {r.doc_id for r in corpus_pipeline.language(spark, more, data).collect()} == expected
 
 
+def test_what_the_language_stage_drops_counts_nowhere_later(spark, docs, data):
+    """A passage that only junk has had before stays in a good text, and the mix is another one."""
+    import random
+
+    import corpus_pipeline
+
+    r = random.Random(3)
+    words = " ".join(t for i, t in sorted(texts(docs.where("lang = 'en'"))) if i % 7 == 0).split()
+    passage, own = " ".join(r.sample(words, 60)), " ".join(r.sample(words, 200))
+    junk = "".join(r.choice("bcdfghjklmnpqrstvwxz ") for _ in range(30_000))
+    rows = [(-1, f"{junk} {passage}", "en", "a junk"), (10**6, f"{own} {passage}", "en", "src1")]
+    rows = spark.createDataFrame([(i, t, v, s, len(t)) for i, t, v, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    more = docs.unionByName(rows.select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns]))
+    cut, mixed = [], []
+    for x in (checkpointed(corpus_pipeline.language(spark, more, data)), more):
+        x = checkpointed(corpus_pipeline.near_copies(spark, x, data))
+        x = checkpointed(corpus_pipeline.repeated_passages(spark, x, data))
+        cut.append({i: t for i, t in texts(x) if i in (-1, 10**6)})
+        mixed.append(Counter(texts(corpus_pipeline.mix(spark, x, data))))
+    assert cut[0] == {10**6: f"{own} {passage}"} and cut[1].keys() == {-1, 10**6} and passage not in cut[1][10**6]
+    # the mix of the other rows changes too
+    assert {k: n for k, n in mixed[0].items() if k[0] not in (-1, 10**6)} != {k: n for k, n in mixed[1].items() if k[0] not in (-1, 10**6)}
+
+
 def test_mix_stage_by_sql(spark, docs, data):
     """The rows that the stage sends, as often as the SQL of the mixing plan says."""
     import corpus_pipeline
