@@ -13,7 +13,7 @@ Null and empty texts give no rows. Documents with one id are told apart by their
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: The patterns of headings and marks, and the words of table headers.
@@ -22,7 +22,7 @@ ROOM = r"(?i)^#+\s*(?:Room[:\s]*)?([A-Z0-9]+-?R?\d+)\s*[-–]\s*([^-–\n]+?)(?:
 AREA = r"(?i)^#+\s*(?:Area\s*Type[:\s]*)?(\bExterior\b|\bInterior\b|\bGrounds\b)"
 SCHOOL = r"(?im)^#\s*([^-–\n]+?)(?:\s*[-–]\s*(?:Asbestos|ACM|SAMP).*)?$"
 PAGE = r"(?i)(?:^|\n)[-—]+\s*Page\s+(\d+)\s*[-—]+"
-HEADERS = r"product|material description|result"
+HEADERS = ["product", "result", "material description"]
 #: Which words of a header name which field; the first that holds counts.
 FIELDS = [("product", ["product"]), ("material_description", ["material", "desc"]), ("extent", ["extent"]), ("location", ["location"]), ("friable", ["friable"]), ("material_condition", ["condition"]), ("risk_status", ["risk"]), ("result", ["result"])]
 
@@ -31,56 +31,85 @@ def _found(line: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(line, pattern, group), F.lit(""))
 
 
+def _groups(line: Column, pattern: str, n: int) -> Column:
+    """All n groups of a pattern that takes a whole line, matched once; null if it does not match. A line holds no line end."""
+    found = F.split(F.regexp_replace(line, pattern, "\n".join(f"${i + 1}" for i in range(n))), "\n", -1)
+    return F.when(F.size(found) == n, found)
+
+
+def _group(found: Column, i: int) -> Column:
+    return F.nullif(F.get(found, F.lit(i - 1)), F.lit(""))
+
+
 #: Every character of Unicode's white space.
 WHITE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def _strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(WHITE))
+    # mostly only spaces stand at the ends; each of the others is looked for only if an end is not plain
+    x = F.trim(c)
+    plain = F.left(x, F.lit(1)).between("!", "~") & F.right(x, F.lit(1)).between("!", "~")
+    return F.when((x == "") | plain, x).otherwise(F.btrim(x, F.lit(WHITE)))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    x = docs.select(F.col(id_col).alias("source_id"), F.xxhash64(text_col).alias("doc"), F.col(text_col).alias("text")).where(F.length("text") > 0)
-    x = x.groupBy("source_id", "doc").agg(F.first("text").alias("text"))  # rows that are repeated are one document
+    x = docs.select(F.col(id_col).alias("source_id"), F.xxhash64(text_col).alias("doc"), F.col(text_col).alias("text"))
+    # rows that are repeated are one document; empty ones go after that, as a filter on the text would have the text made twice
+    x = x.groupBy("doc", "source_id").agg(F.first("text").alias("text")).where(F.length("text") > 0)
     school = F.coalesce(_strip(_found(F.col("text"), SCHOOL, 1)), F.lit("Unknown School"))
-    x = x.select("source_id", "doc", school.alias("school_name"), F.posexplode(F.split("text", "\n")).alias("n", "raw"))
-    return x.withColumn("line", _strip(F.col("raw")))
+    x = x.select("source_id", "doc", school.alias("school_name"), F.split("text", "\n").alias("lines"))  # once a text, not once a line
+    return x.select("source_id", "doc", "school_name", F.posexplode("lines").alias("n", "raw")).withColumn("line", _strip(F.col("raw")))
+
+
+def _document() -> tuple[WindowSpec, WindowSpec]:
+    """A document's lines in their order, and those up to a line. All windows have this order, so that lines are sorted once."""
+    doc = Window.partitionBy("doc", "source_id").orderBy("n")
+    return doc, doc.rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _marked(lines: DataFrame) -> DataFrame:
-    """Adds which lines belong to a table, and where that begins."""
-    line = F.col("line")
-    doc = Window.partitionBy("source_id", "doc").orderBy("n")
+    """Adds which lines belong to a table, and which are its header; of the others only pipes, headings and page marks stay."""
+    line, n = F.col("line"), F.col("n")
+    doc, so_far = _document()
     pipe = lambda c: F.coalesce(F.contains(c, F.lit("|")), F.lit(False))
-    x = lines.withColumn("pipe", pipe(line)).withColumn("bridge", (line == "") & pipe(F.lag("line").over(doc)) & pipe(F.lead("raw").over(doc)))
-    x = x.withColumn("run", F.count_if(~F.col("pipe") & ~F.col("bridge")).over(doc.rowsBetween(Window.unboundedPreceding, 0)))
+    has = lambda word: F.contains(F.lower("line"), F.lit(word))
+    x = lines.withColumn("pipe", pipe(line)).withColumn("bridge", (line == "") & pipe(F.lag("line").over(doc)) & pipe(F.lead("raw").over(doc))).drop("raw")
     cells = F.array_join(F.filter(F.transform(F.split(F.lower("line"), r"\|"), _strip), lambda c: c != ""), " ")
-    heads = F.col("pipe") & F.regexp_like(cells, F.lit(HEADERS))
-    x = x.withColumn("start", F.min(F.when(heads, F.col("n"))).over(Window.partitionBy("source_id", "doc", "run")))
-    return x.withColumn("in_table", F.coalesce(F.col("n") > F.col("start"), F.lit(False)))
+    x = x.withColumn("head", F.col("pipe") & (has(HEADERS[0]) | has(HEADERS[1]) | (has(HEADERS[2].split(" ")[0]) & F.contains(cells, F.lit(HEADERS[2])))))
+    # a run of pipes ends with a line that is none and bridges none; a line is in a table if its run has a header before it
+    ended = F.max(F.when(~F.col("pipe") & ~F.col("bridge"), n)).over(so_far)
+    header = F.max(F.when(F.col("head"), n)).over(doc.rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumn("in_table", F.coalesce(header > F.coalesce(ended, F.lit(-1)), F.lit(False)))
+    return x.where(F.col("pipe") | F.left(line, F.lit(1)).isin("#", "-", "—"))
 
 
 def _context(x: DataFrame) -> DataFrame:
-    """Adds the context that holds at each line."""
+    """Rows of tables (lines with cells) with the places of their table's fields, and the context that holds at each."""
     outside = F.when(~F.col("in_table"), F.col("line"))
     # a heading begins with #, a page's mark with a dash: no other line is matched against patterns
     line, mark = F.when(F.startswith(outside, F.lit("#")), outside), F.when(F.left(outside, F.lit(1)).isin("-", "—"), outside)
-    doc = Window.partitionBy("source_id", "doc").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    building = F.when(F.regexp_like(line, F.lit(BUILDING)), F.struct(_strip(_found(line, BUILDING, 1)).alias("id"), _strip(_found(line, BUILDING, 2)).alias("name"), _found(line, BUILDING, 3).cast("int").alias("year"), _strip(_found(line, BUILDING, 4)).alias("construction")))
-    room = F.when(F.regexp_like(line, F.lit(ROOM)), F.struct(_strip(_found(line, ROOM, 1)).alias("id"), _strip(_found(line, ROOM, 2)).alias("name")))
-    area = F.when(building.isNotNull(), "Interior").otherwise(F.initcap(_found(line, AREA, 1)))
-    x = x.withColumns({"building": building, "room": room, "room_area": _found(line, ROOM, 3).try_cast("double"), "area_type": area, "page_number": _found(mark, PAGE, 1).cast("int")})
-    x = x.withColumn("building_no", F.count("building").over(doc))
-    here = Window.partitionBy("source_id", "doc", "building_no").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda c, w: F.last(c, ignorenulls=True).over(w)
-    return x.withColumns({"building": last("building", doc), "room": last("room", here), "room_area": last("room_area", here), "area_type": F.coalesce(last("area_type", doc), F.lit("Interior")), "page_number": F.coalesce(last("page_number", doc), F.lit(1))})
+    x = x.withColumns({"b": _groups(line, BUILDING, 4), "r": _groups(line, ROOM, 3), "a": F.initcap(_found(line, AREA, 1)), "page": _found(mark, PAGE, 1).cast("int")})
+    new, b, r = F.col("b").isNotNull(), F.col("b"), F.col("r")
+    building = F.when(new, F.struct(_strip(_group(b, 1)).alias("id"), _strip(_group(b, 2)).alias("name"), _group(b, 3).cast("int").alias("year"), _strip(_group(b, 4)).alias("construction")))
+    room = F.when(r.isNotNull(), F.struct(_strip(_group(r, 1)).alias("id"), _strip(_group(r, 2)).alias("name")))
+    names = F.filter(F.transform(F.split(F.lower("line"), r"\|"), _strip), lambda c: c != "")
+    fields = F.when(F.col("head") & ~F.col("in_table"), F.transform(names, _field_of))
+    # the last header of a field counts; null if there is none
+    where = {f: F.size("fields") - F.nullif(F.array_position(F.reverse("fields"), f), F.lit(0)) for f, _ in FIELDS}
+    where = F.when(F.col("fields").isNotNull(), F.struct(*[c.cast("int").alias(f) for f, c in where.items()]))
+    row = F.col("in_table") & F.col("pipe") & ~F.contains("line", F.lit("---"))
+    # what a building or a room sets; a building sets what it lacks to null
+    set_by = lambda c: F.when(new | c.isNotNull(), F.struct(c.alias("x")))
+    x = x.withColumn("fields", fields).withColumn("where", where)
+    x = x.select("source_id", "doc", "n", "school_name", F.when(row, _cells(F.col("line"))).alias("cells"), F.col("where"), building.alias("building"), set_by(room).alias("room"), set_by(_group(r, 3).try_cast("double")).alias("room_area"), F.when(new, "Interior").otherwise(F.col("a")).alias("area_type"), F.col("page").alias("page_number"))
+    held = {c: F.last(c, ignorenulls=True).over(_document()[1]) for c in ("where", "building", "room", "room_area", "area_type", "page_number")}
+    held |= {"room": held["room"]["x"], "room_area": held["room_area"]["x"], "area_type": F.coalesce(held["area_type"], F.lit("Interior")), "page_number": F.coalesce(held["page_number"], F.lit(1))}
+    return x.withColumns(held).where(F.size("cells") >= 2)
 
 
 def _cells(line: Column) -> Column:
     """Cells of a data row; one empty cell goes at either end."""
-    x = F.transform(F.split(line, r"\|", -1), _strip)
-    x = F.when(F.get(x, F.lit(0)) == "", F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0)))).otherwise(x)
-    return F.when((F.size(x) > 0) & (F.element_at(x, -1) == ""), F.slice(x, 1, F.size(x) - 1)).otherwise(x)
+    return F.transform(F.split(F.regexp_replace(line, r"^\||\|\z", ""), r"\|", -1), _strip)
 
 
 def _field_of(header: Column) -> Column:
@@ -95,15 +124,10 @@ def _field_of(header: Column) -> Column:
 
 def extract_records(docs: DataFrame, id_col: str = "id", text_col: str = "full_text") -> DataFrame:
     """One row for each record, in the shape of the register; `row_number` is its place among the document's lines."""
-    x = _context(_marked(_lines(docs, id_col, text_col)))
-    table = x.where((F.col("n") >= F.col("start")) & F.col("pipe"))
-    names = F.filter(F.transform(F.split(F.lower("line"), r"\|"), _strip), lambda c: c != "")
-    first = F.first(F.when(F.col("n") == F.col("start"), F.transform(names, _field_of)), ignorenulls=True).over(Window.partitionBy("source_id", "doc", "run"))
-    table = table.withColumn("fields", first).where((F.col("n") > F.col("start")) & ~F.contains("line", F.lit("---"))).withColumn("cells", _cells(F.col("line"))).where(F.size("cells") >= 2)
+    table = _context(_marked(_lines(docs, id_col, text_col)))
 
     def cell(field: str) -> Column:
-        from_end = F.array_position(F.reverse("fields"), field)  # the last header of a field counts
-        return F.when(from_end > 0, F.nullif(F.get("cells", (F.size("fields") - from_end).cast("int")), F.lit("")))
+        return F.nullif(F.get("cells", F.col("where")[field]), F.lit(""))
 
     result = cell("result")
     result = F.when(F.contains(F.lower(result), F.lit("no asbestos")), "Not Detected").when(F.contains(F.lower(result), F.lit("detected")), "Detected").otherwise(F.coalesce(result, F.lit("")))

@@ -100,3 +100,33 @@ def test_strip_takes_unicode_white_space(spark):
 
     x = spark.range(1, 0xD800).select(F.concat(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')"), F.lit(" x "), F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')")).alias("t"))
     assert x.where(register._strip(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+\z", "")).count() == 0
+
+
+def test_texts_are_made_once_and_lines_sorted_once(spark):
+    """A text that Python computes is computed once a row, and all windows over lines share one sort."""
+    import re
+
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import StringType
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf(StringType())
+    def text(x):
+        made.add(len(x))
+        return x.map(lambda i: REGISTER + f"| Extra{i} | Sheet | Unknown |\n")
+
+    docs = spark.range(10).select("id", text("id").alias("full_text"))
+    out = register.extract_records(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Sort \[.*\bn#\d+", plan)) == 1
+    assert out.count() == 10 * 6
+    assert made.value == 10
+
+
+def test_odd_tables(spark):
+    """Rows at the ends of tables, blank and missing cells, a header's word in a row, a building that takes room and area away."""
+    text = "## B1 - Hall\n#### R2-R003 - Porch - 3 m²\n| a | PRODUCT | Material Description |\n\n| 1 | p1 | m1 |\n| 2 | Product | m2 | x |\n||\n| 3 |  | m3 |\n4|p4|m4\n\n## C1 - Yard\n|Material Description|product|\n| m5 | \u2003p5 \u3000|"
+    got = [(r["building_id"], r["room_id"], r["room_area"], r["product"], r["material_description"], r["row_number"]) for r in extracted(spark, text)]
+    room = ("B1", "R2-R003", 3.0)
+    assert got == [(*room, "p1", "m1", 4), (*room, "Product", "m2", 5), (*room, "p4", "m4", 8), ("C1", "C1", None, "p5", "m5", 12)]
