@@ -53,12 +53,13 @@ def _strip(c: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Lines that are not blank, stripped, and their places."""
     x = docs.select(F.col(id_col).alias("source_id"), F.xxhash64(text_col).alias("doc"), F.col(text_col).alias("text"))
     # rows that are repeated are one document; empty ones go after that, as a filter on the text would have the text made twice
     x = x.groupBy("doc", "source_id").agg(F.first("text").alias("text")).where(F.length("text") > 0)
     school = F.coalesce(_strip(_found(F.col("text"), SCHOOL, 1)), F.lit("Unknown School"))
     x = x.select("source_id", "doc", school.alias("school_name"), F.split("text", "\n").alias("lines"))  # once a text, not once a line
-    return x.select("source_id", "doc", "school_name", F.posexplode("lines").alias("n", "raw")).withColumn("line", _strip(F.col("raw")))
+    return x.select("source_id", "doc", "school_name", F.posexplode("lines").alias("n", "raw")).select("source_id", "doc", "school_name", "n", _strip(F.col("raw")).alias("line")).where("line <> ''")
 
 
 def _document() -> tuple[WindowSpec, WindowSpec]:
@@ -71,15 +72,16 @@ def _marked(lines: DataFrame) -> DataFrame:
     """Adds which lines belong to a table, and which are its header; of the others only pipes, headings and page marks stay."""
     line, n = F.col("line"), F.col("n")
     doc, so_far = _document()
-    pipe = lambda c: F.coalesce(F.contains(c, F.lit("|")), F.lit(False))
     has = lambda word: F.contains(F.lower("line"), F.lit(word))
-    x = lines.withColumn("pipe", pipe(line)).withColumn("bridge", (line == "") & pipe(F.lag("line").over(doc)) & pipe(F.lead("raw").over(doc))).drop("raw")
+    x = lines.withColumn("pipe", F.contains(line, F.lit("|")))
+    # blank lines are gone: a run of pipes goes on over one of them, and ends at two or at any other line
+    x = x.withColumn("begins", ~F.col("pipe") | ~F.coalesce(F.lag("pipe").over(doc) & (n - F.lag("n").over(doc) <= 2), F.lit(False)))
     cells = F.array_join(F.filter(F.transform(F.split(F.lower("line"), r"\|"), _strip), lambda c: c != ""), " ")
     x = x.withColumn("head", F.col("pipe") & (has(HEADERS[0]) | has(HEADERS[1]) | (has(HEADERS[2].split(" ")[0]) & F.contains(cells, F.lit(HEADERS[2])))))
-    # a run of pipes ends with a line that is none and bridges none; a line is in a table if its run has a header before it
-    ended = F.max(F.when(~F.col("pipe") & ~F.col("bridge"), n)).over(so_far)
+    # a line is in a table if its run has a header before it
+    began = F.max(F.when(F.col("begins"), n)).over(so_far)
     header = F.max(F.when(F.col("head"), n)).over(doc.rowsBetween(Window.unboundedPreceding, -1))
-    x = x.withColumn("in_table", F.coalesce(header > F.coalesce(ended, F.lit(-1)), F.lit(False)))
+    x = x.withColumn("in_table", F.coalesce(header >= began, F.lit(False)))
     return x.where(F.col("pipe") | F.left(line, F.lit(1)).isin("#", "-", "—"))
 
 
