@@ -409,6 +409,16 @@ def test_markdown_of(page, expected):
     assert to_markdown(page) == expected
 
 
+def test_plain_rows_are_as_their_tags():
+    """A row of plain cells is read at once; a space in its tag has the same row read tag by tag."""
+    cells = ["<td> a  b</td>", "<td>x | y", "<th>&lt;q&#62;</th>", "<td></td>", "<td>a\n&nbsp;b</td>\n ", "<td>c > d"]
+    for k in range(len(cells)):
+        rows = "".join(f"<tr>{''.join(cells[i:] + cells[:k])}</tr>\n" for i in range(len(cells)))
+        for page in (f"<table>{rows}</table>", f"<table><caption>t{rows}", f"<pre><table>{rows}</table></pre>", rows, f"<table><tr><td><table>{rows}</table></table>", f"<table>{rows}</table>\0"):
+            assert to_markdown(page) == to_markdown(page.replace("<tr>", "<tr >"))
+    assert to_markdown("<table><tr><td>a<td>b | c</tr></table>") == "| a | b \\| c |\n| --- | --- |"
+
+
 def test_odd_pages_take_no_time():
     import time
 
