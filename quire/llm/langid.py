@@ -137,7 +137,11 @@ class Model:
         return ["und" if z else self.languages[b] for b, z in zip(best, none, strict=True)], score
 
     def accepts(self, texts: list[str | None]) -> np.ndarray:
-        """Whether any language takes the text for its own; the predicted one is mostly right, so it is asked first."""
+        """Whether any language takes the text for its own; the predicted one is mostly right, so it is asked first.
+
+        If nothing could be learned, no language refuses a text, and all with a letter are accepted."""
+        if not self.languages:
+            return np.array([bool(folded(t)) for t in texts], dtype=bool)
         out = np.zeros(len(texts), dtype=bool)
         for r, (text, lang) in enumerate(zip(texts, self.predict(texts)[0], strict=True)):
             if lang != "und":

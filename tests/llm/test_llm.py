@@ -593,6 +593,16 @@ def test_language_stage_by_brute_force(spark, docs, data):
     assert {r.doc_id for r in corpus_pipeline.language(spark, more, data).collect()} == expected
 
 
+def test_language_stage_without_languages_keeps_all_letters(spark, docs, odd, data):
+    """Where no row has a lang there is nothing to learn; that leaves no text with a letter out."""
+    import corpus_pipeline
+
+    for df in (docs, odd):
+        none = df.withColumn("lang", F.lit(None).cast("string"))
+        expected = Counter((i, t) for i, t in texts(none) if langid.folded(t))
+        assert expected and Counter(texts(corpus_pipeline.language(spark, none, data))) == expected
+
+
 def test_what_the_language_stage_drops_counts_nowhere_later(spark, docs, data):
     """A passage that only junk has had before stays in a good text, and the mix is another one."""
     import random
